@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, token_files
+from . import chat, mixing, packing, substring, token_files
 
 QUERIES = {
+    "op2_substring_dedup": substring.op2,
     "op4_chat_format": chat.op4,
     "op5_pack": packing.op5,
     "op7_mixing": mixing.op7,
