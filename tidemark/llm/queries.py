@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, substring, token_files
+from . import chat, minhash, mixing, packing, substring, token_files
 
 QUERIES = {
     "op2_substring_dedup": substring.op2,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_pack": packing.op5,
     "op7_mixing": mixing.op7,
     "op9_token_files": token_files.op9,
+    "op10_minhash": minhash.op10,
 }
 ORACLES: dict[str, str] = {
     "op4_chat_format": chat.OP4_SQL,
