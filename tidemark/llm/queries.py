@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, minhash, mixing, packing, substring, token_files
+from . import chat, minhash, mixing, packing, substring, suffix, token_files
 
 QUERIES = {
     "op2_substring_dedup": substring.op2,
     "op4_chat_format": chat.op4,
     "op5_pack": packing.op5,
+    "op6_suffix_dedup": suffix.op6,
     "op7_mixing": mixing.op7,
     "op9_token_files": token_files.op9,
     "op10_minhash": minhash.op10,
