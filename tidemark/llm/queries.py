@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, minhash, mixing, packing, substring, suffix, token_files
+from . import chat, minhash, mixing, neighbours, packing, substring, suffix, token_files
 
 QUERIES = {
     "op2_substring_dedup": substring.op2,
+    "op3_nearest": neighbours.op3,
     "op4_chat_format": chat.op4,
     "op5_pack": packing.op5,
     "op6_suffix_dedup": suffix.op6,
@@ -14,5 +15,6 @@ QUERIES = {
     "op10_minhash": minhash.op10,
 }
 ORACLES: dict[str, str] = {
+    "op3_nearest": neighbours.OP3_SQL,
     "op4_chat_format": chat.OP4_SQL,
 }
