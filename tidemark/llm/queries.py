@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, minhash, mixing, neighbours, packing, substring, suffix, token_files
+from . import chat, minhash, mixing, neighbours, packing, substring, suffix, token_files, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
     "op2_substring_dedup": substring.op2,
     "op3_nearest": neighbours.op3,
     "op4_chat_format": chat.op4,
