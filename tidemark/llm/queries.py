@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, minhash, mixing, neighbours, packing, substring, suffix, token_files, toxicity
+from . import chat, fingerprints, minhash, mixing, neighbours, packing, substring, suffix, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_pack": packing.op5,
     "op6_suffix_dedup": suffix.op6,
     "op7_mixing": mixing.op7,
+    "op8_fingerprints": fingerprints.op8,
     "op9_token_files": token_files.op9,
     "op10_minhash": minhash.op10,
 }
