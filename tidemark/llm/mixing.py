@@ -75,21 +75,24 @@ def apportion(seats: DataFrame, group: list[str], key: list[str], value: str, to
     return ranked.groupBy(*seats.columns, "sure").agg(F.sum(won).alias("more")).select(*seats.columns, (F.col("sure") + F.col("more")).alias("quota"))
 
 
-def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, block: int = 32, shard_words: int = 1 << 20, seed: int = 7) -> DataFrame:
+def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, block: int = 32, shard_words: int = 1 << 20, seed: int = 7, carry: bool = False) -> DataFrame:
     """Per row of docs: (doc_id, source, size, source_size, target, taken, whole, first, last, first2, last2).
 
     ``whole`` full copies are taken, and besides the words [first, last) and [first2, last2) of the text
-    (the second only where the circle closes inside one document).
+    (the second only where the circle closes inside one document). carry: also ``row``, all columns of docs.
     """
     mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_expr(F.col(text)).alias("size"), mark.alias("mark"))
-    rows = materialize(rows, "sizes")  # narrow; else each use below would split all texts again
+    own = [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_expr(F.col(text)).alias("size"), mark.alias("mark")]
+    rows = materialize(docs.select(*own), "sizes")  # narrow; else each use below would split all texts again
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     n_shards = F.ceil(F.col("source_size") / F.lit(shard_words)).cast("long")
-    dealt = (
-        rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-        .withColumn("shard", F.pmod(F.conv(F.substring("mark", 1, 8), 16, 10).cast("long"), F.greatest(n_shards, F.lit(1))))
-    )
+
+    def deal(rows: DataFrame) -> DataFrame:
+        # one row per source is broadcast
+        known = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+        return known.withColumn("shard", F.pmod(F.conv(F.substring("mark", 1, 8), 16, 10).cast("long"), F.greatest(n_shards, F.lit(1))))
+
+    dealt = deal(rows)
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
     shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / F.lit(block)).cast("long"))
     total = F.round(F.sum("target").over(W.partitionBy()) / block).cast("long")
@@ -104,6 +107,8 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", doc_id
         F.when(F.col("blocks") > 0, F.col("quota") % F.col("blocks")).otherwise(0).alias("part"), "blocks", start.alias("from"),
     )
     line = W.partitionBy("source", "shard").orderBy("mark", F.coalesce("doc_id", F.lit(NO_ID)), "size")
+    if carry:
+        dealt = deal(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *own))
     placed = dealt.withColumn("at", F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.join(shards, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")))
     a = F.col("from") * block
@@ -112,7 +117,7 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", doc_id
     cut = lambda x: F.least(F.greatest(x - F.col("at"), F.lit(0)), F.col("size"))
     placed = placed.withColumns({"first": cut(a), "last": F.greatest(cut(b), cut(a)), "first2": F.lit(0).cast("long"), "last2": cut(c)})
     taken = F.col("whole") * F.col("size") + F.col("last") - F.col("first") + F.col("last2")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("whole").cast("int").alias("whole"), "first", "last", "first2", "last2")
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("whole").cast("int").alias("whole"), "first", "last", "first2", "last2", *["row"] * carry)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = 32, seed: int = 7) -> DataFrame:
@@ -121,15 +126,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = 32, se
     Whole copies keep their text; parts are the taken words joined by one space. n_chars, where there is
     such a column, is set anew. docs must have doc_id, text and source.
     """
-    # A part never spans rows, so a document's plan can be joined by its id and text hash.
-    keyed = docs.withColumn("_size", size_expr(F.col("text")))
-    plan = mix_plan(docs, weights=weights, block=block, seed=seed).where("taken > 0")
-    plan = plan.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy("taken", "first", "last2")))
-    keyed = keyed.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), F.col("_n").alias("_m"), "whole", "first", "last", "last2")
-    joined = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["_id"]) & keyed["source"].eqNullSafe(plan["_source"]) & (F.col("_size") == F.col("_words")) & (F.col("_n") == F.col("_m")))
+    joined = mix_plan(docs, weights=weights, block=block, seed=seed, carry=True).where("taken > 0").withColumn("text", F.coalesce("row.text", F.lit("")))
     words = words_expr(F.col("text"))
-    piece = lambda x, y: F.when((x == 0) & (y == F.col("_size")), F.col("text")).otherwise(F.array_join(F.slice(words, (x + 1).cast("int"), (y - x).cast("int")), " "))
+    piece = lambda x, y: F.when((x == 0) & (y == F.col("size")), F.col("text")).otherwise(F.array_join(F.slice(words, (x + 1).cast("int"), (y - x).cast("int")), " "))
     nothing = F.array().cast("array<string>")
     parts = F.concat(
         F.array_repeat(F.col("text"), F.col("whole")),
@@ -138,7 +137,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = 32, se
     )
     out = joined.withColumn("_part", F.explode(parts))
     cols = {"text": F.col("_part")} | ({"n_chars": F.length("_part").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns])
+    return out.select(*[cols[c].alias(c) if c in cols else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,8 +115,8 @@ def _blend(calibrated: Column, raw: Column, share: float = 0.02) -> Column:
     return (1 - share) * calibrated + share * raw
 
 
-def scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int = 24, depth: int = 4, seed: int = 3) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text); labels has doc_id and toxic."""
+def scored(docs: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int = 24, depth: int = 4, seed: int = 3) -> DataFrame:
+    """(row, score) for each row of docs, which needs doc_id and text; labels has doc_id and toxic."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     usable = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("double").alias("toxic"))
     chosen = usable.where(bucket(F.col("doc_id")) != 0).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
@@ -127,7 +127,8 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int
     known = labelled.select("doc_id", "toxic", aside.alias("aside"), *features(F.col("text"), stems))
     known = materialize(known.repartition(4), "features")
     kinds = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    wide = texts.select("doc_id", (bucket(F.col("doc_id")) == 0).alias("held_out"), *features(F.col("text"), stems))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    wide = docs.select(row, *features(F.col("text"), stems))
     if len(kinds) < 2:
         score = F.lit(1.0 if 1.0 in kinds else 0.0)
     else:
@@ -139,7 +140,18 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int
         steps = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(judged if apart.isEmpty() else apart)
         wide = steps.transform(model.transform(assembler.transform(wide)).withColumn("raw", raw))
         score = F.least(F.greatest(_blend(F.col("calibrated"), F.col("raw")), F.lit(0.0)), F.lit(1.0))
-    return wide.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return wide.select("row", score.alias("score"))
+
+
+def scores(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row of docs."""
+    rows = scored(docs, labels, **how).select(F.col("row.doc_id").alias("doc_id"), "score")
+    return rows.select("doc_id", (bucket(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, bound: float = 0.5, **how) -> DataFrame:
+    """The rows of docs with a score below bound."""
+    return scored(docs, labels, **how).where(F.col("score") < bound).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
