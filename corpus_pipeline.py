@@ -1,13 +1,62 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns the documents that go on."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns the documents that go on.
+
+The last stage returns packed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Parts
+and copies that the mix takes of a document share its doc_id.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import minhash, mixing, packing, substring, toxicity
+from tidemark.llm.common import join_small, materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go."""
+    return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked at five words and 0.8, the document with the smallest doc_id stays."""
+    gone = materialize(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    return join_small(docs, gone, "doc_id", "left_anti", F.lit(16).cast("long"))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows of 50 that an earlier document has go, and documents of which nothing is left."""
+    found = substring.remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
+    return found.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies and parts of documents such that sources come near their weights."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens in as few sequences as can be found."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-duplicates", drop_near_duplicates),
+    ("repeated passages", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Boosted trees and tokenizers have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
