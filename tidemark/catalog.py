@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from importlib import import_module
+
+from tidemark.plans.registry import ORACLES, QUERIES
+
+for _part in ("signals",):
+    import_module(f"tidemark.plans.{_part}")
+
+__all__ = ["ORACLES", "QUERIES"]
