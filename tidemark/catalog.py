@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tidemark.plans.registry import ORACLES, QUERIES
 
-for _part in ("signals", "backtest", "market", "store"):
+for _part in ("signals", "backtest", "market", "store", "research"):
     import_module(f"tidemark.plans.{_part}")
 
 __all__ = ["ORACLES", "QUERIES"]

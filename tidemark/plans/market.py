@@ -132,10 +132,10 @@ sums AS (
 @query("options_per_expiry", f"""WITH {_CHAIN},
 iv AS (SELECT c.underlying, c.quote_date, c.expiry, arg_min(iv, place) FILTER (is_call) AS atm_call_iv, arg_min(iv, place) FILTER (NOT is_call) AS atm_put_iv
        FROM chain c JOIN sums s ON c.underlying = s.underlying AND c.quote_date = s.quote_date AND c.expiry = s.expiry AND c.strike = s.atm_strike WHERE c.iv > 0 GROUP BY ALL)
-SELECT s.underlying, s.quote_date, s.expiry, call_volume, put_volume, call_oi, put_oi, round(call_premium, 3) AS call_premium, atm_strike, n_contracts, atm_call_iv, atm_put_iv
+SELECT s.underlying, s.quote_date, s.expiry, call_volume, put_volume, call_oi, put_oi, CAST(floor(call_premium + 1e-6) AS BIGINT) AS call_premium, atm_strike, n_contracts, atm_call_iv, atm_put_iv
 FROM sums s LEFT JOIN iv i ON s.underlying = i.underlying AND s.quote_date = i.quote_date AND s.expiry = i.expiry""")
 def options_per_expiry(spark, sf_dir):
-    return options.per_expiry(options.contracts(chain(spark, sf_dir))).withColumn("call_premium", F.round("call_premium", 3)).drop("put_premium")
+    return options.per_expiry(options.contracts(chain(spark, sf_dir))).withColumn("call_premium", F.floor(F.col("call_premium") + 1e-6)).drop("put_premium")
 
 
 @query("options_summary", f"""WITH {_CHAIN},
