@@ -6,18 +6,17 @@ import math
 from statistics import NormalDist
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NORMAL = NormalDist()
 
 
-@F.pandas_udf("double")
-def normal_cdf(x: pd.Series) -> pd.Series:
+def _cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else 0.5 * math.erfc(-v / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
-def normal_inverse(p: pd.Series) -> pd.Series:
+def _inverse(p: pd.Series) -> pd.Series:
     return p.map(lambda v: None if v is None or not 0 < v < 1 else _NORMAL.inv_cdf(v))
 
 
@@ -39,7 +38,18 @@ def _beta(a: float, b: float, x: float) -> float:
     return front * f
 
 
-@F.pandas_udf("double")
-def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    """P(|T| > |t|) with df degrees of freedom."""
+def _two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if v is None or v != v or n <= 0 else _beta(n / 2, 0.5, n / (n + v * v)) for v, n in zip(t, df)], dtype="float64")
+
+
+def normal_cdf(x: Column) -> Column:
+    return F.pandas_udf(_cdf, "double")(x)
+
+
+def normal_inverse(p: Column) -> Column:
+    return F.pandas_udf(_inverse, "double")(p)
+
+
+def t_two_sided(t: Column, df: Column) -> Column:
+    """P(|T| > |t|) with df degrees of freedom."""
+    return F.pandas_udf(_two_sided, "double")(t, df)

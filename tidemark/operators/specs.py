@@ -15,7 +15,7 @@ from tidemark.operators.signals import REGISTRY
 GRID: dict[str, dict[str, list]] = {
     "MOMENTUM": {"fast": [5, 10, 20], "slow": [20, 50, 100]}, "BOLLINGER": {"lookback": [10, 20, 50], "k": [1.5, 2.0, 2.5]}, "RSI": {"lookback": [7, 14, 21], "oversold": [20, 30]},
     "ZSCORE": {"lookback": [10, 20, 50], "oversold": [-1.0, -1.5, -2.0]}, "VOL_BREAKOUT": {"entry": [20, 55], "exit": [10, 20]}, "MACD": {"fast": [8, 12], "slow": [21, 26], "signal": [9]},
-    "STOCHASTIC": {"lookback": [9, 14], "oversold": [10, 20]}, "EMA_CROSSOVER": {"fast": [8, 12, 20], "slow": [26, 50]}, "TSMOM": {"lookback": [60, 120, 250], "skip": [5, 20]}, "N_DAY_LOW": {"lookback": [5, 7, 10]},
+    "STOCHASTIC": {"lookback": [9, 14], "oversold": [10, 20]}, "EMA_CROSSOVER": {"fast": [8, 12, 20], "slow": [26, 50]}, "TSMOM": {"lookback": [60, 120, 250], "skip": [5, 20]}, "N_DAY_LOW": {"lookback": [5, 6, 7, 10]},
 }
 ROTATION: dict[str, dict[str, list]] = {"EQUAL_WEIGHT": {"every": [21]}, "TOP_MOMENTUM": {"lookback": [21, 63, 126], "top": [1, 3], "every": [21]}, "SMA_TIMING": {"lookback": [50, 200], "every": [21]}, "INVERSE_VOL": {"lookback": [20, 60], "every": [21]}}
 
