@@ -38,14 +38,14 @@ def rank_correlation(rows: DataFrame, by: list[str]) -> DataFrame:
 
     ranked = known.withColumns({"ra": rank("strength"), "rb": rank("fwd"), "bad": (F.isnan("strength") | F.isnan("fwd")).cast("int")})
     fine = (F.count("*") >= 3) & (F.max("bad") == 0) & (F.stddev_pop("ra") > 0) & (F.stddev_pop("rb") > 0)
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(fine, F.corr("ra", "rb")).alias("ic"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(fine, F.covar_pop("ra", "rb") / (F.stddev_pop("ra") * F.stddev_pop("rb"))).alias("ic"))
 
 
 def with_p(rows: DataFrame) -> DataFrame:
     """ic with the two-sided p-value of its t statistic."""
     df = (F.col("n") - 2).cast("double")
-    t = F.when(F.abs("ic") < 1, F.col("ic") * F.sqrt(df / (1 - F.col("ic") * F.col("ic"))))
-    return rows.withColumn("p", F.when(F.abs("ic") >= 1, 0.0).otherwise(t_two_sided(t, df)))
+    t = F.when(F.abs("ic") < 1 - 1e-12, F.col("ic") * F.sqrt(df / (1 - F.col("ic") * F.col("ic"))))
+    return rows.withColumn("p", F.when(F.abs("ic") >= 1 - 1e-12, 0.0).otherwise(t_two_sided(t, df)))
 
 
 def decay(rows: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:

@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.backtest import CAPITAL, COST
 
-_SYM = W.partitionBy("symbol").orderBy("t")
+def _sym():
+    return W.partitionBy("symbol").orderBy("t")
 
 
 def trailing(k: int) -> Column:
-    return F.col("close") / F.lag("close", k).over(_SYM) - 1
+    return F.col("close") / F.lag("close", k).over(_sym()) - 1
 
 
 def mean(n: int) -> Column:
-    w = _SYM.rowsBetween(1 - n, 0)
+    w = _sym().rowsBetween(1 - n, 0)
     return F.when(F.count("close").over(w) >= n, F.avg("close").over(w))
 
 
@@ -36,14 +37,14 @@ def accelerating() -> Column:
 
 
 def near_high(n: int) -> Column:
-    w = _SYM.rowsBetween(1 - n, 0)
+    w = _sym().rowsBetween(1 - n, 0)
     return F.when(F.count("close").over(w) >= n, F.col("close") / F.max("close").over(w))
 
 
 def volatility(bars: DataFrame, n: int) -> DataFrame:
     """bars with vol: deviation of the last n returns."""
     r = bars.withColumn("r", trailing(1))
-    w = _SYM.rowsBetween(1 - n, 0)
+    w = _sym().rowsBetween(1 - n, 0)
     return r.withColumn("vol", F.when(F.count("r").over(w) >= n, F.stddev_samp("r").over(w))).drop("r")
 
 
@@ -52,7 +53,7 @@ def residual(bars: DataFrame, bench: str, n: int) -> DataFrame:
     r = bars.withColumn("r", trailing(1))
     b = r.where(F.col("symbol") == bench).select("t", F.col("r").alias("rb"))
     both = r.join(F.broadcast(b), "t")
-    w = _SYM.rowsBetween(1 - n, 0)
+    w = _sym().rowsBetween(1 - n, 0)
     beta = F.covar_samp("r", "rb").over(w) / F.var_samp("rb").over(w)
     return both.withColumn("res", F.when(F.count("r").over(w) >= n, F.sum("r").over(w) - beta * F.sum("rb").over(w))).drop("r", "rb")
 
@@ -63,31 +64,32 @@ def calendar(bars: DataFrame, warm_up: int, every: int) -> DataFrame:
     return days.where((F.col("i") >= warm_up) & ((F.col("i") - warm_up) % every == 0)).select("t")
 
 
-_DAY = W.partitionBy("t")
+def _day():
+    return W.partitionBy("t")
 
 
 def equal_weight(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("weight", 1 / F.count("*").over(_DAY))
+    return rows.withColumn("weight", 1 / F.count("*").over(_day()))
 
 
 def best(rows: DataFrame, score: str, n: int, worst: bool = False) -> DataFrame:
     """Equal weights on the n best (or worst) of each day; ties in universe order (pos)."""
     known = rows.where(F.col(score).isNotNull() & ~F.isnan(score))
     order = F.asc(score) if worst else F.desc(score)
-    top = known.withColumn("k", F.row_number().over(_DAY.orderBy(order, "pos"))).where(F.col("k") <= n)
-    return top.withColumn("weight", 1 / F.count("*").over(_DAY)).drop("k")
+    top = known.withColumn("k", F.row_number().over(_day().orderBy(order, "pos"))).where(F.col("k") <= n)
+    return top.withColumn("weight", 1 / F.count("*").over(_day())).drop("k")
 
 
 def timed(rows: DataFrame, above: Column) -> DataFrame:
     """Each of the day's legs 1/N if above, else cash."""
-    return rows.withColumn("n", F.count("*").over(_DAY)).where(above).withColumn("weight", 1 / F.col("n")).drop("n")
+    return rows.withColumn("n", F.count("*").over(_day())).where(above).withColumn("weight", 1 / F.col("n")).drop("n")
 
 
 def dual(rows: DataFrame, score: str) -> DataFrame:
     """The best leg but the last, if its score is positive, else the last."""
-    last = F.max("pos").over(_DAY)
+    last = F.max("pos").over(_day())
     marked = rows.withColumns({"is_last": F.col("pos") == last})
-    lead = F.max(F.when(~F.col("is_last") & F.col(score).isNotNull(), F.struct(F.col(score).alias("v"), (-F.col("pos")).alias("p")))).over(_DAY)
+    lead = F.max(F.when(~F.col("is_last") & F.col(score).isNotNull(), F.struct(F.col(score).alias("v"), (-F.col("pos")).alias("p")))).over(_day())
     marked = marked.withColumn("lead", lead)
     chosen = F.when(F.col("lead.v") > 0, F.col("pos") == -F.col("lead.p")).otherwise(F.col("is_last"))
     return marked.where(chosen & F.col("lead").isNotNull()).withColumn("weight", F.lit(1.0)).drop("is_last", "lead")
@@ -95,13 +97,13 @@ def dual(rows: DataFrame, score: str) -> DataFrame:
 
 def inverse_vol(rows: DataFrame) -> DataFrame:
     fine = rows.where("vol > 0")
-    return fine.withColumn("weight", (1 / F.col("vol")) / F.sum(1 / F.col("vol")).over(_DAY))
+    return fine.withColumn("weight", (1 / F.col("vol")) / F.sum(1 / F.col("vol")).over(_day()))
 
 
 def defensive(rows: DataFrame, score: str, n: int, canaries: int = 2) -> DataFrame:
     """The first ``canaries`` positions vote: each without a positive score moves its share to the last leg."""
-    bad = F.avg(F.when(F.col("pos") < canaries, (F.coalesce(F.col(score), F.lit(0.0)) <= 0).cast("double"))).over(_DAY)
-    marked = rows.withColumns({"cash": bad, "last": F.max("pos").over(_DAY)})
+    bad = F.avg(F.when(F.col("pos") < canaries, (F.coalesce(F.col(score), F.lit(0.0)) <= 0).cast("double"))).over(_day())
+    marked = rows.withColumns({"cash": bad, "last": F.max("pos").over(_day())})
     risky = best(marked.where((F.col("pos") >= canaries) & (F.col("pos") < F.col("last")) & (F.col(score) > 0)), score, n).withColumn("weight", F.col("weight") * (1 - F.col("cash")))
     safe = marked.where("pos = last").withColumn("weight", F.col("cash"))
     return risky.unionByName(safe).where("weight > 0").drop("cash", "last")
@@ -109,8 +111,8 @@ def defensive(rows: DataFrame, score: str, n: int, canaries: int = 2) -> DataFra
 
 def protective(rows: DataFrame, score: str, n: int, factor: float = 2.0) -> DataFrame:
     """The share of the last leg is min(1, (N - good) * factor / N); the rest goes to the n best good ones."""
-    marked = rows.withColumn("last", F.max("pos").over(_DAY))
-    marked = marked.withColumns({"size": F.greatest(F.count("*").over(_DAY) - 1, F.lit(1)), "good": F.sum(((F.col("pos") < F.col("last")) & (F.col(score) > 0)).cast("int")).over(_DAY)})
+    marked = rows.withColumn("last", F.max("pos").over(_day()))
+    marked = marked.withColumns({"size": F.greatest(F.count("*").over(_day()) - 1, F.lit(1)), "good": F.sum(((F.col("pos") < F.col("last")) & (F.col(score) > 0)).cast("int")).over(_day())})
     marked = marked.withColumn("cash", F.least(F.lit(1.0), (F.col("size") - F.col("good")) * factor / F.col("size")))
     risky = best(marked.where((F.col("pos") < F.col("last")) & (F.col(score) > 0)), score, n).withColumn("weight", F.col("weight") * (1 - F.col("cash")))
     safe = marked.where("pos = last").withColumn("weight", F.col("cash"))
