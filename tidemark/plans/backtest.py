@@ -109,10 +109,10 @@ _SEED = "CAST(('0x' || substr(sha256(concat_ws('|', {})), 1, 8)) AS BIGINT)"
 placed AS (SELECT *, row_number() OVER ({_OVER}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS size FROM signals),
 moved AS (SELECT symbol, (i + size // 4 + {_SEED.format("symbol, 'shift'")} % greatest(size // 2, 1)) % size AS i, position FROM placed),
 shifted AS (SELECT p.symbol, p.t, p.close, m.position FROM placed p JOIN moved m ON p.symbol = m.symbol AND p.i = m.i),{_accounting('shifted')},{_RESULTS}
-SELECT symbol, n_bars, round(return_pct, 4) AS return_pct, round(turnover, 4) AS turnover FROM results""")
+SELECT symbol, n_bars, round(ln(greatest(1 + return_pct / 100, 0.000001)), 6) AS log_growth, round(turnover, 4) AS turnover FROM results""")
 def null_shifted(spark, sf_dir):
     rows = signals.apply(bars(spark, sf_dir), "MOMENTUM")
-    return _rounded(bt.results(bt.account(bt.shifted(rows))).select("symbol", "n_bars", "return_pct", "turnover"))
+    return _rounded(bt.results(bt.account(bt.shifted(rows))).select("symbol", "n_bars", F.log(F.greatest(1 + F.col("return_pct") / 100, F.lit(1e-6))).alias("log_growth"), "turnover"), 6)
 
 
 @query("null_flipped", f"""WITH {BARS_SQL},
@@ -122,13 +122,13 @@ counted AS (SELECT *, sum(moves) OVER (PARTITION BY symbol) AS k,
             row_number() OVER (PARTITION BY symbol ORDER BY n = 1, sha256(concat_ws('|', symbol, 'flip', n))) AS draw FROM marked),
 flipped AS (SELECT symbol, t, close, CAST(sum(CASE WHEN draw <= k AND n > 1 THEN 1 ELSE 0 END) OVER {_FAR} % 2 AS DOUBLE) AS position FROM counted),
 {_accounting('flipped')},{_RESULTS}
-SELECT symbol, n_bars, round(return_pct, 4) AS return_pct, round(turnover, 4) AS turnover FROM results""")
+SELECT symbol, n_bars, round(ln(greatest(1 + return_pct / 100, 0.000001)), 6) AS log_growth, round(turnover, 4) AS turnover FROM results""")
 def null_flipped(spark, sf_dir):
     rows = signals.apply(bars(spark, sf_dir), "MOMENTUM")
-    return _rounded(bt.results(bt.account(bt.flipped(rows))).select("symbol", "n_bars", "return_pct", "turnover"))
+    return _rounded(bt.results(bt.account(bt.flipped(rows))).select("symbol", "n_bars", F.log(F.greatest(1 + F.col("return_pct") / 100, F.lit(1e-6))).alias("log_growth"), "turnover"), 6)
 
 
 @query("null_noise")
 def null_noise(spark, sf_dir):
     """The walk's running product differs in its last digits between engines, and so may a crossing."""
-    return _rounded(bt.results(bt.account(bt.noise(bars(spark, sf_dir)))).select("symbol", "n_bars", "return_pct", "turnover"))
+    return _rounded(bt.results(bt.account(bt.noise(bars(spark, sf_dir)))).select("symbol", "n_bars", F.log(F.greatest(1 + F.col("return_pct") / 100, F.lit(1e-6))).alias("log_growth"), "turnover"), 6)
