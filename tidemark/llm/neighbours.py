@@ -139,7 +139,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int
     d = dims["d"]
     asked = asked.where(F.size("v") == d).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_queries = 1 + asked.count() // query_block
-    n_groups = max(2 * partitions(spark), dims["count"] // (16 * block))
+    # groups of 1,024 candidates or more, of 16 blocks at most: each gives k rows per query
+    n_groups = max(1, min(2 * partitions(spark), dims["count"] // 1024), dims["count"] // (16 * block))
     # a tile is one block of queries against one group of candidates, which streams past it
     part = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
