@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, minhash, mixing, neighbours, packing, substring, suffix, token_files, toxicity
+from . import chat, fingerprints, minhash, mixing, neighbours, packing, sql, substring, suffix, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -17,6 +17,9 @@ QUERIES = {
     "op10_minhash": minhash.op10,
 }
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": sql.OP2_SQL,
     "op3_nearest": neighbours.OP3_SQL,
     "op4_chat_format": chat.OP4_SQL,
+    "op7_mixing": sql.OP7_SQL,
+    "op10_minhash": sql.OP10_SQL,
 }
