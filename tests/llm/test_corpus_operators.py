@@ -115,6 +115,35 @@ def test_minhash_against_brute_force(docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_links_all_of_a_large_template_group(spark):
+    rng = random.Random(8)
+    template = [f"w{i}" for i in range(120)]
+
+    def fill(words, k):
+        words = list(words)
+        for p in rng.sample(range(len(words)), k):
+            words[p] = f"x{rng.randrange(10**9)}"
+        return words
+
+    texts = [fill(template, 3) for _ in range(2000)]
+    texts += [fill(texts[i], 1) for i in rng.sample(range(2000), 200)]
+    sets = [_shingles(" ".join(t), 3) for t in texts]
+    number: dict = {}
+    m = np.zeros((len(texts), len(set().union(*sets))), np.float32)
+    for i, x in enumerate(sets):
+        m[i, [number.setdefault(g, len(number)) for g in x]] = 1
+    n, shared = m.sum(1), m @ m.T
+    label = list(range(len(texts)))
+    for _ in range(4):
+        for i, j in zip(*np.nonzero(100 * shared >= 85 * (n[:, None] + n[None, :] - shared))):
+            label[i] = label[j] = min(label[i], label[j])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    want = [(i, c) for i, c in enumerate(label)]
+    assert len(set(label)) > 1700
+    assert _rows(minhash.near_duplicates(docs, size=3, percent=85), "doc_id", "component_id") == sorted(want, key=repr)
+    assert _rows(minhash.near_duplicates(docs, size=3, percent=85, block=400), "doc_id", "component_id") == sorted(want, key=repr)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100)], "x long, y long")
     found = {r["node"]: r["component"] for r in minhash.components(edges).collect()}
