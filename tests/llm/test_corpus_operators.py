@@ -203,6 +203,41 @@ def test_bin_completion():
     assert len(packing.complete([6, 6, 5, 5, 4, 4, 3, 3, 2, 2], 10)) == 4
 
 
+def test_packing_of_many_short_pieces():
+    rng = random.Random(4)
+    for histogram in ({100: 1_000_000}, {7: 30_000, 90: 2_000, 333: 900}, dict(Counter(rng.randrange(20, 400) for _ in range(6000))), dict(Counter(min(2048, int(rng.lognormvariate(4.5, 1)) + 1) for _ in range(20_000)))):
+        bins = packing.patterns(histogram, 2048)
+        assert sum((Counter({x: k * m for x, k in Counter(b).items()}) for b, m in bins), Counter()) == Counter(histogram)
+        assert max(sum(b) for b, _ in bins) <= 2048
+        n = sum(m for _, m in bins)
+        assert n <= sum(m for _, m in packing.best_fit_patterns(histogram, 2048))
+        assert packing.lower_bound(histogram, 2048) <= n <= packing.lower_bound(histogram, 2048) + (1 if 100 not in histogram or len(histogram) > 1 else 1200)
+    assert sum(m for _, m in packing.patterns({100: 1_000_000}, 2048)) == 50_000
+    # the search finds what best fit does not
+    assert sum(m for _, m in packing.best_fit_patterns({6: 200, 5: 100, 4: 100, 3: 300}, 15)) >= sum(m for _, m in packing.patterns({6: 200, 5: 100, 4: 100, 3: 300}, 15, tail=10)) >= packing.lower_bound({6: 200, 5: 100, 4: 100, 3: 300}, 15)
+
+
+def test_best_fit_of_a_histogram_equals_that_of_items():
+    rng = random.Random(6)
+    for _ in range(200):
+        items = [rng.randrange(1, rng.choice((5, 30, 100))) for _ in range(rng.randrange(1, 80))]
+        bins: list[list[int]] = []
+        for x in sorted(items, reverse=True):
+            fit = [b for b in bins if sum(b) + x <= 100]
+            if fit:
+                max(fit, key=sum).append(x)
+            else:
+                bins.append([x])
+        assert len(packing.best_fit(items, 100)) == len(bins) >= packing.lower_bound(Counter(items), 100)
+        room = rng.randrange(1, 60)
+        have, counts = sorted(set(items)), Counter(items)
+        sums = {0}
+        for x in items:
+            sums |= {y + x for y in sums if y + x <= room}
+        found = packing.fillings(room, have, counts)
+        assert max(map(sum, found), default=0) == max(sums) and all(not Counter(f) - counts for f in found)
+
+
 def test_token_files(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)

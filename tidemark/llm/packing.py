@@ -50,106 +50,142 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
 
 
 # ---------------------------------------------------------------- the search, on a histogram of lengths
-def fillings(room: int, have: list[int], counts: Counter, depth: int = 4, wide: int = 8) -> list[tuple[int, ...]]:
-    """Undominated fillings of room, least waste first; have: the lengths at hand, ascending.
+def fillings(room: int, have: list[int], counts: Counter, wide: int = 8) -> list[tuple[int, ...]]:
+    """Fillings of room with lengths at hand (have, ascending), least waste first, at most ``wide``.
 
-    A filling is dominated where a single longer item would hold all its items: so one item is the
-    longest that fits, and more items must come closer to room than fewer do.
+    For each length there is the fullest filling of which it is the longest item, with as many items as room
+    allows: sums that can be reached are bits of a whole number, so none is searched twice. Among equally
+    full ones, longer items come first.
     """
-    found: list[tuple[int, ...]] = []
-
-    def search(left: int, top: int, chosen: tuple[int, ...], best: int) -> int:
-        """best: the least waste so far; returns the new one."""
-        i = bisect_right(have, min(left, top)) - 1
-        for n in range(i, max(-1, i - wide), -1):
-            x = have[n]
-            if counts[x] <= chosen.count(x):
-                continue
-            if left - x < best:
-                best = left - x
-                found.append((*chosen, x))
-            if best == 0:
+    have = have[: bisect_right(have, room)]
+    mask, reach, full = (1 << (room + 1)) - 1, [1], []
+    for k, x in enumerate(have):
+        sums, more, step = reach[-1], min(counts[x], room // x) - 1, 1
+        while more > 0:  # up to so many further copies
+            step = min(step, more)
+            sums |= sums << (step * x) & mask
+            more, step = more - step, step * 2
+        with_x = sums << x & mask
+        full.append((with_x.bit_length() - 1, k))
+        reach.append(reach[-1] | with_x)
+    out = []
+    for total, k in sorted(full, reverse=True)[:wide]:
+        chosen, left = [have[k]], total - have[k]
+        for i in range(k, -1, -1):
+            x = have[i]
+            n = min(counts[x] - (i == k), left // x)
+            while not reach[i] >> (left - n * x) & 1:
+                n -= 1
+            chosen += [x] * n
+            left -= n * x
+            if not left:
                 break
-            if len(chosen) + 1 < depth and left - x >= have[0]:
-                best = search(left - x, x, (*chosen, x), best)
-        return best
+        out.append(tuple(chosen))
+    return out
 
-    search(room, room, (), room)
-    return sorted(found, key=lambda f: (room - sum(f), len(f)))
 
-
-def best_fit(items: list[int], capacity: int) -> list[tuple[int, ...]]:
-    """Best-fit decreasing: the incumbent of the search."""
-    bins: list[list[int]] = []
-    by_room: dict[int, list[int]] = {}
+def best_fit_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing over a histogram: bins as (lengths, multiplicity); equal bins are handled together."""
+    by_room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     rooms: list[int] = []
-    for x in sorted(items, reverse=True):
-        i = bisect_right(rooms, x - 1)
-        if i < len(rooms):
-            room = rooms[i]
-            b = by_room[room].pop()
-            if not by_room[room]:
-                del by_room[room], rooms[i]
-            bins[b].append(x)
-            room -= x
-        else:
-            b, room = len(bins), capacity - x
-            bins.append([x])
-        if room not in by_room:
+
+    def put(room: int, bins: tuple[int, ...], n: int) -> None:
+        if n and room not in by_room:
             rooms.insert(bisect_right(rooms, room), room)
             by_room[room] = []
-        by_room[room].append(b)
-    return [tuple(b) for b in bins]
+        if n:
+            by_room[room].append((bins, n))
+
+    for x, n in sorted(((x, n) for x, n in histogram.items() if n > 0), reverse=True):
+        while n:
+            i = bisect_right(rooms, x - 1)
+            room = rooms[i] if i < len(rooms) else capacity
+            bins, m = by_room[room].pop() if i < len(rooms) else ((), n)
+            if i < len(rooms) and not by_room[room]:
+                del by_room[room], rooms[i]
+            # the fullest bin is filled before the next: each takes k, then one what is left over
+            k = room // x
+            whole = min(m, n // k)
+            some = n - whole * k if whole < m else 0
+            put(room - k * x, bins + (x,) * k, whole)
+            put(room - some * x, bins + (x,) * some, int(some > 0))
+            if bins:
+                put(room, bins, m - whole - (some > 0))
+            n -= whole * k + some
+    return [b for found in by_room.values() for b in found]
 
 
-def complete(items: list[int], capacity: int, nodes: int = 20_000) -> list[tuple[int, ...]]:
-    """Bin completion with branch and bound: fill a bin around the largest item, in each undominated way.
+def best_fit(items: list[int], capacity: int) -> list[tuple[int, ...]]:
+    """Best-fit decreasing: the incumbent of the search."""
+    return [b for b, n in best_fit_patterns(Counter(items), capacity) for _ in range(n)]
+
+
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Bins that any packing needs: for each a, items over capacity - a share a bin with none of a or more."""
+    sizes = np.zeros(capacity + 1, np.int64)
+    for x, n in histogram.items():
+        sizes[x] += n
+    count, total = np.cumsum(sizes), np.cumsum(sizes * np.arange(capacity + 1))
+    half, best = capacity // 2, -(-int(total[-1]) // capacity)
+    for a in range(1, half + 1):
+        large, mid = count[-1] - count[half], (count[capacity - a] - count[half]) * capacity - (total[capacity - a] - total[half])
+        best = max(best, int(large) + max(0, -(-int(total[half] - total[a - 1] - mid) // capacity)))
+    return best
+
+
+def search(histogram: dict[int, int], capacity: int, nodes: int = 20_000, tail: int = 1500) -> list[tuple[tuple[int, ...], int]]:
+    """Bin completion with branch and bound over patterns with multiplicities.
 
-    A branch ends when its waste leaves no room for fewer bins than the incumbent has; the search ends at
-    the lower bound or after ``nodes`` steps, with the incumbent at least as good as best fit.
+    The largest length is filled up in the least wasteful ways, each for as many bins as its lengths allow
+    or for half of them, and for one bin where ``tail`` items or fewer are left. A branch ends when its
+    waste leaves no room for fewer bins than the incumbent has; the search ends at the lower bound or
+    after ``nodes`` steps. The incumbent starts as best fit of all items.
     """
-    best = best_fit(items, capacity)
-    total, steps = sum(items), 0
-    least = -(-total // capacity)
-    stack: list[tuple[Counter, list[tuple[int, ...]], int]] = [(Counter(items), [], 0)]
-    while stack and len(best) > least and steps < nodes:
-        counts, bins, waste = stack.pop()
+    counts = Counter({k: v for k, v in histogram.items() if v > 0})
+    best = best_fit_patterns(counts, capacity)
+    fewest, least, total, steps = sum(n for _, n in best), lower_bound(counts, capacity), sum(k * v for k, v in counts.items()), 0
+    # bins so far are a chain, so that branches share them
+    stack: list[tuple[Counter, tuple | None, int, int, int]] = [(counts, None, 0, 0, sum(counts.values()))]
+    while stack and fewest > least and steps < nodes:
+        counts, bins, used, waste, left = stack.pop()
         steps += 1
-        if not counts:
-            best = bins if len(bins) < len(best) else best
+        if not left:
+            if used < fewest:
+                best, fewest = [], used
+                while bins:
+                    best.append(bins[0])
+                    bins = bins[1]
             continue
-        if waste > (len(best) - 1) * capacity - total:
+        if waste > (fewest - 1) * capacity - total:
             continue
         top = max(counts)
         rest = counts - Counter([top])
-        for f in reversed((fillings(capacity - top, sorted(rest), rest)[:3] if rest else []) or [()]):
-            stack.append((rest - Counter(f), [*bins, (top, *f)], waste + capacity - top - sum(f)))
+        branches = []
+        for f in (fillings(capacity - top, sorted(rest), rest, 3) if rest else []) or [()]:
+            use = Counter((top, *f))
+            most = min(counts[x] // k for x, k in use.items())
+            branches += [(f, use, n) for n in ((1,) if left <= tail else dict.fromkeys((most, (most + 1) // 2)))]
+        for f, use, n in reversed(branches):
+            after = counts.copy()
+            for x, k in use.items():
+                after[x] -= n * k
+                if not after[x]:
+                    del after[x]
+            stack.append((after, (((top, *f), n), bins), used + n, waste + n * (capacity - top - sum(f)), left - n * (len(f) + 1)))
     return best
 
 
-def patterns(histogram: dict[int, int], capacity: int = CAPACITY, tail: int = 1500) -> list[tuple[tuple[int, ...], int]]:
-    """Bins as (lengths, multiplicity) for a histogram of lengths.
+def complete(items: list[int], capacity: int, nodes: int = 20_000) -> list[tuple[int, ...]]:
+    """The search over single items; at least as good as best fit."""
+    return [b for b, n in search(Counter(items), capacity, nodes, len(items)) for _ in range(n)]
 
-    While many items remain, the least wasteful filling of the largest length is used for as many bins as
-    its lengths allow; the last ``tail`` items go through the search one by one.
-    """
-    counts, out = Counter({k: v for k, v in histogram.items() if v > 0}), []
-    left = sum(counts.values())
-    while left > tail:
-        top = max(counts)
-        counts[top] -= 1
-        have = sorted(x for x, n in counts.items() if n > 0)
-        f = next(iter(fillings(capacity - top, have, counts)), ())
-        counts[top] += 1
-        use = Counter((top, *f))
-        n = max(1, min(min(counts[x] // k for x, k in use.items()), (left - tail) // len(use) or 1))
-        out.append(((top, *f), n))
-        left -= n * (len(f) + 1)
-        for x, k in use.items():
-            counts[x] -= n * k
-            if not counts[x]:
-                del counts[x]
-    return out + list(Counter(complete(list(counts.elements()), capacity)).items())
+
+def patterns(histogram: dict[int, int], capacity: int = CAPACITY, tail: int = 1500) -> list[tuple[tuple[int, ...], int]]:
+    """Bins as (lengths, multiplicity) for a histogram of lengths; never more bins than best fit of all items."""
+    found: Counter = Counter()
+    for lengths, n in search(histogram, capacity, tail=tail):
+        found[tuple(sorted(lengths, reverse=True))] += n
+    return list(found.items())
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_salt: int = 100_000) -> DataFrame:
@@ -160,12 +196,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_salt: int = 100_000) -
     used: Counter = Counter()
     for lengths, n in patterns(histogram, capacity):
         offset = 0
-        for x in lengths:
-            slots.append((x, used[x], used[x] + n, base, offset))
-            used[x] += n
-            offset += x
+        for x, k in Counter(lengths).items():  # equal lengths stand side by side
+            slots.append((x, used[x], used[x] + n * k, base, offset, n))
+            used[x] += n * k
+            offset += x * k
         base += n
-    table = spark.createDataFrame(slots, "slot_length int, low long, high long, base long, offset long")
+    table = spark.createDataFrame(slots, "slot_length int, low long, high long, base long, first long, bins long")
     salts = max(1, sum(histogram.values()) // per_salt)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
@@ -174,7 +210,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_salt: int = 100_000) -
     ranked = salted.withColumn("rank", F.row_number().over(order) - 1).join(bases, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
     # the slots are at most a few for each of the lengths below capacity
     placed = ranked.join(F.broadcast(table), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    return placed.select(*pieces.columns, (F.col("base") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
+    k = F.col("rank") - F.col("low")
+    offset = F.col("first") + F.floor(k / F.col("bins")) * F.col("slot_length")
+    return placed.select(*pieces.columns, (F.col("base") + k % F.col("bins")).alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
