@@ -219,6 +219,25 @@ def test_overfitting_separates_noise_from_edge(spark):
     assert pbo[1] < 0.05 < pbo[0]
 
 
+def test_overfitting_uses_the_shortest_trial_whole(spark):
+    import numpy as np
+    from itertools import combinations
+
+    rng = random.Random(9)
+    trials = {f"t{k}": [rng.gauss(0, 1) + (0.3 if i < 100 and k == 2 else 0) for i in range(203 + 10 * k)] for k in range(5)}
+    for least, splits in ((203, 16), (13, 6), (3, 0)):
+        cut = {s: r[: least + 2 * k] for k, (s, r) in enumerate(trials.items())}
+        m = np.array([r[-least:] for _, r in sorted(cut.items())])
+        blocks, bad = np.array_split(m, max(2, splits), axis=1), []
+        for c in combinations(range(splits), splits // 2) if splits else ():
+            ratio = lambda x: x.mean(1) / x.std(1, ddof=1)
+            inside, out = (ratio(np.concatenate([blocks[i] for i in range(splits) if (i in c) == way], axis=1)) for way in (True, False))
+            bad.append((out <= out[inside.argmax()]).sum() / (len(m) + 1) <= 0.5)
+        got = metrics.overfitting(spark.createDataFrame([(s, i, x) for s, r in cut.items() for i, x in enumerate(r)], "symbol string, i int, r double")).first()
+        assert got["n_combinations"] == len(bad)
+        assert got["pbo"] == (pytest.approx(np.mean(bad)) if bad else None)
+
+
 def test_folds_keep_their_distance(spark):
     rows = spark.createDataFrame([("A", i) for i in range(1, 61)] + [("B", i) for i in range(1, 13)], "symbol string, n int")
     out = metrics.folds(rows, 3).toPandas()

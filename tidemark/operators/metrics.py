@@ -135,15 +135,23 @@ def deflated(moments: DataFrame, trials: int) -> DataFrame:
     return rows.withColumn("dsr", probabilistic_sharpe(F.col("sr"), F.col("bar"), F.col("n"), F.col("skew"), F.col("kurtosis")))
 
 
-def overfitting(returns: DataFrame, splits: int = 8) -> DataFrame:
+def overfitting(returns: DataFrame, most: int = 16) -> DataFrame:
     """One row (n_combinations, pbo): share of splits whose best trial in sample ranks in the lower half out of it.
 
-    returns (symbol = trial, i, r). Blocks keep counts, sums and squares only; combinations are a small table.
+    returns (symbol = trial, i = order in time, r), aligned on the last rows of the shortest trial, its whole
+    length; splits are the largest even number up to ``most`` and half that length. Blocks keep counts, sums and
+    squares only; combinations are a small table. Below two splits or trials there is none, and pbo is null.
     """
     spark = returns.sparkSession
-    blocks = returns.withColumn("block", F.ntile(splits).over(W.partitionBy("symbol").orderBy("i"))).groupBy("symbol", "block").agg(F.count("r").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"))
-    halves = spark.createDataFrame([(k, b, b in c) for k, c in enumerate(combinations(range(1, splits + 1), splits // 2)) for b in range(1, splits + 1)], "combo int, block int, inside boolean")
-    both = blocks.join(F.broadcast(halves), "block").groupBy("combo", "symbol", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    sizes = returns.groupBy("symbol").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.count("*").alias("trials")).first()
+    least = sizes["least"] or 0
+    splits = min(most, least // 2) // 2 * 2
+    last = returns.withColumn("place", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("i")))).where(F.col("place") <= least)
+    blocks = last.withColumn("block", F.ntile(max(2, splits)).over(W.partitionBy("symbol").orderBy("i"))).groupBy("symbol", "block").agg(F.count("r").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"))
+    # a combination is the number whose bits tell the blocks in sample
+    combos = spark.range(1 << splits).where(F.bit_count("id") == splits // 2) if splits >= 2 and sizes["trials"] >= 2 else spark.range(0)
+    halves = combos.select(F.col("id").alias("combo"), F.explode(F.sequence(F.lit(1), F.lit(max(2, splits)))).alias("block")).withColumn("inside", F.expr("(combo >> (block - 1)) & 1 = 1"))
+    both = halves.join(F.broadcast(blocks), "block").groupBy("combo", "symbol", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     var = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
     both = both.withColumn("sr", F.when(var > 0, F.col("s") / F.col("n") / F.sqrt(var)).otherwise(0.0))
     sides = both.groupBy("combo", "symbol").agg(F.max(F.when(F.col("inside"), F.col("sr"))).alias("a"), F.max(F.when(~F.col("inside"), F.col("sr"))).alias("b"))

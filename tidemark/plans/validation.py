@@ -92,9 +92,9 @@ def track_record(spark, sf_dir):
 
 @query("overfitting_probability")
 def overfitting_probability(spark, sf_dir):
-    w = W.partitionBy("symbol").orderBy(F.desc("t"))
-    r = _curves(spark, sf_dir).withColumns({"i": F.row_number().over(w), "r": F.col("equity") / F.lead("equity").over(w) - 1}).where("r is not null and i <= 64")
-    return metrics.overfitting(r.select("symbol", "i", "r"))
+    w = W.partitionBy("symbol").orderBy("t")
+    r = _curves(spark, sf_dir).withColumn("r", F.col("equity") / F.lag("equity").over(w) - 1).where("r is not null")
+    return metrics.overfitting(r.select("symbol", F.col("t").alias("i"), "r"))
 
 
 @query("excess_p_values", f"""WITH {_MOMENTUM},{_HOLD},
