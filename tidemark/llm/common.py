@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import unicodedata
@@ -24,9 +25,11 @@ _U = np.uint64
 
 # ---------------------------------------------------------------- shared storage and joins
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests, one machine), an own temporary one."""
+    """The folder named in spark.checkpoint.dir; where it is unset on one machine (tests), an own temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -100,8 +103,8 @@ def windows(sums: np.ndarray, base: int, at: np.ndarray, end: np.ndarray) -> np.
 
 
 B1, B2, B3 = 0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5, 0xD6E8FEB86659FD93 | 5
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
+SPACE_BYTES = np.zeros(256, bool)
+SPACE_BYTES[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -123,6 +126,17 @@ def slices(offsets: np.ndarray, most: int = 1 << 20):
         a = min(b, n)
 
 
+def spans(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of bytes inside, none of which goes over a row's bound."""
+    edge = np.zeros(len(inside) + 1, bool)
+    edge[bounds] = True
+    first, last = inside.copy(), inside.copy()
+    if len(inside):
+        first[1:] &= ~inside[:-1] | edge[1:-1]
+        last[:-1] &= ~inside[1:] | edge[1:-1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of consecutive rows: (hash, start byte, end byte, index of each row's first word, then the total).
 
@@ -132,14 +146,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     bounds = offsets - offsets[0]
     if lower:
         data = _LOWER[data]
-    word = ~_SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[bounds] = True
-    begin, last = word.copy(), word.copy()
-    if len(data):
-        begin[1:] &= ~word[:-1] | edge[1:-1]
-        last[:-1] &= ~word[1:] | edge[1:-1]
-    start, end = np.flatnonzero(begin), np.flatnonzero(last) + 1
+    start, end = spans(~SPACE_BYTES[data], bounds)
     h = windows(prefix(data.astype(np.uint64) + _U(1), B1), B1, start, end)
     return h, start, end, np.searchsorted(start, bounds)
 
@@ -176,10 +183,11 @@ def runs(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 #: What the quick path leaves to the library: rare spaces, controls, special tokens, numbers that are
 #: not decimal digits, letters whose lower case depends on place or language, and all from U+0590 on.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\xb2\xb3\xb9\xbc-\xbe\u0130\u03a3\u0590-\U0010ffff]|<\\|")
-#: How the two vocabularies split a text before their merges.
+#: How the two vocabularies split a text before their merges. Words are split together, with
+#: a zero byte between them, which no plain text holds.
 _SPLIT = {
-    False: re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"),
-    True: re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"),
+    False: re.compile("\0|'s|'t|'re|'ve|'m|'ll|'d| ?[^\\W\\d_]+| ?\\d+| ?(?:[^\\s\\w\0]|_)+|\\s+(?![^\\s\0])|\\s+"),
+    True: re.compile("\0|'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_]+|\\d|(?:[^\\s\\w\0]|_)+"),
 }
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 #: Byte-level vocabularies show each byte as one character: printable ones as they are, others from U+0100 on.
@@ -199,6 +207,29 @@ class _Numbered(dict):
         return n
 
 
+class _Runs:
+    """Numbered runs of ids in one growing array."""
+
+    def __init__(self):
+        self.ids, self.ends, self.used, self.n = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0, 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(sizes) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.ends[self.n + 1 : self.n + len(sizes) + 1] = self.used + np.cumsum(sizes)
+        self.used, self.n = self.used + len(ids), self.n + len(sizes)
+
+    def taken(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs k, one after the other, and where each run ends (from 0)."""
+        a = self.ends[k]
+        n = self.ends[k + 1] - a
+        after = np.concatenate([[0], np.cumsum(n)])
+        return self.ids[np.repeat(a - after[:-1], n) + np.arange(after[-1])], after
+
+
 class Encoder:
     """Encodes texts with a tokenizers file, each distinct word of them once.
 
@@ -225,27 +256,28 @@ class Encoder:
         return cls._made[path]
 
     def forget(self) -> None:
-        self.words = _Numbered()
-        self.pieces: dict[str, list[int]] = {}
-        self.ids, self.ends, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0
+        self.words, self.word_ids = _Numbered(), _Runs()
+        self.pieces, self.piece_ids = _Numbered(), _Runs()
+        self.pieces["\0"]  # the first piece parts words and has no ids
+        self.piece_ids.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def merged(self, piece: str) -> list[int]:
-        if (ids := self.pieces.get(piece)) is None:
-            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_CHARS))]
-        return ids
+        return [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_CHARS))]
 
     def learn(self, n: int) -> None:
         """Encode the words numbered from n on."""
-        new = list(islice(reversed(self.words), len(self.words) - n))[::-1]
-        found = [list(chain.from_iterable(map(self.merged, self.findall(w.lower() if self.drops else w)))) for w in new]
-        total = sum(map(len, found))
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(new) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[self.used : self.used + total] = list(chain.from_iterable(found))
-        self.ends[n + 1 : n + len(new) + 1] = self.used + np.cumsum([len(x) for x in found])
-        self.used += total
+        new = "\0".join(list(islice(reversed(self.words), len(self.words) - n))[::-1])
+        found, known = self.findall(new.lower() if self.drops else new), len(self.pieces)
+        k = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        if len(self.pieces) > known:
+            gc.disable()  # many small lists come and go here
+            ids = list(map(self.merged, list(islice(reversed(self.pieces), len(self.pieces) - known))[::-1]))
+            self.piece_ids.add(np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+            del ids
+            gc.enable()
+        ids, ends = self.piece_ids.taken(k)
+        last = ends[np.concatenate([np.flatnonzero(k == 0), [len(k)]])]
+        self.word_ids.add(ids, np.diff(last, prepend=0))
 
     def is_plain(self, text: str, rare: bool) -> bool:
         if rare and _ODD.search(text):
@@ -271,10 +303,7 @@ class Encoder:
         k = np.fromiter(map(self.words.__getitem__, chain.from_iterable(lists)), np.int64, counts.sum())
         if len(self.words) > n:
             self.learn(n)
-        a = self.ends[k]
-        n = self.ends[k + 1] - a
-        after = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.repeat(a - after[:-1], n) + np.arange(after[-1])]
+        ids, after = self.word_ids.taken(k)
         bounds = after[np.concatenate([[0], np.cumsum(counts)])]
         parts = iter([ids[x:y] for x, y in zip(bounds[:-1], bounds[1:])])
         return [next(parts) if x else next(whole) for x in plain]

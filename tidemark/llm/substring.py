@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import B2, B3, NO_ID, join_small, materialize, owners, prefix, runs, slices, text_bytes, windows, word_hashes
+from .common import B2, B3, NO_ID, SPACE_BYTES, join_small, materialize, owners, prefix, runs, slices, spans, text_bytes, text_chunks, windows, word_hashes
 
 WINDOW = 50
 #: What identifies a row: its doc_id (null: last) and its text.
@@ -131,18 +131,31 @@ def repeated_runs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 def _keep(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [batch.column(c).to_pylist() for c in ("text", "is_copy", "starts", "ends")]
-            n, cut, kept = [], [], []
-            for text, copy, a, b in zip(*lists):
-                words = (text or "").encode().split()
-                n.append(len(words))
-                if copy and len(words) >= window:
-                    words = []
-                elif a:
-                    words = [w for x, y in zip([0, *b], [*a, len(words)]) for w in words[x:y]]
-                cut.append(n[-1] - len(words))
-                kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(n, pa.int64()), pa.array(cut, pa.int64()), pa.array(kept, pa.string())], names=["row", "text", "n_words", "n_removed", "kept"])
+            for part in text_chunks(batch):
+                data, offsets = text_bytes(part.column("text"))
+                data, bounds = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+                start, end = spans(~SPACE_BYTES[data], bounds)
+                first = np.searchsorted(start, bounds)
+                n = np.diff(first)
+                gone = np.zeros(len(start) + 1, np.int64)  # +1 where a run begins, -1 where it ends
+                for name, step in (("starts", 1), ("ends", -1)):
+                    held = part.column(name)
+                    at = np.repeat(first[:-1], np.asarray(pc.fill_null(pc.list_value_length(held), 0))) + np.asarray(held.flatten())
+                    np.add.at(gone, at, step)
+                copy = np.asarray(part.column("is_copy").cast(pa.int8())).astype(bool) & (n >= window)
+                stays = (np.cumsum(gone)[:-1] == 0) & ~np.repeat(copy, n)
+                row = np.repeat(np.arange(len(n)), n)[stays]
+                begin, stop = start[stays], end[stays]
+                # a word keeps the space behind it, unless it is its row's last
+                stop = stop + np.r_[row[1:] == row[:-1], np.zeros(min(1, len(row)), bool)]
+                step = np.zeros(len(data) + 1, np.int8)
+                step[begin] += 1
+                np.subtract.at(step, stop, 1)
+                inside = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+                out = np.where(SPACE_BYTES[data], np.uint8(32), data)[inside]
+                ends = np.searchsorted(np.flatnonzero(inside), bounds)
+                kept = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), pa.array(n, pa.int64()), pa.array(n - np.bincount(row, minlength=len(n)), pa.int64()), kept], names=["row", "text", "n_words", "n_removed", "kept"])
 
     return run
 

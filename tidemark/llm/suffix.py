@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import B1, B2, B3, join_small, materialize, owners, partitions, prefix, slices, text_bytes, windows
+from .common import B1, B2, B3, join_small, materialize, owners, partitions, prefix, slices, text_bytes, text_chunks, windows
 from .substring import KEY, bytes_of, keyed, unpacked
 
 LENGTH = 400
@@ -253,20 +253,20 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most
 def _keep(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [batch.column(c).to_pylist() for c in ("text", "is_copy", "starts", "ends")]
-            n, cut, spans, kept = [], [], [], []
-            for text, copy, a, b in zip(*lists):
-                raw = (text or "").encode()
-                left, many = raw, 0
-                if copy and len(raw) >= length:
-                    left, many = b"", 1
-                elif a:
-                    left, many = b"".join(raw[x:y] for x, y in zip([0, *b], [*a, len(raw)])), len(a)
-                n.append(len(raw))
-                cut.append(len(raw) - len(left))
-                spans.append(many)
-                kept.append(left)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), *[pa.array(x, pa.int64()) for x in (n, cut, spans)], pa.array(kept, pa.binary())], names=["row", "text", "n_bytes", "n_removed", "n_spans", "kept"])
+            for part in text_chunks(batch):
+                data, offsets = text_bytes(part.column("text"))
+                data, bounds = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+                n = np.diff(bounds)
+                copy = np.asarray(part.column("is_copy").cast(pa.int8())).astype(bool) & (n >= length)
+                gone = np.zeros(len(data) + 1, np.int8)
+                for name, step in (("starts", 1), ("ends", -1)):
+                    held = part.column(name)
+                    np.add.at(gone, np.repeat(bounds[:-1], np.asarray(pc.fill_null(pc.list_value_length(held), 0))) + np.asarray(held.flatten()), step)
+                many = np.where(copy, 1, np.asarray(pc.fill_null(pc.list_value_length(part.column("starts")), 0)))
+                stays = (np.cumsum(gone[:-1], dtype=np.int8) == 0) & ~np.repeat(copy, n)
+                ends = np.searchsorted(np.flatnonzero(stays), bounds)
+                kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[stays])]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), *[pa.array(x, pa.int64()) for x in (n, n - np.diff(ends), many)], kept], names=["row", "text", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
