@@ -47,6 +47,42 @@ def _rows(df, *cols):
     return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
 
 
+def _repeats(rows, length):
+    """Brute force of the suffix operator: (doc_id, n_bytes, n_removed, n_spans, sha256 of what stays)."""
+    seen, raws = Counter(), [(t or "").encode() for _, t in rows]
+    for x in raws:
+        seen.update(x[p : p + length] for p in range(len(x) - length + 1))
+    out = []
+    for (i, _), x in zip(rows, raws):
+        hit = np.zeros(len(x), bool)
+        for p in range(len(x) - length + 1):
+            if seen[x[p : p + length]] > 1:
+                hit[p : p + length] = True
+        spans = int((np.diff(np.r_[0, hit.astype(int)]) == 1).sum())
+        out.append((i, len(x), int(hit.sum()), spans, hashlib.sha256(np.frombuffer(x, np.uint8)[~hit].tobytes()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_suffix_of_passages_cut_at_many_places(spark):
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdef ghijé") for _ in range(1500))
+    rows = []
+    for i in range(150):
+        a = rng.randrange(900)
+        own = "".join(rng.choice("uvwxyz ") for _ in range(rng.randrange(300)))
+        rows.append((i, own + passage[a : a + rng.randrange(300, 1400)] + own[::-1]))
+    rows += [(None, rows[3][1])] * 3 + [(7, rows[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = _repeats(rows, 400)
+    for most in (2_000, 20):
+        old, suffix.repeated_spans.__defaults__ = suffix.repeated_spans.__defaults__, (400, 64, most)
+        try:
+            got = _rows(suffix.remove_repeats(docs).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) h"), "doc_id", "n_bytes", "n_removed", "n_spans", "h")
+        finally:
+            suffix.repeated_spans.__defaults__ = old
+        assert got == want
+
+
 def test_substring_against_brute_force(docs, empty):
     first, rows = {}, [(r[0] if r[0] is not None else common.NO_ID, r[0], r[1]) for r in _texts()]
     for d, _, t in rows:
@@ -65,20 +101,8 @@ def test_substring_against_brute_force(docs, empty):
 
 
 def test_suffix_against_brute_force(docs, empty):
-    rows, seen = _texts(), Counter()
-    raws = [(r[1] or "").encode() for r in rows]
-    for x in raws:
-        seen.update(x[p : p + 400] for p in range(len(x) - 399))
-    want = []
-    for r, x in zip(rows, raws):
-        hit = np.zeros(len(x), bool)
-        for p in range(len(x) - 399):
-            if seen[x[p : p + 400]] > 1:
-                hit[p : p + 400] = True
-        spans = int((np.diff(np.r_[0, hit.astype(int)]) == 1).sum())
-        want.append((r[0], len(x), int(hit.sum()), spans, hashlib.sha256(np.frombuffer(x, np.uint8)[~hit].tobytes()).hexdigest()))
     out = suffix.remove_repeats(docs).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) h")
-    assert _rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "h") == sorted(want, key=repr)
+    assert _rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "h") == _repeats([r[:2] for r in _texts()], 400)
     assert suffix.remove_repeats(empty).count() == 0
 
 
@@ -89,9 +113,16 @@ def test_suffix_by_window_hashes_agrees(docs):
 
 
 def test_merge_of_shard_transforms():
-    a, b = np.array([1, 1, 2, 1, 2, 3]), np.array([5, 7, 1, 5, 1, 0])
-    order, lcp = suffix.merge_transforms([a, b])
-    assert list(zip(a[order], b[order])) == sorted(zip(a, b)) and lcp.tolist() == [0, 2, 1, 0, 2, 0]
+    rng = random.Random(9)
+    for length, shard in ((20, 50), (33, 16), (64, 1 << 16)):
+        base = bytes(rng.randrange(2) for _ in range(90))
+        phrases = [base[: rng.randrange(30, 90)] if rng.random() < 0.5 else bytes(rng.randrange(2) for _ in range(rng.randrange(5, 90))) for _ in range(30)] + [b"\0" * 200]
+        data, ends = np.frombuffer(b"".join(phrases), np.uint8), np.cumsum([len(x) for x in phrases])
+        order, block = suffix.merge_transforms(data, ends, length, shard)
+        at = [e - len(x) + k for x, e in zip(phrases, ends) for k in range(len(x) - length + 1)]
+        said = lambda p: data[p : p + length].tobytes()
+        assert sorted(order.tolist()) == at and [said(p) for p in order] == sorted(map(said, at))
+        assert all((block[k] == block[k - 1]) == (said(order[k]) == said(order[k - 1])) for k in range(1, len(order)))
 
 
 def _shingles(text, size):
@@ -99,20 +130,27 @@ def _shingles(text, size):
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
 
 
-def test_minhash_against_brute_force(docs, empty):
-    rows = _texts()
-    ids = sorted({r[0] for r in rows if r[0] is not None})
-    sets = {r[0]: _shingles(r[1], 3) for r in rows if r[0] is not None}
-    label = {i: i for i in ids}
-    for _ in ids:
-        for x in ids:
-            for y in ids:
-                if sets[x] and 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]):
-                    label[x] = label[y] = min(label[x], label[y])
-    want = [(r[0], len(_shingles(r[1], 3)), label.get(r[0]), label.get(r[0]) == r[0]) for r in rows]
-    want = [(a, b, c, True) if a is None else (a, b, c, d) for a, b, c, d in want]
-    assert _rows(minhash.near_duplicates(docs, size=3, percent=85), "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=repr)
+def _components(rows, size, percent):
+    """Brute force of (doc_id, n_shingles, component_id, kept): documents are linked by any of their texts."""
+    sets = [(i, _shingles(t, size)) for i, t in rows]
+    label = {i: i for i, _ in sets if i is not None}
+    links = [(i, j) for i, x in sets for j, y in sets if i is not None and j is not None and x and 100 * len(x & y) >= percent * len(x | y)]
+    for _ in label:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    return sorted(((i, len(x), label[i] if x and i is not None else i, i is None or not x or label[i] == i) for i, x in sets), key=repr)
+
+
+def test_minhash_against_brute_force(spark, docs, empty):
+    found = ("doc_id", "n_shingles", "component_id", "kept")
+    assert _rows(minhash.near_duplicates(docs, size=3, percent=85), *found) == _components([r[:2] for r in _texts()], 3, 85)
     assert minhash.near_duplicates(empty).count() == 0
+    # rows that share a doc_id, with the same text and with others
+    text = lambda *skip: " ".join(f"w{i}" for i in range(17) if i not in skip)
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, other), (1, text(16)), (2, text(16)), (3, other + " end"), (4, text()), (4, text()), (5, "alone here and now"), (5, "quite another text of it"), (None, text()), (6, ""), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert _rows(minhash.near_duplicates(df, size=3, percent=85), *found) == _components(rows, 3, 85)
 
 
 def test_minhash_links_all_of_a_large_template_group(spark):

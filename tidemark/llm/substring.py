@@ -120,11 +120,12 @@ def repeated_runs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     anchors = materialize(rows.select(*KEY, "text").mapInArrow(_anchors(window, half), "h long, doc long, rk long, pos int"), "anchors")
     again = materialize(anchors.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("h"), "again")
     alive = join_small(anchors, again, ["h"], "left_semi", F.lit(16).cast("long"))
-    alive = materialize(alive.groupBy(*KEY).agg(F.collect_list("pos").alias("pos")), "alive")
+    alive = materialize(alive.groupBy(*KEY).agg(F.collect_set("pos").alias("pos")), "alive")
     candidates = join_small(rows.select(*KEY, "text"), alive, KEY, "inner", bytes_of("pos"))
     full = materialize(candidates.mapInArrow(_extended(window, half), "h1 long, h2 int, doc long, rk long, pos int"), "windows")
     firsts = full.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    covered = full.join(firsts, ["h1", "h2"]).where("doc > first_doc").groupBy(*KEY).agg(F.collect_list("pos").alias("at"))
+    firsts = materialize(firsts, "firsts")
+    covered = join_small(full, firsts, ["h1", "h2"], "inner", F.lit(32).cast("long")).where("doc > first_doc").groupBy(*KEY).agg(F.collect_set("pos").alias("at"))
     return materialize(covered.mapInArrow(_to_runs(window), "doc long, rk long, starts array<int>, ends array<int>"), "runs")
 
 

@@ -1,26 +1,28 @@
-"""Suffix-array dedup of bytes: shard Burrows-Wheeler transforms over a parse, merged by interleave refinement.
+"""Suffix-array dedup of bytes: a prefix-free parse, and shard transforms of its dictionary merged by interleave refinement.
 
 Each document is parsed at anchors: of every ``length`` consecutive bytes, the place of the 64-byte gram
 with the least hash. The choice depends on those bytes alone, so equal strings of ``length`` bytes have
-equal anchors at equal places. The parse - a document's anchor grams in order - is some 170 times shorter
-than its bytes.
-
-1. Every shard (a partition of the parse) sorts the suffixes of its own parse and keeps its transform as
-   runs: first symbol, following symbol, how many suffixes.
-2. Shard transforms meet in buckets of the first symbol and are merged by iterative interleave
-   refinement: an interleave of the shards' rows, at first in shard order, is refined by one more symbol
-   at a time within the blocks that are still equal (stable, so no shard's own order is sorted anew); a
-   block's split at depth h gives the common prefix h of its parts. Intervals whose suffixes share a
-   symbol are repeated.
-3. Windows whose anchor lies in a repeated interval are checked exactly: the bytes around the anchor go
-   to its symbol's bucket, and each window of ``length`` bytes is kept as repeated if another place has
-   it. Symbols with more than ``most`` places are checked by shuffled window hashes with
-   pre-aggregated counts instead, so that no task holds a group without bound.
-
-Whole copies of a text are settled first: all their bytes are repeated, and one stands for them.
+equal anchors at equal places. A phrase is the stretch of bytes that holds all windows (strings of
+``length`` bytes) of one anchor; neighbouring phrases overlap, as in a prefix-free parse, so every window
+lies in one phrase. The parse is some 140 times shorter than the bytes.
+
+1. Phrases are counted. All windows of a phrase that stands in several places are repeated. A phrase that
+   shares no anchor gram with a different one has no other repeats. What is left is the dictionary: one
+   copy of each distinct phrase, with its count, of symbols (anchor grams) that have several.
+2. Suffixes of the dictionary are sorted to depth ``length``, a task's symbols at a time. Each shard (some
+   phrases) has its suffixes in order of their first 8 bytes. Shards are merged by iterative interleave
+   refinement: their orders are merged, then within each block of still equal suffixes the interleave is
+   refined by the blocks of the suffixes half a depth further on (depths 16, 32, ..., 256, ``length``).
+   A suffix alone in its block is never touched again, and no depth compares bytes anew.
+3. The blocks at the last depth are the repeated intervals with a common prefix of ``length`` bytes: their
+   windows are repeated if the counts of their phrases sum to more than one.
+
+A symbol with more than ``most`` distinct phrases would not fit a task; its windows are counted by two
+hashes (95 bits), pre-aggregated and shuffled. Whole copies of a text are settled first: all their bytes
+are repeated, and one stands for them.
 
 Defined cases: a null text is an empty one; texts shorter than ``length`` keep everything; repeated rows
-are copies of each other; null doc_ids are rows as others; no rows give no rows.
+are copies of each other, whatever their doc_ids; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -60,6 +62,8 @@ class _Slice:
 
 
 def _parse(length: int, gram: int):
+    """Phrases: (sym, c1, c2, doc, rk, lo, hi); their windows start at lo, ..., hi, and c1 and c2 identify their bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
@@ -68,104 +72,143 @@ def _parse(length: int, gram: int):
                 s = _Slice(data, offsets[a : b + 1], length, gram)
                 new = np.ones(len(s.own), bool)
                 new[1:] = (s.own[1:] != s.own[:-1]) | (s.row[1:] != s.row[:-1])
-                at, r = s.own[new], s.row[new]
-                yield pa.RecordBatch.from_arrays([pa.array(s.gram[at].view(np.int64)), pa.array(doc[a + r]), pa.array(rk[a + r]), pa.array((at - s.first[r]).astype(np.int32))], names=["sym", *KEY, "pos"])
+                at = np.flatnonzero(new)
+                lo, hi = s.p[at], s.p[np.r_[at[1:], len(s.own)] - 1] if len(at) else s.p[at]
+                r, sym = s.row[at], s.gram[s.own[at]]
+                whole = [windows(prefix(s.data.astype(np.uint64) + _U(1), base), base, lo, hi + length) ^ (hi - lo).astype(np.uint64) for base in (B2, B3)]
+                columns = [sym.view(np.int64), *(x.view(np.int64) for x in whole), doc[a + r], rk[a + r], (lo - s.first[r]).astype(np.int32), (hi - s.first[r]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["sym", "c1", "c2", *KEY, "lo", "hi"])
 
     return run
 
 
-def shard_transform(batches: Iterator[pa.RecordBatch], followers: int = 4) -> Iterator[pa.RecordBatch]:
-    """Runs of one shard's transform in suffix order: (shard_at, sym, next, n).
+def _phrase_bytes(length: int):
+    """(sym, n, doc, rk, lo, ctx) of the phrases listed with each text."""
 
-    Beyond ``followers`` different next symbols, a symbol's further suffixes are one run with next 0: they
-    are repeated within the shard already.
-    """
-    for k, batch in enumerate(batches):
-        sym, doc = np.asarray(batch.column("sym")), np.asarray(batch.column("doc"))
-        follow = np.zeros_like(sym)
-        same = doc[1:] == doc[:-1]
-        follow[:-1][same] = sym[1:][same]
-        order = np.lexsort((follow, sym))
-        s, f = sym[order], follow[order]
-        cut = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (f[1:] != f[:-1])]) if len(s) else np.zeros(0, np.int64)
-        n = np.diff(np.r_[cut, len(s)])
-        s, f = s[cut], f[cut]
-        head = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else cut
-        rank = np.arange(len(s)) - np.repeat(head, np.diff(np.r_[head, len(s)]))
-        group = np.cumsum(rank <= followers) - 1  # those beyond join the run before them
-        keep = np.flatnonzero(rank <= followers)
-        f = np.where(rank[keep] == followers, 0, f[keep])
-        n = np.bincount(group, n, len(keep)).astype(np.int64) if len(keep) else n[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), k, np.int32)), pa.array(s[keep]), pa.array(f), pa.array(n)], names=["part", "sym", "next", "n"])
-
-
-def merge_transforms(symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Merge sorted shards by interleave refinement: (interleave, common prefix of each row with the one before).
-
-    symbols[h][i] is symbol h of row i, rows in shard order and sorted within a shard. Each round refines
-    only the blocks that are still equal, by a stable pass over one symbol.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_chunks(batch):
+                data, offsets = text_bytes(part.column("text"))
+                held = part.column("phrases")
+                flat = held.flatten()
+                lo, hi = (np.asarray(flat.field(c)).astype(np.int64) for c in ("lo", "hi"))
+                row = np.repeat(np.arange(len(part)), np.asarray(pc.list_value_length(held)))
+                start = offsets[row] + lo
+                sizes = hi - lo + length
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                for k in range(0, len(row), 2000):
+                    m = slice(k, k + 2000)
+                    n = sizes[m]
+                    took = data[np.repeat(start[m] - (ends[:-1][m] - ends[k]), n) + np.arange(n.sum())]
+                    bounds = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    ctx = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds), pa.py_buffer(took)])
+                    at = pa.array(row[m])
+                    yield pa.RecordBatch.from_arrays([flat.field("sym").slice(k, len(n)), flat.field("n").slice(k, len(n)), *(part.column(c).take(at) for c in KEY), flat.field("lo").slice(k, len(n)), ctx], names=["sym", "n", *KEY, "lo", "ctx"])
+
+    return run
+
+
+# ---------------------------------------------------------------- transforms and their merge
+def first_keys(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as one number that sorts like them."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        out = (out << _U(8)) | padded[k : k + len(data)]
+    return out
+
+
+def shard_transform(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A shard's suffixes (at) in order of their first 8 bytes."""
+    return at[np.argsort(keys[at], kind="stable")]
+
+
+def merge_transforms(data: np.ndarray, ends: np.ndarray, length: int, shard_bytes: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of all suffixes with length bytes, sorted to that depth, and the block of equal ones that each is in.
+
+    ends: where each phrase ends within data. A shard is some phrases of about shard_bytes.
     """
-    n = len(symbols[0])
-    order, block, lcp = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    active = np.arange(n)  # places in the interleave
-    for depth, symbol in enumerate(symbols):
-        rows = order[active]
-        move = np.lexsort((symbol[rows], block[active]))
-        order[active] = rows = rows[move]
-        key = symbol[rows]
-        fresh = np.r_[True, (block[active][1:] != block[active][:-1])]
-        split = np.r_[True, key[1:] != key[:-1]] | fresh if len(rows) else fresh[:0]
-        lcp[active[split & ~fresh]] = depth
-        lcp[active[~split]] = depth + 1
-        block[active] = np.cumsum(split)
-        size = np.bincount(block[active]) if len(rows) else np.zeros(1, np.int64)
-        active = active[size[block[active]] > 1]
-        if not len(active):
-            break
-    return order, lcp
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [b for b in batches if len(b)]
-    if not parts:
-        return
-    sym, follow, n = (np.concatenate([np.asarray(b.column(c)) for b in parts]) for c in ("sym", "next", "n"))
-    order, lcp = merge_transforms([sym, follow])
-    heads = np.flatnonzero(lcp < 1)  # intervals of the first symbol
-    total = np.add.reduceat(n[order], heads)
-    keep = total > 1
-    yield pa.RecordBatch.from_arrays([pa.array(sym[order][heads][keep]), pa.array(total[keep])], names=["sym", "n"])
-
-
-def _contexts(length: int, gram: int):
-    """The bytes that hold all windows of an anchor: (sym, doc, rk, lo, ctx); the windows start at lo, lo + 1, ..."""
+    size = np.diff(ends, prepend=0)
+    left = np.repeat(ends, size) - np.arange(len(data))  # bytes from a place to its phrase's end
+    keys = first_keys(data)
+    cuts = np.unique(np.r_[0, ends[np.searchsorted(ends, np.arange(shard_bytes, len(data), shard_bytes))], len(data)])
+    shards = [shard_transform(keys, x + np.flatnonzero(left[x:y] >= 8)) for x, y in zip(cuts[:-1], cuts[1:])]
+    order = np.concatenate(shards) if shards else np.zeros(0, np.int64)
+    order = order[np.argsort(keys[order], kind="stable")]  # runs that are sorted already are merged
+    of = keys[order]
+    block = np.cumsum(np.r_[False, of[1:] != of[:-1]]) if len(of) else order
+    rank = np.zeros(len(data), np.int64)
+    rank[order] = block
+    depth = 8
+    while depth < length:
+        deeper = min(2 * depth, length)
+        stay = left[order] >= deeper
+        order, block = order[stay], block[stay]
+        further = rank[order + deeper - depth]
+        alone = np.ones(len(order) + 1, bool)
+        alone[1:-1] = block[1:] != block[:-1]
+        active = np.flatnonzero(~(alone[:-1] & alone[1:]))
+        key = (block[active] << 32) | further[active]
+        move = np.argsort(key, kind="stable")
+        order[active], key = order[active[move]], key[move]
+        split = alone[:-1].copy()
+        if len(active):
+            split[active[1:]] |= key[1:] != key[:-1]
+        block = np.cumsum(split) - 1 if len(order) else block
+        rank[order] = block
+        depth = deeper
+    return order, block
+
+
+def _merge(length: int, most_bytes: int = 1 << 20):
+    """Runs that repeated intervals cover in phrases that stand once; rows come sorted by symbol."""
+
+    def spans_of(part: pa.Table) -> pa.RecordBatch:
+        part = part.combine_chunks()
+        data, offsets = text_bytes(part.column("ctx").combine_chunks().cast(pa.large_binary()).view(pa.large_string()))
+        data, ends = data[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
+        n, lo = part.column("n").to_numpy(), part.column("lo").to_numpy().astype(np.int64)
+        doc, rk = (part.column(c).to_numpy() for c in KEY)
+        order, block = merge_transforms(data, ends, length)
+        own = np.searchsorted(ends, order, "right")
+        times = np.bincount(block, n[own], minlength=1)
+        hit = (times[block] > 1) & (n[own] == 1)
+        p = np.sort(order[hit])
+        own = np.searchsorted(ends, p, "right")
+        p = p - (ends - np.diff(ends, prepend=0))[own] + lo[own]
+        cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (np.diff(p) > length)]) if len(p) else own
+        k, last = own[cut], np.r_[cut[1:], len(p)][: len(cut)] - 1
+        return pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(rk[k]), pa.array(p[cut].astype(np.int32)), pa.array((p[last] + length).astype(np.int32))], names=[*KEY, "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            doc, rk = (np.asarray(batch.column(c)) for c in KEY)
-            held = batch.column("pos")
-            pos, ends = np.asarray(held.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(held)))])
-            for a, b in slices(offsets):
-                s = _Slice(data, offsets[a : b + 1], length, gram)
-                alive = np.zeros(len(s.data) + 1, bool)
-                alive[np.repeat(s.first[:-1], np.diff(ends[a : b + 1])) + pos[ends[a] : ends[b]]] = True
-                new = np.ones(len(s.own), bool)
-                new[1:] = (s.own[1:] != s.own[:-1]) | (s.row[1:] != s.row[:-1])
-                lo = np.flatnonzero(new)
-                hi = np.r_[lo[1:], len(s.own)] - 1
-                use = alive[s.own[lo]]
-                lo, hi = lo[use], hi[use]
-                r, raw = s.row[lo], s.data.tobytes()
-                start = s.p[lo]
-                ctx = pa.array([raw[x:y] for x, y in zip(start.tolist(), (s.p[hi] + length).tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(s.gram[s.own[lo]].view(np.int64)), pa.array(doc[a + r]), pa.array(rk[a + r]), pa.array((start - s.first[r]).astype(np.int32)), ctx], names=["sym", *KEY, "lo", "ctx"])
+            # whole symbols of about most_bytes are merged at a time; the batch's last symbol may go on in the next
+            sym = np.asarray(batch.column("sym"))
+            size = np.cumsum(np.asarray(pc.binary_length(batch.column("ctx"))).astype(np.int64))
+            heads = np.flatnonzero(np.r_[True, sym[1:] != sym[:-1]]) if len(sym) else np.zeros(0, np.int64)
+            if held and len(sym) and held[-1].column("sym")[-1].as_py() != int(sym[0]):
+                yield spans_of(pa.Table.from_batches(held))
+                held = []
+            start = 0
+            for head in heads.tolist():
+                if head > start and size[head - 1] - (size[start - 1] if start else 0) > most_bytes:
+                    yield spans_of(pa.Table.from_batches([*held, batch.slice(start, head - start)]))
+                    held, start = [], head
+            if len(sym) and heads[-1] > start:
+                yield spans_of(pa.Table.from_batches([*held, batch.slice(start, heads[-1] - start)]))
+                held, start = [], int(heads[-1])
+            if start < len(sym):
+                held.append(batch.slice(start))
+        if held:
+            yield spans_of(pa.Table.from_batches(held))
 
     return run
 
 
+# ---------------------------------------------------------------- symbols with very many phrases
 def _window_hashes(ctx: pa.Array, length: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows in the contexts, and how many each context has."""
+    """Hashes of all windows in the phrases, and how many each has."""
     data, offsets = text_bytes(ctx.cast(pa.large_binary()).view(pa.large_string()))
     many, out = np.diff(offsets) - length + 1, []
     for a, b in slices(offsets):
@@ -175,43 +218,15 @@ def _window_hashes(ctx: pa.Array, length: int, base: int) -> tuple[np.ndarray, n
     return np.concatenate(out) if out else np.zeros(0, np.uint64), many
 
 
-def _check(length: int):
-    """Within a bucket that has all places of its symbols: the runs that windows found twice cover."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, keys = [], []
-        for batch in batches:
-            h, many = _window_hashes(batch.column("ctx"), length, B2)
-            hashes.append(h)
-            keys.append((*(np.asarray(batch.column(c)) for c in (*KEY, "lo")), many))
-        if not keys:
-            return
-        h = np.concatenate(hashes)
-        doc, rk, lo, many = (np.concatenate(x) for x in zip(*keys))
-        order = np.argsort(h)
-        same = h[order][1:] == h[order][:-1]
-        again = np.zeros(len(h), bool)
-        again[order[1:][same]] = again[order[:-1][same]] = True
-        own = np.repeat(np.arange(len(lo)), many)
-        p = np.arange(len(h)) - np.repeat(np.cumsum(many) - many, many) + lo[own]
-        own, p = own[again], p[again]
-        if len(p):
-            cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (np.diff(p) > length)])
-            k, last = own[cut], np.r_[cut[1:], len(p)] - 1
-            yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(rk[k]), pa.array(p[cut].astype(np.int32)), pa.array((p[last] + length).astype(np.int32))], names=[*KEY, "a", "b"])
-
-    return run
-
-
 def _window_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 2000):
-                part = batch.slice(k, 2000)
+            for k in range(0, len(batch), 1000):
+                part = batch.slice(k, 1000)
                 (h1, many), (h2, _) = (_window_hashes(part.column("ctx"), length, base) for base in (B2, B3))
                 own = np.repeat(np.arange(len(part)), many)
                 p = np.arange(len(h1)) - np.repeat(np.cumsum(many) - many, many) + np.asarray(part.column("lo"))[own]
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array((h2 >> _U(33)).astype(np.int32)), *[pa.array(np.asarray(part.column(c))[own]) for c in KEY], pa.array(p.astype(np.int32))], names=["h1", "h2", *KEY, "a"])
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array((h2 >> _U(33)).astype(np.int32)), *[pa.array(np.asarray(part.column(c))[own]) for c in ("n", *KEY)], pa.array(p.astype(np.int32))], names=["h1", "h2", "n", *KEY, "a"])
 
     return run
 
@@ -228,25 +243,36 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("rk"), *[pa.array(x, pa.list_(pa.int32())) for x in out]], names=[*KEY, "starts", "ends"])
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = 20_000) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = 2_000) -> DataFrame:
     """(doc, rk, starts, ends): maximal runs of bytes that repeated windows cover, for rows with distinct texts."""
     n = 2 * partitions(rows.sparkSession)
-    parse = materialize(rows.select(*KEY, "text").mapInArrow(_parse(length, gram), "sym long, doc long, rk long, pos int"), "parse")
-    shards = parse.select("sym", "doc").mapInArrow(shard_transform, "part int, sym long, next long, n long")
-    intervals = materialize(shards.repartition(n, "sym").mapInArrow(_merge, "sym long, n long"), "intervals")
-    alive = join_small(parse, intervals.select("sym"), "sym", "left_semi", F.lit(16).cast("long"))
-    alive = materialize(alive.groupBy(*KEY).agg(F.collect_list("pos").alias("pos")), "alive")
-    candidates = join_small(rows.select(*KEY, "text"), alive, KEY, "inner", bytes_of("pos"))
-    contexts = materialize(candidates.mapInArrow(_contexts(length, gram), "sym long, doc long, rk long, lo int, ctx binary"), "contexts")
-    # every symbol with more than ``most`` places: at most one for each ``most`` rows of the parse
-    hot = materialize(intervals.where(F.col("n") > most).select("sym"), "hot")
-    bucketed = join_small(contexts, hot, "sym", "left_anti", F.lit(16).cast("long"))
-    spans = bucketed.repartition(n, "sym").mapInArrow(_check(length), "doc long, rk long, a int, b int")
+    small = F.lit(24).cast("long")
+    parse = materialize(rows.select(*KEY, "text").mapInArrow(_parse(length, gram), "sym long, c1 long, c2 long, doc long, rk long, lo int, hi int"), "parse")
+    shared = materialize(parse.groupBy("sym").agg(F.count("*").alias("c")).where("c > 1").select("sym"), "symbols")
+    alive = join_small(parse, shared, "sym", "left_semi", small)
+    phrases = alive.groupBy("sym", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "lo", "hi")).alias("one"))
+    phrases = materialize(phrases, "phrases")
+    # every window of a phrase that stands several times
+    again = materialize(phrases.where("n > 1").select("sym", "c1", "c2"), "again")
+    spans = join_small(parse, again, ["sym", "c1", "c2"], "left_semi", small).select(*KEY, F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
+    # the dictionary: symbols with several phrases, one of which stands once
+    several = phrases.groupBy("sym").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("sym", "k")
+    several = materialize(several, "several")
+    wanted = join_small(phrases, several, "sym", "inner", small).select("one.doc", "one.rk", F.struct("sym", F.least("n", F.lit(2)).cast("int").alias("n"), "one.lo", "one.hi").alias("p"))
+    wanted = materialize(wanted.groupBy(*KEY).agg(F.collect_list("p").alias("phrases")), "wanted")
+    texts = join_small(rows.select(*KEY, "text"), wanted, KEY, "inner", bytes_of("phrases") + F.size("phrases") * 16)
+    dictionary = materialize(texts.mapInArrow(_phrase_bytes(length), "sym long, n int, doc long, rk long, lo int, ctx binary"), "dictionary")
+    # every symbol with more than ``most`` phrases: at most one for each ``most`` phrases
+    hot = materialize(several.where(F.col("k") > most).select("sym"), "hot")
+    bucketed = join_small(dictionary, hot, "sym", "left_anti", small)
+    spans = spans.union(bucketed.repartition(n, "sym").sortWithinPartitions("sym").mapInArrow(_merge(length), "doc long, rk long, a int, b int"))
     if not hot.isEmpty():
-        places = materialize(join_small(contexts, hot, "sym", "left_semi", F.lit(16).cast("long")).mapInArrow(_window_rows(length), "h1 long, h2 int, doc long, rk long, a int"), "windows")
-        twice = places.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-        spans = spans.union(places.join(twice, ["h1", "h2"]).select(*KEY, "a", (F.col("a") + length).alias("b")))
-    grouped = spans.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+        places = join_small(dictionary, hot, "sym", "left_semi", small).mapInArrow(_window_rows(length), "h1 long, h2 int, n int, doc long, rk long, a int")
+        places = materialize(places, "windows")
+        twice = materialize(places.groupBy("h1", "h2").agg(F.sum("n").alias("c")).where("c > 1").drop("c"), "twice")
+        found = join_small(places.where("n = 1"), twice, ["h1", "h2"], "left_semi", small)
+        spans = spans.union(found.select(*KEY, "a", (F.col("a") + length).alias("b")))
+    grouped = spans.groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return materialize(grouped.mapInArrow(_merged, "doc long, rk long, starts array<int>, ends array<int>"), "spans")
 
 
@@ -274,9 +300,15 @@ def _keep(length: int):
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (the bytes that stay)."""
     rows = keyed(docs)
-    copied = materialize(rows.groupBy("rk", "t2").agg(F.min("doc").alias("first_doc"), F.count("*").alias("c")).where("c > 1").drop("c"), "copied")
-    marked = join_small(rows, copied, ["rk", "t2"], "left", F.lit(24).cast("long")).withColumn("is_copy", F.col("first_doc").isNotNull())
-    found = repeated_spans(marked.where("not is_copy or doc = first_doc"), length)
+    by_doc = rows.groupBy("rk", "t2", "doc").agg(F.count("*").alias("c"))
+    copied = by_doc.groupBy("rk", "t2").agg(F.min("doc").alias("first_doc"), F.min_by("c", "doc").alias("firsts"), F.sum("c").alias("c"))
+    copied = materialize(copied.where("c > 1").drop("c"), "copied")
+    marked = join_small(rows, copied, ["rk", "t2"], "left", F.lit(32).cast("long")).withColumn("is_copy", F.col("first_doc").isNotNull())
+    # one row for each text; only texts that one doc_id has several times are regrouped for it
+    ones = marked.where("not is_copy or (doc = first_doc and firsts = 1)").select(*KEY, "text")
+    if not copied.where("firsts > 1").isEmpty():
+        ones = ones.union(marked.where("doc = first_doc and firsts > 1").groupBy(*KEY).agg(F.first("text").alias("text")))
+    found = repeated_spans(ones, length)
     joined = join_small(marked, found, KEY, "left", bytes_of("starts", "ends")).select("row", "text", "is_copy", "starts", "ends")
     added = ["n_bytes", "n_removed", "n_spans", "kept"]
     schema = f"row {joined.schema['row'].dataType.simpleString()}, text string, n_bytes long, n_removed long, n_spans long, kept binary"
