@@ -17,9 +17,10 @@ lies in one phrase. The parse is some 140 times shorter than the bytes.
 3. The blocks at the last depth are the repeated intervals with a common prefix of ``length`` bytes: their
    windows are repeated if the counts of their phrases sum to more than one.
 
-A symbol with more than ``most`` distinct phrases would not fit a task; its windows are counted by two
-hashes (95 bits), pre-aggregated and shuffled. Whole copies of a text are settled first: all their bytes
-are repeated, and one stands for them.
+A symbol with more than ``most`` distinct phrases would not fit a task. Its phrases are halved by where the
+anchor stands in their windows, which gives every half a longer symbol, and counted again, until all symbols
+fit; a half with one window left is a symbol of ``length`` bytes, so this ends after nine rounds. Whole copies
+of a text are settled first: all their bytes are repeated, and one stands for them.
 
 Defined cases: a null text is an empty one; texts shorter than ``length`` keep everything; repeated rows
 are copies of each other, whatever their doc_ids; no rows give no rows.
@@ -35,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import B1, B2, B3, join_small, materialize, owners, partitions, prefix, slices, text_bytes, text_chunks, windows
+from .common import B1, B2, B3, join_small, materialize, mix, owners, partitions, prefix, slices, text_bytes, text_chunks, windows
 from .substring import KEY, bytes_of, keyed, unpacked
 
 LENGTH = 400
@@ -62,7 +63,7 @@ class _Slice:
 
 
 def _parse(length: int, gram: int):
-    """Phrases: (sym, c1, c2, doc, rk, lo, hi); their windows start at lo, ..., hi, and c1 and c2 identify their bytes."""
+    """Phrases: (sym, c1, c2, doc, rk, lo, hi, at); their windows start at lo, ..., hi, c1 and c2 identify their bytes, the anchor stands at lo + at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,14 +77,14 @@ def _parse(length: int, gram: int):
                 lo, hi = s.p[at], s.p[np.r_[at[1:], len(s.own)] - 1] if len(at) else s.p[at]
                 r, sym = s.row[at], s.gram[s.own[at]]
                 whole = [windows(prefix(s.data.astype(np.uint64) + _U(1), base), base, lo, hi + length) ^ (hi - lo).astype(np.uint64) for base in (B2, B3)]
-                columns = [sym.view(np.int64), *(x.view(np.int64) for x in whole), doc[a + r], rk[a + r], (lo - s.first[r]).astype(np.int32), (hi - s.first[r]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["sym", "c1", "c2", *KEY, "lo", "hi"])
+                columns = [sym.view(np.int64), *(x.view(np.int64) for x in whole), doc[a + r], rk[a + r], (lo - s.first[r]).astype(np.int32), (hi - s.first[r]).astype(np.int32), (s.own[at] - lo).astype(np.int16)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["sym", "c1", "c2", *KEY, "lo", "hi", "at"])
 
     return run
 
 
 def _phrase_bytes(length: int):
-    """(sym, n, doc, rk, lo, ctx) of the phrases listed with each text."""
+    """(sym, n, doc, rk, lo, at, ctx) of the phrases listed with each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +104,7 @@ def _phrase_bytes(length: int):
                     bounds = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                     ctx = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds), pa.py_buffer(took)])
                     at = pa.array(row[m])
-                    yield pa.RecordBatch.from_arrays([flat.field("sym").slice(k, len(n)), flat.field("n").slice(k, len(n)), *(part.column(c).take(at) for c in KEY), flat.field("lo").slice(k, len(n)), ctx], names=["sym", "n", *KEY, "lo", "ctx"])
+                    yield pa.RecordBatch.from_arrays([flat.field("sym").slice(k, len(n)), flat.field("n").slice(k, len(n)), *(part.column(c).take(at) for c in KEY), flat.field("lo").slice(k, len(n)), flat.field("at").slice(k, len(n)), ctx], names=["sym", "n", *KEY, "lo", "at", "ctx"])
 
     return run
 
@@ -207,30 +208,54 @@ def _merge(length: int, most_bytes: int = 1 << 20):
 
 
 # ---------------------------------------------------------------- symbols with very many phrases
-def _window_hashes(ctx: pa.Array, length: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows in the phrases, and how many each has."""
-    data, offsets = text_bytes(ctx.cast(pa.large_binary()).view(pa.large_string()))
-    many, out = np.diff(offsets) - length + 1, []
-    for a, b in slices(offsets):
-        part, m = data[offsets[a] : offsets[b]], many[a:b]
-        p = np.repeat(offsets[a:b] - offsets[a] - np.cumsum(m) + m, m) + np.arange(m.sum())
-        out.append(windows(prefix(part.astype(np.uint64) + _U(1), base), base, p, p + length))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), many
-
-
-def _window_rows(length: int):
+_PIECE = "sym long, c1 long, c2 long, n int, doc long, rk long, lo int, at int, d0 int, d1 int, ctx binary"
+
+
+def _halved(length: int):
+    """Each phrase as two, with the windows whose anchor stands in either half of [d0, d1) from their start.
+
+    All windows of a half hold the same stretch around the anchor; its hash is the new symbol, so windows that
+    are equal stay together and phrases that differ there part.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 1000):
-                part = batch.slice(k, 1000)
-                (h1, many), (h2, _) = (_window_hashes(part.column("ctx"), length, base) for base in (B2, B3))
-                own = np.repeat(np.arange(len(part)), many)
-                p = np.arange(len(h1)) - np.repeat(np.cumsum(many) - many, many) + np.asarray(part.column("lo"))[own]
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array((h2 >> _U(33)).astype(np.int32)), *[pa.array(np.asarray(part.column(c))[own]) for c in ("n", *KEY)], pa.array(p.astype(np.int32))], names=["h1", "h2", "n", *KEY, "a"])
+            for k in range(0, len(batch), 500):
+                part = batch.slice(k, 500)
+                data, offsets = text_bytes(part.column("ctx").cast(pa.large_binary()).view(pa.large_string()))
+                data, first = data[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0]
+                many = np.diff(offsets) - length + 1
+                at, d0, d1, lo = (np.asarray(part.column(c)).astype(np.int64) for c in ("at", "d0", "d1", "lo"))
+                values = data.astype(np.uint64) + _U(1)
+                sums = [prefix(values, base) for base in (B1, B2, B3)]
+                middle = (d0 + d1) // 2
+                for x, y in ((d0, middle), (middle, d1)):
+                    s0, s1 = np.maximum(0, at - y + 1), np.minimum(many - 1, at - x)
+                    r = np.flatnonzero((s0 <= s1) & (x < y))
+                    s0, s1, own = s0[r], s1[r], first[r]
+                    sym = windows(sums[0], B1, own + at[r] - x[r], own + at[r] - y[r] + 1 + length) ^ mix(x[r].astype(np.uint64))
+                    whole = [windows(h, base, own + s0, own + s1 + length) ^ mix((at[r] - s0).astype(np.uint64)) for h, base in zip(sums[1:], (B2, B3))]
+                    n = s1 - s0 + length
+                    bounds = np.concatenate([[0], np.cumsum(n)])
+                    took = data[np.repeat(own + s0 - bounds[:-1], n) + np.arange(bounds[-1])]
+                    ctx = pa.BinaryArray.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(took)])
+                    rest = [part.column(c).take(pa.array(r)) for c in ("n", *KEY)]
+                    numbers = [pa.array(z.astype(np.int32)) for z in (lo[r] + s0, at[r] - s0, x[r], y[r])]
+                    yield pa.RecordBatch.from_arrays([pa.array(z.view(np.int64)) for z in (sym, *whole)] + rest + numbers + [ctx], names=["sym", "c1", "c2", "n", *KEY, "lo", "at", "d0", "d1", "ctx"])
 
     return run
 
 
+def _settled(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of phrases (one row each) that have become equal: spans of those that stand once, and one row for all of them."""
+    key = ["sym", "c1", "c2"]
+    again = materialize(pieces.groupBy(*key).agg(F.min(F.struct(*KEY, "lo")).alias("one"), F.count("*").alias("rows")).where("rows > 1"), "again")
+    both = join_small(pieces, again, key, "left", F.lit(48).cast("long"))
+    spans = both.where("rows is not null and n = 1").select(*KEY, F.col("lo").alias("a"), (F.col("lo") + F.octet_length("ctx")).cast("int").alias("b"))
+    ones = both.where(F.col("rows").isNull() | (F.struct(*KEY, "lo") == F.col("one")))
+    return spans, ones.withColumn("n", F.when(F.col("rows").isNull(), F.col("n")).otherwise(2)).select(*pieces.columns)
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = ([], [])
@@ -247,10 +272,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     """(doc, rk, starts, ends): maximal runs of bytes that repeated windows cover, for rows with distinct texts."""
     n = 2 * partitions(rows.sparkSession)
     small = F.lit(24).cast("long")
-    parse = materialize(rows.select(*KEY, "text").mapInArrow(_parse(length, gram), "sym long, c1 long, c2 long, doc long, rk long, lo int, hi int"), "parse")
+    parse = materialize(rows.select(*KEY, "text").mapInArrow(_parse(length, gram), "sym long, c1 long, c2 long, doc long, rk long, lo int, hi int, at short"), "parse")
     shared = materialize(parse.groupBy("sym").agg(F.count("*").alias("c")).where("c > 1").select("sym"), "symbols")
     alive = join_small(parse, shared, "sym", "left_semi", small)
-    phrases = alive.groupBy("sym", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "lo", "hi")).alias("one"))
+    phrases = alive.groupBy("sym", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "lo", "hi", "at")).alias("one"))
     phrases = materialize(phrases, "phrases")
     # every window of a phrase that stands several times
     again = materialize(phrases.where("n > 1").select("sym", "c1", "c2"), "again")
@@ -258,20 +283,28 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     # the dictionary: symbols with several phrases, one of which stands once
     several = phrases.groupBy("sym").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("sym", "k")
     several = materialize(several, "several")
-    wanted = join_small(phrases, several, "sym", "inner", small).select("one.doc", "one.rk", F.struct("sym", F.least("n", F.lit(2)).cast("int").alias("n"), "one.lo", "one.hi").alias("p"))
+    wanted = join_small(phrases, several, "sym", "inner", small).select("one.doc", "one.rk", F.struct("sym", F.least("n", F.lit(2)).cast("int").alias("n"), "one.lo", "one.hi", F.col("one.at").cast("int").alias("at")).alias("p"))
     wanted = materialize(wanted.groupBy(*KEY).agg(F.collect_list("p").alias("phrases")), "wanted")
     texts = join_small(rows.select(*KEY, "text"), wanted, KEY, "inner", bytes_of("phrases") + F.size("phrases") * 16)
-    dictionary = materialize(texts.mapInArrow(_phrase_bytes(length), "sym long, n int, doc long, rk long, lo int, ctx binary"), "dictionary")
-    # every symbol with more than ``most`` phrases: at most one for each ``most`` phrases
-    hot = materialize(several.where(F.col("k") > most).select("sym"), "hot")
-    bucketed = join_small(dictionary, hot, "sym", "left_anti", small)
+    dictionary = materialize(texts.mapInArrow(_phrase_bytes(length), "sym long, n int, doc long, rk long, lo int, at int, ctx binary"), "dictionary")
+    pieces = dictionary.withColumns({"d0": F.lit(0), "d1": F.lit(length - gram + 1)})
+    fitting: list[DataFrame] = []
+    while True:
+        counts = pieces.groupBy("sym").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1")
+        hot = materialize(counts.where(F.col("k") > most).select("sym"), "hot")
+        fits = counts.where(F.col("k") <= most).select("sym") if fitting else counts.select("sym")
+        if hot.isEmpty():
+            fitting.append(join_small(pieces, materialize(fits, "fits"), "sym", "left_semi", small) if fitting else pieces)
+            break
+        fitting.append(join_small(pieces, materialize(fits.join(hot, "sym", "left_anti"), "fits"), "sym", "left_semi", small))
+        halves = join_small(pieces, hot, "sym", "left_semi", small).mapInArrow(_halved(length), _PIECE)
+        found, pieces = _settled(materialize(halves, "halves"))
+        spans = spans.union(found)
+        pieces = materialize(pieces.drop("c1", "c2"), "pieces")
+    bucketed = fitting[0].select("sym", "n", *KEY, "lo", "ctx")
+    for part in fitting[1:]:
+        bucketed = bucketed.union(part.select("sym", "n", *KEY, "lo", "ctx"))
     spans = spans.union(bucketed.repartition(n, "sym").sortWithinPartitions("sym").mapInArrow(_merge(length), "doc long, rk long, a int, b int"))
-    if not hot.isEmpty():
-        places = join_small(dictionary, hot, "sym", "left_semi", small).mapInArrow(_window_rows(length), "h1 long, h2 int, n int, doc long, rk long, a int")
-        places = materialize(places, "windows")
-        twice = materialize(places.groupBy("h1", "h2").agg(F.sum("n").alias("c")).where("c > 1").drop("c"), "twice")
-        found = join_small(places.where("n = 1"), twice, ["h1", "h2"], "left_semi", small)
-        spans = spans.union(found.select(*KEY, "a", (F.col("a") + length).alias("b")))
     grouped = spans.groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return materialize(grouped.mapInArrow(_merged, "doc long, rk long, starts array<int>, ends array<int>"), "spans")
 
