@@ -178,7 +178,7 @@ def test_champions_and_status(spark):
     assert {r["family"]: r["id"] for r in store.champions(s).collect()} == {"F": 2, "G": 4}
     assert [r["id"] for r in store.demotions(s).collect()] == [3]
     req = spark.createDataFrame([("CANDIDATE", "VALIDATED", False, False, False, True), ("CANDIDATE", "PROMISING", False, False, False, False), ("VALIDATED", "PROMISING", False, False, True, True)], "status string, wanted string, halted boolean, is_canary boolean, discovered boolean, holdout_passed boolean")
-    assert [r["refused"] for r in store.transitions(req).collect()] == ["NO_DISCOVERY", None, "RANK"]
+    assert [r["refused"] for r in store.transitions(req).collect()] == ["NO_DISCOVERY", None, None]  # only promotions are refused
 
 
 def test_gate_follows_the_published_levels(spark):
@@ -311,3 +311,77 @@ def test_papers(spark):
     assert [r["paper_id"] for r in got] == [1] and got[0]["concepts"] == ["low-vol", "b"]
     tags = spark.createDataFrame([(1, 1, "a"), (2, 2, "a"), (2, 2, "b"), (3, 3, "a"), (3, 3, "b")], "claim_id int, paper_id int, concept string")
     assert [(r["other"], r["shared"]) for r in papers.link_candidates(tags, 1).where("claim_id = 3").collect()] == [(2, 2)]
+
+
+def test_scores_and_verdicts(spark):
+    from tidemark.operators import metrics
+
+    cols = "k string, excess_return double, excess_sharpe double, pbo double, dsr double, has_power boolean, benchmark_mismatch boolean, previous_verdict string, turnover double, consistent boolean, n_failures int"
+    rows = [
+        ("mismatch", -1.0, -1.0, 0.1, 0.9, True, True, None, 1.0, True, 0), ("retire", -1.0, -1.0, 0.1, 0.9, True, False, "PROMOTE", 1.0, True, 0), ("reject", -1.0, None, 0.1, 0.9, True, False, None, 1.0, True, 0),
+        ("not worse", -1.0, 0.2, None, None, True, False, None, 1.0, None, 0), ("dormant", 1.0, 1.0, 0.1, 0.9, True, False, None, 0.0, True, 0), ("overfit", 1.0, 1.0, 0.6, 0.9, True, False, None, 1.0, True, 0),
+        ("regime", 1.0, 1.0, 0.5, 0.9, True, False, None, 1.0, False, 0), ("incomplete", 1.0, 1.0, 0.5, 0.9, True, False, None, 1.0, True, 2), ("promote", 1.0, 1.0, 0.25, 0.01, True, False, None, 1.0, None, 0),
+        ("promising", 1.0, 1.0, None, None, False, False, None, 1.0, True, 0), ("go on", 1.0, None, None, None, False, False, None, 1.0, True, 0), ("nothing", 1.0, None, None, None, None, False, None, 1.0, True, 0),
+    ]
+    out = metrics.verdict(metrics.score(spark.createDataFrame(rows, cols))).withColumn("status", metrics.status()).collect()
+    got = {r["k"]: (r["verdict"], round(r["score"], 2), list(r["reason_codes"]), r["status"]) for r in out}
+    assert got == {
+        "mismatch": ("CONTINUE_RESEARCH", 0.0, ["BENCHMARK_MISMATCH"], "EXPERIMENTAL"), "retire": ("RETIRE", 0.0, ["WORSE_THAN_HOLDING", "RETIRE_FROM_PROMOTE"], "RETIRED"), "reject": ("REJECT", 0.0, ["WORSE_THAN_HOLDING"], "REJECTED"),
+        "not worse": ("PROMISING", 100.0, ["SCORE_PARTIAL_EVIDENCE"], "PROMISING"), "dormant": ("DORMANT", 95.0, ["NO_TRADES"], "DORMANT"), "overfit": ("REJECT", 75.0, ["OVERFITTING"], "REJECTED"),
+        "regime": ("REGIME_SPECIALIST", 75.0, ["REGIME_INCONSISTENT"], "REGIME_SPECIALIST"), "incomplete": ("CONTINUE_RESEARCH", 75.0, ["INCOMPLETE_EVIDENCE"], "EXPERIMENTAL"), "promote": ("PROMOTE", 87.5, [], "VALIDATED"),
+        "promising": ("PROMISING", 50.0, ["SCORE_PARTIAL_EVIDENCE"], "PROMISING"), "go on": ("CONTINUE_RESEARCH", 0.0, ["SCORE_PARTIAL_EVIDENCE"], "EXPERIMENTAL"), "nothing": ("CONTINUE_RESEARCH", 0.0, ["SCORE_PARTIAL_EVIDENCE"], "EXPERIMENTAL"),
+    }
+    m = metrics.failures(spark.createDataFrame([(1.0, None, None), (2.0, 3.0, "boom")], "a double, b double, why string"), ["a", "b"], {"a": F.lit(None).cast("string"), "b": F.col("why")})
+    assert [(r["a"], r["b"], r["metric_failures"]) for r in m.collect()] == [(1.0, None, {}), (2.0, None, {"b": "boom"})]
+
+
+def test_gauge_and_regate(spark):
+    from tidemark.operators import gates
+
+    rows = [(t, gates.threshold(t, [k for k in (3, 5) if k < t]), t in (3, 5)) for t in range(1, 9)]
+    ledger = spark.createDataFrame([(t, a, d, f"h{t}") for t, a, d in rows], "test_index int, alpha_threshold double, discovery boolean, config_hash string")
+    g = gates.gauge(ledger).first()
+    assert (g["tests"], g["discoveries"]) == (8, 2) and abs(g["next_threshold"] - gates.threshold(9, [3, 5])) < 1e-12
+    assert abs(g["wealth"] - (0.025 + 0.05 * 2 - 0.025 - sum(a for _, a, _ in rows))) < 1e-12
+    promoted = spark.createDataFrame([(1, "h3"), (2, "h4"), (3, "new"), (4, "weak"), (5, "none"), (6, "new")], "id long, config_hash string")
+    p = spark.createDataFrame([("new", 1e-9), ("weak", 0.9), ("h4", 1e-9)], "config_hash string, p_value double")
+    assert {r["id"]: r["outcome"] for r in gates.regate(promoted, ledger, p).collect()} == {1: "DISCOVERY", 2: "FAILED", 3: "DISCOVERY", 4: "FAILED", 5: "UNTESTABLE", 6: "DISCOVERY"}
+    assert gates.gauge(ledger.limit(0)).first()["tests"] == 0
+
+
+def test_rotation_dispatch_guards(spark):
+    from tidemark.operators import rotation, specs
+
+    days = [(s, f"2024-01-{d:02d}", float(k * d + 10)) for k, s in enumerate("ABC", 1) for d in range(1, 29)]
+    bars = spark.createDataFrame(days, "symbol string, t string, close double").withColumn("t", F.to_date("t"))
+    on = spark.createDataFrame([("2024-01-20",), ("2024-01-25",)], "t string").withColumn("t", F.to_date("t"))
+    legs = on.crossJoin(bars.select("symbol").distinct()).where("not (t = date'2024-01-25' and symbol = 'C')")
+    out = rotation.weights_of("DUAL_MOMENTUM_GEM", {"lookback": 5}, ["A", "B", "C"], bars, on, legs).collect()
+    assert [(str(r["t"]), r["symbol"], r["weight"]) for r in out] == [("2024-01-20", "B", 1.0)]  # the defensive leg is missing on the other day
+    for family, params in (("SECTOR_MOMENTUM_ROTATION", {"lookback": 5}), ("NO_SUCH", {})):
+        with pytest.raises(ValueError):
+            rotation.weights_of(family, params, ["A", "B", "C"], bars, on, legs)
+    for family in specs.ROTATION:
+        w = rotation.weights_of(family, {"lookback": 5, "top": 2, "protection": 1.0}, ["A", "B", "C"], bars, on, legs)
+        assert all(0 <= r["w"] <= 1 + 1e-9 for r in w.groupBy("t").agg(F.sum("weight").alias("w")).collect()), family
+
+
+def test_specs_swapped_and_mechanisms(spark):
+    from tidemark.operators import specs
+
+    g = specs.grid(spark, spark.createDataFrame([("A",), ("B",)], "symbol string"))
+    templates = g.groupBy("family").agg(F.min_by("params", "spec_id").alias("params"))
+    children = specs.swapped(g, templates).join(g.select(F.col("spec_id").alias("parent_id"), F.col("family").alias("was"), F.col("symbol").alias("on")), "parent_id")
+    assert children.where("family = was or symbol <> on").count() == 0 and children.count() > 0.9 * g.count()
+    assert g.select(specs.mechanism(F.col("family")).alias("m")).distinct().count() == 4
+    with pytest.raises(Exception):
+        spark.createDataFrame([("NO_SUCH",)], "f string").select(specs.mechanism(F.col("f"))).collect()
+
+
+def test_rolling_apply(spark):
+    from tidemark.functions.rolling import rolling_apply
+
+    rows = spark.createDataFrame([(s, t, float(t * t)) for s in "AB" for t in range(6)], "symbol string, t int, x double")
+    got = {(r["symbol"], r["t"]): r["y"] for r in rolling_apply(rows, "y", "x", 3, lambda v: v.max() - v.min()).collect()}
+    assert got["A", 1] is None or got["A", 1] != got["A", 1]
+    assert got["B", 5] == 25.0 - 9.0

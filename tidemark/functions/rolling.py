@@ -7,7 +7,10 @@ window stage, and so that a test can run the very same text on another engine.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +75,17 @@ def ewm(rows: DataFrame, name: str, x: str, alpha: float) -> DataFrame:
         .withColumn(name, F.expr(f"CASE WHEN _n > 0 THEN _own + coalesce(CASE WHEN _carry.b = _block - 1 THEN exp(-(_k + 1) * {decay!r}) * _carry.v END, 0.0D) END"))
         .drop("_x", "_n", "_block", "_k", "_own", "_ends", "_carry")
     )
+
+
+def rolling_apply(rows: DataFrame, name: str, column: str, n: int, fn: Callable[[np.ndarray], float]) -> DataFrame:
+    """Adds fn over the last n values of a column of each symbol, for what has no built-in form; null before there are n or where one is null.
+
+    A series is one group in pandas. Mean deviation, weighted mean, place of an extreme and regression slope have built-in forms.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != name) + f", `{name}` double"
+
+    def run(s: pd.DataFrame) -> pd.DataFrame:
+        s = s.sort_values("t", ignore_index=True)
+        return s.drop(columns=[name], errors="ignore").assign(**{name: s[column].rolling(n).apply(fn, raw=True)})
+
+    return rows.groupBy("symbol").applyInPandas(run, schema)

@@ -147,6 +147,19 @@ def matches(curves: DataFrame, reference: DataFrame, symbols: str = "universe")
     return both.select("key", (~F.coalesce(same, F.lit(False))).alias("benchmark_mismatch"))
 
 
+def upserted(stored: DataFrame, curves: DataFrame) -> DataFrame:
+    """Benchmark curves (universe_key, date, equity, created_at) with those of curves in place of stored points of the same key and date."""
+    both = stored.withColumn("_new", F.lit(0)).unionByName(curves.withColumn("_new", F.lit(1)))
+    kept = both.groupBy("universe_key", "date").agg(F.max_by(F.struct("equity", "created_at"), F.struct("_new", "created_at")).alias("s"))
+    return kept.select("universe_key", "date", "s.*")
+
+
+def newest_curve(curves: DataFrame) -> DataFrame:
+    """(universe_key, date, equity) of the universe that was recorded last; mixed curves of old days do not count."""
+    last = curves.where("universe_key <> 'LEGACY_MIXED'").agg(F.max_by("universe_key", F.struct("created_at", "universe_key")).alias("universe_key"))
+    return curves.join(F.broadcast(last), "universe_key", "left_semi").select("universe_key", "date", "equity")
+
+
 # ---------------------------------------------------------------- null signals
 def seed(*parts: Column) -> Column:
     """First 8 hexadecimal digits of the SHA-256 of the parts, joined by a pipe, as a number."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -30,18 +31,26 @@ def threshold(t: int, found: list[int], alpha: float = ALPHA, wealth: float = WE
 
 
 def fold(rows: pd.DataFrame, found: list[int], spent: float, t: int) -> tuple[pd.DataFrame, list[int], float, int]:
-    """Tests in order, continued from a state."""
+    """Tests in order, continued from a state; each level is one sum over a table of the spending sequence."""
+    last = t + len(rows)
+    spending = np.array([gamma(k) for k in range(last + 1)])
+    at, n = np.zeros(len(found) + len(rows), np.int64), len(found)
+    at[:n] = found
     out = []
     for p in rows["p_value"]:
         t += 1
-        level = threshold(t, found)
-        before = WEALTH + ALPHA * len(found) - (WEALTH if found else 0.0) - spent
+        level = spending[t] * WEALTH
+        if n:
+            level += (ALPHA - WEALTH) * spending[t - at[0]] + ALPHA * spending[t - at[1:n]].sum()
+        before = WEALTH + ALPHA * n - (WEALTH if n else 0.0) - spent
         hit = p is not None and p == p and p <= level
         spent += level
-        found = [*found, t] if hit else found
-        out.append((t, level, hit, before, WEALTH + ALPHA * len(found) - (WEALTH if found else 0.0) - spent))
+        if hit:
+            at[n] = t
+            n += 1
+        out.append((t, level, hit, before, WEALTH + ALPHA * n - (WEALTH if n else 0.0) - spent))
     names = ["t", "alpha_threshold", "discovery", "wealth_before", "wealth_after"]
-    return pd.concat([rows.reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1), found, spent, t
+    return pd.concat([rows.reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1), at[:n].tolist(), spent, t
 
 
 _GATE = "stream string, test_index int, config_hash string, p_value double, t int, alpha_threshold double, discovery boolean, wealth_before double, wealth_after double"
@@ -92,3 +101,41 @@ def vault_summary(curves: DataFrame, reference: DataFrame, start) -> DataFrame:
 def needed_days(trades: DataFrame) -> DataFrame:
     """days: trades needed (n_needed) at the pace of n_trades in span_days."""
     return trades.withColumn("days", F.ceil(F.try_divide(F.col("n_needed") * F.col("span_days"), F.col("n_trades"))))
+
+
+def gauge(ledger: DataFrame) -> DataFrame:
+    """One row (tests, discoveries, wealth, next_threshold) of a ledger (test_index, alpha_threshold, discovery), tests 1, 2, ...
+
+    The next level is a sum over the discoveries, in built-in functions.
+    """
+    n = ledger.agg(F.count("*").alias("tests"), F.count_if("discovery").alias("discoveries"), F.coalesce(F.sum("alpha_threshold"), F.lit(0.0)).alias("spent"), F.min(F.when(F.col("discovery"), F.col("test_index"))).alias("first"))
+
+    def level(t):
+        return SCALE * F.log(F.greatest(t, F.lit(2)).cast("double")) / (t * F.exp(F.sqrt(F.log(t.cast("double")))))
+
+    one = F.broadcast(n.select("tests", "first"))  # one row
+    found = ledger.where("discovery").crossJoin(one).withColumn("weight", F.when(F.col("test_index") == F.col("first"), ALPHA - WEALTH).otherwise(ALPHA))
+    more = found.agg(F.coalesce(F.sum(F.col("weight") * level(F.col("tests") + 1 - F.col("test_index"))), F.lit(0.0)).alias("more"))
+    wealth = WEALTH + ALPHA * F.col("discoveries") - F.when(F.col("discoveries") > 0, WEALTH).otherwise(0.0) - F.col("spent")
+    return n.crossJoin(more).select("tests", "discoveries", wealth.alias("wealth"), (level(F.col("tests") + 1) * WEALTH + F.col("more")).alias("next_threshold"))
+
+
+def regate(promoted: DataFrame, ledger: DataFrame, p_values: DataFrame) -> DataFrame:
+    """(id, outcome) of strategies (id, config_hash) promoted before there was a gate: an earlier test of a hash is used again,
+    the others are tested once, in order of their hash, after those of the ledger; without a p-value there is no test."""
+    earlier = ledger.select("config_hash", F.col("discovery").alias("found"))
+    both = promoted.join(earlier, "config_hash", "left").join(p_values, "config_hash", "left")
+    todo = both.where("found is null and p_value is not null").select("config_hash", "p_value").distinct()
+    state = ledger.orderBy("test_index").select("test_index", "alpha_threshold", "discovery")
+
+    def run(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        old = old.sort_values("test_index")
+        found = old.loc[old["discovery"], "test_index"].tolist()
+        out, *_ = fold(new.sort_values("config_hash")[["config_hash", "p_value"]], found, float(old["alpha_threshold"].sum()), len(old))
+        return out[["config_hash", "discovery"]]
+
+    # one stream of tests is sequential; only tests of promoted strategies come here
+    one = F.lit(0).alias("k")
+    tested = state.select(one, "*").groupBy("k").cogroup(todo.select(one, "*").groupBy("k")).applyInPandas(run, "config_hash string, discovery boolean")
+    judged = both.join(tested, "config_hash", "left").withColumn("hit", F.coalesce("found", "discovery"))
+    return judged.select("id", F.when(F.col("hit").isNull(), "UNTESTABLE").when(F.col("hit"), "DISCOVERY").otherwise("FAILED").alias("outcome"))

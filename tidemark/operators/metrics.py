@@ -103,7 +103,8 @@ def regime_breakdown(curves: DataFrame, n: int = 20) -> DataFrame:
     w = W.partitionBy("symbol").orderBy("t")
     f = w.rowsBetween(1 - n, 0)
     r = curves.withColumn("r", F.col("equity") / F.lag("equity").over(w) - 1)
-    r = r.withColumn("vol", F.when(F.count("r").over(f) >= n, F.stddev_samp("r").over(f))).where("vol is not null")
+    # ties but for the last digits are ties
+    r = r.withColumn("vol", F.round(F.when(F.count("r").over(f) >= n, F.stddev_samp("r").over(f)), 12)).where("vol is not null")
     out = r.withColumn("tercile", F.ntile(3).over(W.partitionBy("symbol").orderBy("vol", "t"))).groupBy("symbol", "tercile").agg(F.count("r").alias("n"), sharpe("r").alias("sharpe"))
     sign = F.signum(F.coalesce("sharpe", F.lit(0.0)))
     per = W.partitionBy("symbol")
@@ -128,10 +129,11 @@ def track_record(sr: Column, target: Column, skew: Column, kurtosis: Column, con
     return F.when(sr > target, F.greatest(F.lit(2), F.ceil(1 + under * F.pow(z / (sr - target), F.lit(2)))))
 
 
-def deflated(moments: DataFrame, trials: int) -> DataFrame:
-    """dsr of rows (sr, n, skew, kurtosis): the deviation of sr over the batch, the count of all trials so far."""
-    sd = F.stddev_samp("sr").over(W.partitionBy())
-    rows = moments.withColumn("bar", expected_max(F.lit(trials), sd))
+def deflated(moments: DataFrame, trials: DataFrame) -> DataFrame:
+    """dsr of rows (sr, n, skew, kurtosis): the deviation of sr over the batch, the number of rows of all trials so far."""
+    batch = moments.agg(F.stddev_samp("sr").alias("_sd")).crossJoin(trials.agg(F.count("*").alias("n_trials")))
+    # one row
+    rows = moments.crossJoin(F.broadcast(batch)).withColumn("bar", expected_max(F.col("n_trials"), F.col("_sd"))).drop("_sd", "n_trials")
     return rows.withColumn("dsr", probabilistic_sharpe(F.col("sr"), F.col("bar"), F.col("n"), F.col("skew"), F.col("kurtosis")))
 
 
@@ -160,29 +162,60 @@ def overfitting(returns: DataFrame, most: int = 16) -> DataFrame:
     return ranked.agg(F.count("*").alias("n_combinations"), F.avg((F.col("rank") / (F.col("size") + 1) <= 0.5).cast("double")).alias("pbo"))
 
 
+def failures(metrics: DataFrame, names: list[str], failed: dict[str, Column]) -> DataFrame:
+    """metrics with metric_failures: name -> message for each of names that could not be computed (failed: its message, null if fine).
+
+    A metric that failed is null; the others keep their values.
+    """
+    said = F.map_from_entries(F.array_compact(F.array(*[F.when(failed[n].isNotNull(), F.struct(F.lit(n).alias("key"), failed[n].alias("value"))) for n in names])))
+    return metrics.withColumn("metric_failures", said).withColumns({n: F.when(failed[n].isNull(), F.col(n)) for n in names})
+
+
 def score(evidence: DataFrame) -> DataFrame:
-    """0 to 100: mean of the parts at hand (pbo, dsr, excess_sharpe, decay_share); 0 for what is worse than holding."""
-    parts = F.array_compact(F.array(1 - F.col("pbo"), F.col("dsr"), F.least(F.greatest(F.col("excess_sharpe") / 2, F.lit(0.0)), F.lit(1.0)), F.col("decay_share")))
+    """score (0 to 100), worse_than_holding and score_reasons of (excess_return, excess_sharpe, pbo, dsr, has_power).
+
+    The mean of the parts at hand: pbo from 1 at 0 down to 0 at one half, and whether deflated Sharpe and
+    excess Sharpe are positive and the claimed horizon has power. What is worse than holding gets 0.
+    """
+    yes = lambda c: F.when(c.isNotNull(), c.cast("double"))
+    of_pbo = F.when(F.col("pbo").isNotNull(), F.greatest(F.lit(0.0), 1 - 2 * F.col("pbo")))
+    every = F.array(of_pbo, yes(F.col("dsr") > 0), yes(F.col("excess_sharpe") > 0), yes(F.col("has_power")))
+    parts = F.array_compact(every)
+    worse = (F.col("excess_return") <= 0) & (F.col("excess_sharpe").isNull() | (F.col("excess_sharpe") <= 0))
     mean = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts)
-    return evidence.withColumn("score", F.when(F.col("worse_than_holding"), 0.0).when(F.size(parts) > 0, 100 * mean))
+    reasons = F.when(worse, F.array(F.lit("WORSE_THAN_HOLDING"))).when(F.size(parts) < 4, F.array(F.lit("SCORE_PARTIAL_EVIDENCE"))).otherwise(F.array().cast("array<string>"))
+    return evidence.withColumns({"score": F.when(worse | (F.size(parts) == 0), 0.0).otherwise(100 * mean), "worse_than_holding": worse, "score_reasons": reasons})
 
 
 def verdict(evidence: DataFrame) -> DataFrame:
-    """The first rule that applies decides; see the order below."""
+    """verdict and reason_codes of scored evidence; the first rule that applies decides.
+
+    Further columns: benchmark_mismatch, previous_verdict, turnover, consistent (null: unknown), n_failures.
+    """
+    codes = lambda *names: F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
     rules = [
-        (F.col("benchmark_mismatch"), "INCOMPLETE", "BENCHMARK_MISMATCH"), (F.col("worse_than_holding") & F.col("was_promoted"), "RETIRE", "WORSE_THAN_HOLDING"), (F.col("worse_than_holding"), "REJECT", "WORSE_THAN_HOLDING"),
-        (F.col("n_trades") == 0, "REJECT", "NO_TRADES"), (F.col("pbo") > 0.5, "REJECT", "OVERFIT"), (~F.col("regime_consistent"), "CONTINUE", "REGIME"),
-        ((F.col("dsr") >= 0.95) & (F.col("score") >= 70), "PROMOTE", "STRONG"), (F.col("score") >= 50, "PROMISING", "FAIR"),
-    ]
-    out, why = F.lit(None), F.lit(None)
-    for when, name, reason in reversed(rules):
+        (F.col("benchmark_mismatch"), "CONTINUE_RESEARCH", codes("BENCHMARK_MISMATCH")),
+        (F.col("worse_than_holding") & (F.col("previous_verdict") == "PROMOTE"), "RETIRE", codes("WORSE_THAN_HOLDING", "RETIRE_FROM_PROMOTE")),
+        (F.col("worse_than_holding"), "REJECT", codes("WORSE_THAN_HOLDING")),
+        (F.col("turnover") == 0, "DORMANT", codes("NO_TRADES")),
+        (F.col("pbo") > 0.5, "REJECT", codes("OVERFITTING")),
+        (~F.col("consistent"), "REGIME_SPECIALIST", codes("REGIME_INCONSISTENT")),
+        (F.col("dsr").isNotNull() & (F.col("n_failures") > 0), "CONTINUE_RESEARCH", codes("INCOMPLETE_EVIDENCE")),
+        (F.col("dsr").isNotNull(), "PROMOTE", codes()),
+        (F.col("score") >= 50, "PROMISING", F.col("score_reasons")),
+    ]
+    out, why = F.lit("CONTINUE_RESEARCH"), F.col("score_reasons")
+    for when, name, reasons in reversed(rules):
         hit = F.coalesce(when, F.lit(False))
-        out, why = F.when(hit, name).otherwise(out), F.when(hit, reason).otherwise(why)
-    return evidence.withColumns({"verdict": F.coalesce(out, F.lit("CONTINUE")), "reason": why})
+        out, why = F.when(hit, name).otherwise(out), F.when(hit, reasons).otherwise(why)
+    return evidence.withColumns({"verdict": out, "reason_codes": why})
 
 
 #: The status that a verdict leads to.
-STATUS = {"PROMOTE": "VALIDATED", "PROMISING": "PROMISING", "CONTINUE": "CANDIDATE", "INCOMPLETE": "CANDIDATE", "REJECT": "QUARANTINED", "RETIRE": "RETIRED"}
+STATUS = {
+    "PROMOTE": "VALIDATED", "PROMISING": "PROMISING", "CONTINUE_RESEARCH": "EXPERIMENTAL", "REGIME_SPECIALIST": "REGIME_SPECIALIST",
+    "DORMANT": "DORMANT", "QUARANTINE": "QUARANTINED", "REJECT": "REJECTED", "RETIRE": "RETIRED",
+}
 
 
 def status(column: str = "verdict") -> Column:

@@ -99,3 +99,15 @@ def day_start(curve: DataFrame) -> DataFrame:
     """(strategy_id, day, equity before the day's first fill)."""
     per_day = curve.groupBy("strategy_id", F.to_date("filled_at").alias("day")).agg(F.max_by("equity", "filled_at").alias("close"))
     return per_day.select("strategy_id", "day", F.coalesce(F.lag("close").over(W.partitionBy("strategy_id").orderBy("day")), F.lit(CASH)).alias("day_start"))
+
+
+def worse_than_holding(curve: DataFrame, bars: DataFrame, traded: DataFrame, cost: float = 15 / 10_000) -> DataFrame:
+    """(strategy_id, paper_final, benchmark_final) of strategies whose last paper equity is below holding their symbol.
+
+    traded (strategy_id, symbol); a symbol is bought at its first bar from the day of the first fill on.
+    """
+    paper = curve.groupBy("strategy_id").agg(F.to_date(F.min("filled_at")).alias("start"), F.max_by("equity", "filled_at").alias("paper_final"))
+    window = paper.join(traded, "strategy_id").join(bars.select("symbol", "t", "close"), "symbol").where("t >= start")
+    growth = F.max_by("close", "t") / F.min_by("close", "t")
+    ends = window.groupBy("strategy_id").agg(F.first("paper_final").alias("paper_final"), (CASH * (1 - cost) * growth).alias("benchmark_final"))
+    return ends.where("paper_final < benchmark_final")

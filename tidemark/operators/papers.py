@@ -110,3 +110,46 @@ def links_of(links: DataFrame, papers_of: DataFrame) -> DataFrame:
 
 def page(papers: DataFrame, size: int, number: int) -> DataFrame:
     return papers.orderBy(F.desc("published_at"), "id").offset(size * number).limit(size)
+
+
+def new_links(links: DataFrame, stored: DataFrame) -> DataFrame:
+    """Links that are not stored yet, one for each pair of claims."""
+    first = links.groupBy("claim_a", "claim_b").agg(F.min("relation").alias("relation"))
+    return first.join(stored.select("claim_a", "claim_b"), ["claim_a", "claim_b"], "left_anti")
+
+
+def unextracted(papers: DataFrame, extractions: DataFrame, most: int = 2) -> DataFrame:
+    """Papers without a readable extraction and with fewer than ``most`` attempts, the newest first."""
+    tried = extractions.groupBy(F.col("paper_id").alias("id")).agg(F.count("*").alias("attempts"), F.count_if(~F.col("model").like("%:unparseable")).alias("read"))
+    return papers.join(tried.where((F.col("read") > 0) | (F.col("attempts") >= most)).select("id"), "id", "left_anti").orderBy(F.desc("id"))
+
+
+def refinement_parents(evidence: DataFrame, hypotheses: DataFrame, rotation: list[str]) -> DataFrame:
+    """Evidence without a hypothesis built on it, most consistent first; rotation families are left out."""
+    used = hypotheses.select(F.col("parent_config_hash").alias("config_hash"))
+    left = evidence.where(~F.col("family").isin(rotation)).join(used, "config_hash", "left_anti")
+    return left.orderBy(F.desc_nulls_last("icir"), F.desc_nulls_last("score"), "config_hash")
+
+
+def summary(papers: DataFrame, extractions: DataFrame, claims_: DataFrame, links: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """One row of counts."""
+    off_topic, unread = F.col("model") == "relevance-filter", F.col("model").like("%:unparseable")
+    parts = [
+        papers.agg(F.count("*").alias("papers")),
+        extractions.agg(F.count_distinct(F.when(~off_topic & ~unread, F.col("paper_id"))).alias("papers_extracted"), F.count_distinct(F.when(off_topic, F.col("paper_id"))).alias("papers_off_topic")),
+        claims_.agg(F.count("*").alias("claims"), F.count_if("testable").alias("testable_claims")),
+        links.agg(F.count("*").alias("links")),
+        hypotheses.agg(F.count_if(F.col("claim_ids").isNotNull() & (F.col("fingerprint") != "unparseable")).alias("hypotheses_from_claims")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.crossJoin(part)  # single rows
+    return out
+
+
+def learned(hypotheses: DataFrame, claims_: DataFrame, strategies: DataFrame) -> DataFrame:
+    """(hypothesis_id, claim_id, paper_id, strategy_id, status): each claim of a hypothesis, and the newest strategy built from it."""
+    readable = hypotheses.where("fingerprint <> 'unparseable'").select(F.col("id").alias("hypothesis_id"), "fingerprint", F.explode("claim_ids").alias("claim_id"))
+    built = strategies.where("source = 'llm_hypothesis'").groupBy(F.col("config_hash").alias("fingerprint")).agg(F.max_by(F.struct(F.col("id").alias("strategy_id"), "status"), F.struct("created_at", "id")).alias("s"))
+    both = readable.join(claims_.select(F.col("id").alias("claim_id"), "paper_id"), "claim_id").join(built, "fingerprint", "left")
+    return both.select("hypothesis_id", "claim_id", "paper_id", "s.strategy_id", "s.status")

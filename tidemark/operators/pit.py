@@ -99,3 +99,20 @@ def version(bars: DataFrame) -> DataFrame:
 def enough_history(specs: DataFrame, counts: DataFrame, margin: int = 1) -> DataFrame:
     """Specs (spec_id, symbol, min_bars) whose symbol has min_bars + margin bars."""
     return specs.join(counts, "symbol").where(F.col("n_bars") >= F.col("min_bars") + margin).drop("n_bars")
+
+
+def window(bars: DataFrame, symbols: DataFrame, timeframe: str, start, end) -> DataFrame:
+    """Bars of symbols (one column, symbol) and one timeframe from start to end, both included."""
+    own = bars.where((F.col("timeframe") == timeframe) & F.col("event_time").between(F.lit(start), F.lit(end)))
+    return own.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+
+
+def combined(research: DataFrame, holdout: DataFrame) -> DataFrame:
+    """Research and holdout bars in one frame, the latest revision of each."""
+    return latest_per(research.unionByName(holdout), list(KEY), F.desc("revision"))
+
+
+def new_snapshots(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """(path, content_hash) of files (path, content) that are not stored yet."""
+    hashed = files.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash")).dropDuplicates()
+    return hashed.join(stored, ["path", "content_hash"], "left_anti")

@@ -175,3 +175,53 @@ def portfolio(bars: DataFrame, weights: DataFrame, days: DataFrame, cost: float
     })
     inside = total.where("stop is null or t < stop").join(segments.select("start", "f", "base", "gross_base"), "start")
     return inside.select("t", (CAPITAL * F.col("base") * F.col("growth")).alias("equity"), (CAPITAL * F.col("gross_base") * F.col("growth")).alias("gross"), F.when(F.col("t") == F.col("start"), F.col("f")).otherwise(0.0).alias("traded"))
+
+
+#: What each family must be given.
+NEEDS = {
+    "EQUAL_WEIGHT_BASELINE": (), "SECTOR_MOMENTUM_ROTATION": ("lookback", "top"), "RELATIVE_STRENGTH_TOP3": ("lookback", "top"), "SECTOR_MEAN_REVERSION": ("lookback", "top"),
+    "DUAL_MOMENTUM_GEM": ("lookback",), "GTAA_SMA_TIMING": ("lookback",), "DEFENSIVE_ASSET_ALLOCATION": ("top",), "PROTECTIVE_ASSET_ALLOCATION": ("lookback", "top", "protection"),
+    "ACCELERATING_DUAL_MOMENTUM": (), "RISK_PARITY_INVERSE_VOL": ("lookback",), "MINIMUM_VARIANCE": ("lookback",), "FIFTY_TWO_WEEK_HIGH": ("lookback", "top"), "RESIDUAL_MOMENTUM": ("lookback", "top"),
+}
+
+
+def weights_of(family: str, params: dict, universe: list[str], bars: DataFrame, days: DataFrame, eligible: DataFrame) -> DataFrame:
+    """(t, symbol, weight) of a family on rebalance days; eligible (t, symbol) are the legs that may be held.
+
+    The dual families need their defensive leg, the universe's last: days on which it is not eligible have no
+    weights. An unknown family or a missing parameter raises an error.
+    """
+    if family not in NEEDS:
+        raise ValueError(f"no weights for family {family!r}")
+    if missing := [k for k in NEEDS[family] if params.get(k) is None]:
+        raise ValueError(f"family {family!r} needs {', '.join(missing)}")
+    n, top = int(params.get("lookback") or 0), int(params.get("top") or 0)
+    pos = F.array_position(F.array(*map(F.lit, universe)), F.col("symbol")).cast("int") - 1
+    own = bars.where(F.col("symbol").isin(*universe)).withColumn("pos", pos)
+    legs = eligible.select("t", "symbol").distinct()
+    on_days = lambda rows: rows.join(F.broadcast(days), "t").join(legs, ["t", "symbol"])  # noqa: E731  days: a row for each rebalance
+    scored = lambda column: on_days(own.withColumn("score", column))
+    if family == "EQUAL_WEIGHT_BASELINE":
+        out = equal_weight(on_days(own))
+    elif family in ("SECTOR_MOMENTUM_ROTATION", "RELATIVE_STRENGTH_TOP3", "SECTOR_MEAN_REVERSION"):
+        out = best(scored(trailing(n)), "score", top, family == "SECTOR_MEAN_REVERSION")
+    elif family in ("DUAL_MOMENTUM_GEM", "ACCELERATING_DUAL_MOMENTUM"):
+        rows = scored(trailing(n) if family == "DUAL_MOMENTUM_GEM" else accelerating())
+        guarded = rows.withColumn("_last", F.max("pos").over(_day())).where(F.col("_last") == len(universe) - 1).drop("_last")
+        out = dual(guarded, "score")
+    elif family == "GTAA_SMA_TIMING":
+        rows = scored(mean(n))
+        out = timed(rows, F.col("close") > F.col("score"))
+    elif family == "DEFENSIVE_ASSET_ALLOCATION":
+        out = defensive(scored(score_13612()), "score", top)
+    elif family == "PROTECTIVE_ASSET_ALLOCATION":
+        out = protective(scored(F.col("close") / mean(n) - 1), "score", top, float(params["protection"]))
+    elif family == "RISK_PARITY_INVERSE_VOL":
+        out = inverse_vol(on_days(volatility(own, n)))
+    elif family == "MINIMUM_VARIANCE":
+        out = minimum_variance(own, days, n).join(legs, ["t", "symbol"], "left_semi")
+    elif family == "FIFTY_TWO_WEEK_HIGH":
+        out = best(scored(near_high(n)), "score", top)
+    else:
+        out = best(on_days(residual(own, universe[0], n).withColumnRenamed("res", "score")).where("pos > 0"), "score", top)
+    return out.select("t", "symbol", "weight")

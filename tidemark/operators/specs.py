@@ -17,7 +17,42 @@ GRID: dict[str, dict[str, list]] = {
     "ZSCORE": {"lookback": [10, 20, 50], "oversold": [-1.0, -1.5, -2.0]}, "VOL_BREAKOUT": {"entry": [20, 55], "exit": [10, 20]}, "MACD": {"fast": [8, 12], "slow": [21, 26], "signal": [9]},
     "STOCHASTIC": {"lookback": [9, 14], "oversold": [10, 20]}, "EMA_CROSSOVER": {"fast": [8, 12, 20], "slow": [26, 50]}, "TSMOM": {"lookback": [60, 120, 250], "skip": [5, 20]}, "N_DAY_LOW": {"lookback": [5, 6, 7, 10]},
 }
-ROTATION: dict[str, dict[str, list]] = {"EQUAL_WEIGHT": {"every": [21]}, "TOP_MOMENTUM": {"lookback": [21, 63, 126], "top": [1, 3], "every": [21]}, "SMA_TIMING": {"lookback": [50, 200], "every": [21]}, "INVERSE_VOL": {"lookback": [20, 60], "every": [21]}}
+#: What is swept for each rotation family.
+ROTATION: dict[str, dict[str, list]] = {
+    "EQUAL_WEIGHT_BASELINE": {},
+    "SECTOR_MOMENTUM_ROTATION": {"lookback": [63, 126, 252], "top": [3, 5]},
+    "RELATIVE_STRENGTH_TOP3": {"lookback": [63, 126, 252], "top": [3]},
+    "SECTOR_MEAN_REVERSION": {"lookback": [21, 63], "top": [3, 5]},
+    "DUAL_MOMENTUM_GEM": {"lookback": [252]},
+    "GTAA_SMA_TIMING": {"lookback": [210]},
+    "DEFENSIVE_ASSET_ALLOCATION": {"top": [1, 2, 6]},
+    "PROTECTIVE_ASSET_ALLOCATION": {"lookback": [210], "top": [1, 6], "protection": [0.5, 1.0, 2.0]},
+    "ACCELERATING_DUAL_MOMENTUM": {},
+    "RISK_PARITY_INVERSE_VOL": {"lookback": [63, 126]},
+    "MINIMUM_VARIANCE": {"lookback": [63, 126]},
+    "FIFTY_TWO_WEEK_HIGH": {"lookback": [252], "top": [3, 5]},
+    "RESIDUAL_MOMENTUM": {"lookback": [63, 126, 252], "top": [3]},
+}
+#: Bars between two rebalances.
+MONTH = 21
+
+#: The mechanism that each family stands for.
+MECHANISMS: dict[str, tuple[str, ...]] = {
+    "TREND": (
+        "MOMENTUM", "EMA_CROSSOVER", "DEMA_CROSSOVER", "TRIPLE_MA_ALIGNMENT", "MA_RIBBON", "HULL_MA_TREND", "KAMA_TREND", "TSMOM", "MACD", "TRIX",
+        "ADX_DI_CROSSOVER", "AROON_CROSSOVER", "VORTEX", "LINREG_SLOPE", "PARABOLIC_SAR", "SUPERTREND", "CHANDELIER_EXIT", "SMA200_FILTER", "AWESOME_OSCILLATOR",
+    ),
+    "MEAN_REVERSION": (
+        "BOLLINGER", "BOLLINGER_PCTB", "RSI", "STOCHASTIC", "WILLIAMS_R", "CCI", "ZSCORE", "IBS", "N_DAY_LOW", "CONSECUTIVE_DOWN", "SMA_DISTANCE",
+        "ULTIMATE_OSCILLATOR", "MFI", "GAP_FADE", "KELTNER_REVERSION",
+    ),
+    "BREAKOUT": ("VOL_BREAKOUT", "KELTNER", "ICHIMOKU_BREAKOUT", "SQUEEZE_BREAKOUT", "ATR_BREAKOUT", "NR7_BREAKOUT", "INSIDE_BAR_BREAKOUT"),
+    "VOLATILITY_REGIME": ("VOL_REGIME_SWITCH", "VOL_OF_VOL_FILTER"),
+    "MACHINE_LEARNING": ("RANDOM_FOREST", "GRADIENT_BOOSTING", "LOGISTIC_REGRESSION", "SVM"),
+    "CROSS_SECTIONAL": tuple(ROTATION),
+}
+#: Statuses of a strategy, the best first.
+LIFE = ("CHAMPION", "VALIDATED", "PROMISING", "EXPERIMENTAL", "REGIME_SPECIALIST", "DORMANT", "QUARANTINED", "REJECTED", "RETIRED")
 
 
 def _valid(params: dict) -> bool:
@@ -106,3 +141,44 @@ def not_run(specs: DataFrame, done: DataFrame, days: int) -> DataFrame:
     """specs with an idempotency key that is not among done."""
     key = F.sha2(F.concat_ws("|", F.lit("backtest"), "spec_id", F.lit(str(days))), 256)
     return specs.withColumn("key", key).join(done.select("key"), "key", "left_anti")
+
+
+def rotation_grid(spark: SparkSession, universe: list[str], values: dict[str, dict[str, list]] | None = None) -> DataFrame:
+    """(spec_id, family, universe, params, every) of every rotation family over a universe, whose order counts."""
+    values = ROTATION if values is None else values
+    rows = [(name, universe, {k: float(v) for k, v in zip(axes, point)}, MONTH) for name, axes in values.items() for point in product(*axes.values())]
+    specs = spark.createDataFrame(rows, "family string, universe array<string>, params map<string,double>, every int")
+    return specs.withColumn("where", F.array_join("universe", ",")).withColumn("spec_id", identity(where="where")).drop("where")
+
+
+def mechanism(family: Column) -> Column:
+    """The mechanism of a family; an unknown family raises an error."""
+    known = F.create_map(*[F.lit(x) for kind, names in MECHANISMS.items() for name in names for x in (name, kind)])
+    return F.coalesce(F.try_element_at(known, family), F.raise_error(F.concat(F.lit("no mechanism for family "), F.coalesce(family, F.lit("null")))).cast("string"))
+
+
+def aligned(hypotheses: DataFrame) -> DataFrame:
+    """hypotheses (family, mechanism) with mechanism_aligned: whether a family's own mechanism was claimed."""
+    return hypotheses.withColumn("mechanism_aligned", mechanism(F.col("family")).eqNullSafe(F.col("mechanism")))
+
+
+def swapped(specs: DataFrame, templates: DataFrame, salt: str = "swap") -> DataFrame:
+    """A child of each spec: a template of another family, chosen by seed, for the same symbol; templates (family, params)."""
+    numbered = templates.select(F.col("family").alias("new_family"), F.col("params").alias("new_params"), F.row_number().over(W.orderBy("family", F.to_json("params"))).alias("k"))
+    n = templates.count()
+    # tries, of which the first with another family counts; a template table is a grid's defaults
+    tries = specs.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    tries = tries.withColumn("k", (seed(F.col("spec_id"), F.lit(salt), F.col("try")) % max(n, 1) + 1).cast("int"))
+    fit = tries.join(F.broadcast(numbered), "k").where("new_family <> family")
+    first = fit.groupBy("spec_id").agg(F.min_by(F.struct("symbol", "new_family", "new_params"), "try").alias("s"))
+    child = first.select(F.col("spec_id").alias("parent_id"), F.col("s.symbol").alias("symbol"), F.col("s.new_family").alias("family"), F.col("s.new_params").alias("params"))
+    return identified(child)
+
+
+def information_value(candidates: DataFrame, penalty: float = 1.0) -> DataFrame:
+    """candidates (params, parent_status, mode) with value: the parent's rank from 1 (best) to 0, half without one;
+    1 more for those that fill a gap; less a penalty for each parameter."""
+    rank = F.array_position(F.array(*map(F.lit, LIFE)), F.col("parent_status"))
+    term = F.when(rank > 0, 1 - (rank - 1) / (len(LIFE) - 1)).otherwise(0.5)
+    gap = F.when(F.col("mode") == "diversification", 1.0).otherwise(0.0)
+    return candidates.withColumn("value", term + gap - penalty * F.size("params"))

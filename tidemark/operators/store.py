@@ -128,21 +128,98 @@ def universe_class(specs: DataFrame, membership: DataFrame) -> DataFrame:
     return kinds.select("spec_id", F.when((F.size("kinds") == 1) & (F.col("unknown") == 0), F.element_at("kinds", 1)).alias("asset_class"))
 
 
-#: Statuses by rank; a move may only go up, but any may be retired.
-RANKS = {"CANDIDATE": 0, "PROMISING": 1, "VALIDATED": 2, "CHAMPION": 3}
+#: Statuses that only a promotion reaches, by rank.
+RANKS = {"VALIDATED": 1, "CHAMPION": 2}
 
 
 def transitions(requests: DataFrame) -> DataFrame:
-    """Verdict on requests (status, wanted, halted, is_canary, discovered, holdout_passed): refused and why."""
+    """Verdict on requests (status, wanted, halted, is_canary, discovered, holdout_passed): refused and why.
+
+    Only a promotion, that is a move up to VALIDATED or CHAMPION, can be refused.
+    """
     rank = F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv])
-    up = rank[F.col("wanted")] > rank[F.col("status")]
+    of = lambda c: F.coalesce(F.try_element_at(rank, F.col(c)), F.lit(0))
+    promotion = of("wanted") > of("status")
     reason = (
-        F.when(F.col("wanted") == "RETIRED", None).when(~F.coalesce(up, F.lit(False)), "RANK").when(F.col("halted"), "HALTED").when(F.col("is_canary"), "CANARY")
-        .when(rank[F.col("wanted")].__ge__(2) & ~F.col("discovered"), "NO_DISCOVERY").when(rank[F.col("wanted")].__ge__(2) & ~F.col("holdout_passed"), "NO_HOLDOUT")
+        F.when(~promotion, None).when(F.col("is_canary"), "CANARY").when(F.col("halted"), "HALTED")
+        .when((F.col("wanted") == "VALIDATED") & ~F.col("discovered"), "NO_DISCOVERY").when(~F.col("holdout_passed"), "NO_HOLDOUT")
     )
     return requests.withColumn("refused", reason).withColumn("allowed", F.col("refused").isNull())
 
 
+def _newest(rows: DataFrame, key: str, *columns: Column | str) -> DataFrame:
+    """The newest row of each key by (created_at, id)."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("created_at", "id")).alias("s")).select(key, "s.*")
+
+
+def mutation_label(change_set: Column) -> Column:
+    """A short name of a change; null for none or an unknown kind."""
+    kind, field = F.try_element_at(change_set, F.lit("mutation_type")), F.coalesce(F.try_element_at(change_set, F.lit("field")), F.lit("?"))
+    return F.when(kind == "PARAMETER_TUNE", F.concat(F.lit("tune "), field)).when(kind == "SWAP_FAMILY", "swap family").when(kind == "CROSSOVER", "crossover").when(kind == "LLM_HYPOTHESIS", "LLM hypothesis")
+
+
+def strategy_list(strategies: DataFrame, runs: DataFrame, validations: DataFrame, n: int = 500) -> DataFrame:
+    """The n newest strategies with the label of their latest run's change and the latest validation of that run's hash."""
+    page = strategies.orderBy(F.desc("created_at"), F.desc("id")).limit(n).select("id", "family", "status")
+    mine = runs.join(page.select(F.col("id").alias("strategy_id")), "strategy_id", "left_semi")
+    run = _newest(mine, "strategy_id", "config_hash", "change_set").select(F.col("strategy_id").alias("id"), F.col("config_hash").alias("fingerprint"), mutation_label(F.col("change_set")).alias("label"))
+    judged = _newest(validations.join(run.select("fingerprint"), "fingerprint", "left_semi"), "fingerprint", "verdict", "score", "pbo")
+    return page.join(run, "id", "left").join(judged, "fingerprint", "left").select("id", "family", "status", "label", "fingerprint", "verdict", "score", "pbo")
+
+
+def scatter(results: DataFrame, runs: DataFrame, strategies: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(config_hash, id, family, total_return_pct, decision): the latest result of each config hash, with its run's latest decision."""
+    rows = results.select("experiment_id", "total_return_pct", "created_at", "id").join(runs.select(F.col("id").alias("experiment_id"), "config_hash", "strategy_id"), "experiment_id")
+    last = rows.groupBy("config_hash").agg(F.max_by(F.struct("experiment_id", "strategy_id", "total_return_pct"), F.struct("created_at", "id")).alias("s")).select("config_hash", "s.*")
+    decided = _newest(decisions, "experiment_id", "decision")
+    family = strategies.select(F.col("id").alias("strategy_id"), "family")
+    return last.join(family, "strategy_id").join(decided, "experiment_id", "left").select("config_hash", F.col("experiment_id").alias("id"), "family", "total_return_pct", "decision")
+
+
+def cluster_view(validations: DataFrame, runs: DataFrame) -> DataFrame:
+    """(cluster, size, members) of clusters with several members, from the latest validation of each fingerprint that has a cluster;
+    members are (fingerprint, strategy_id of the hash's latest run, score), largest clusters first."""
+    last = _newest(validations.where("cluster is not null"), "fingerprint", "cluster", "score")
+    run = _newest(runs.where("strategy_id is not null"), "config_hash", "strategy_id").withColumnRenamed("config_hash", "fingerprint")
+    members = F.array_sort(F.collect_list(F.struct("fingerprint", "strategy_id", "score")))
+    out = last.join(run, "fingerprint", "left").groupBy("cluster").agg(F.count("*").alias("size"), members.alias("members"))
+    return out.where("size > 1").orderBy(F.desc("size"), "cluster")
+
+
+def canary_statistics(registered: DataFrame, evaluated: DataFrame, breaches: DataFrame, halts: DataFrame) -> DataFrame:
+    """One row: canaries registered, evaluated and breached (distinct hashes), last breach, latest halt event, share that passed wrongly."""
+    out = registered.agg(F.count("*").alias("registered")).crossJoin(evaluated.agg(F.count_distinct("config_hash").alias("evaluated")))
+    out = out.crossJoin(breaches.agg(F.count_distinct("config_hash").alias("breached"), F.max("created_at").alias("last_breach_at"))).crossJoin(halts.agg(F.max_by("event", "id").alias("latest_halt_event")))
+    return out.withColumn("false_pass_rate", F.try_divide(F.col("breached").cast("double"), F.col("evaluated")))
+
+
+def paper_eligible(ledger: DataFrame, verdicts: DataFrame, strategies: DataFrame) -> DataFrame:
+    """(id, family, label): discoveries that await the holdout, and all champions."""
+    waiting = awaiting_holdout(ledger, verdicts, strategies).select("id", "family", F.lit("AWAITING_HOLDOUT").alias("label"))
+    return waiting.unionByName(strategies.where("status = 'CHAMPION'").select("id", "family", F.lit("CHAMPION").alias("label")))
+
+
+def to_restore(strategies: DataFrame, orders: DataFrame) -> DataFrame:
+    """(family, id): in families without a champion, the validated strategy that traded last; orders (strategy_id, at)."""
+    crowned = strategies.where("status = 'CHAMPION'").select("family").distinct()
+    traded = orders.groupBy(F.col("strategy_id").alias("id")).agg(F.max("at").alias("at"))
+    open_ = strategies.where("status = 'VALIDATED'").join(crowned, "family", "left_anti").join(traded, "id")
+    return open_.groupBy("family").agg(F.max_by("id", F.struct("at", "id")).alias("id"))
+
+
+def breedable(strategies: DataFrame, canaries: DataFrame) -> DataFrame:
+    """Strategies that are no canaries; canaries (strategy_id)."""
+    return strategies.join(canaries.select(F.col("strategy_id").alias("id")), "id", "left_anti")
+
+
+def breedable_scores(strategies: DataFrame, canaries: DataFrame, runs: DataFrame, validations: DataFrame, statuses: tuple[str, ...] = ("VALIDATED", "CHAMPION", "PROMISING")) -> DataFrame:
+    """(id, config_hash, score, icir): the latest validation of the latest run of breedable strategies with one of the statuses."""
+    own = breedable(strategies, canaries).where(F.col("status").isin(*statuses)).select(F.col("id").alias("strategy_id"))
+    run = _newest(runs.join(own, "strategy_id", "left_semi"), "strategy_id", "config_hash")
+    judged = _newest(validations, "fingerprint", "score", F.col("metrics.icir").alias("icir")).withColumnRenamed("fingerprint", "config_hash")
+    return run.join(judged, "config_hash").select(F.col("strategy_id").alias("id"), "config_hash", "score", "icir")
+
+
 def job_health(jobs: DataFrame, dead: DataFrame, bound: float = 0.2) -> DataFrame:
     """Per kind: jobs, failures, their share and whether it is too high."""
     n = jobs.groupBy("kind").agg(F.count("*").alias("n")).join(dead.groupBy("kind").agg(F.count("*").alias("failed")), "kind", "full")

@@ -67,3 +67,33 @@ STRATEGIES_SQL = """strategies AS (
          CASE WHEN c_custkey % 11 <> 0 THEN CAST(floor(c_acctbal / 100) AS BIGINT) END AS score, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal / 10000 END AS icir,
          c_custkey % 97 = 0 AS is_champion, c_custkey % 13 = 0 AS is_canary, 'h' || (c_custkey % 400) AS config_hash, c_acctbal, c_nationkey, c_custkey AS created_at
   FROM customer)"""
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order is a run of its customer's strategy; what was changed comes from its key."""
+    rows = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % 5
+    kind = F.when(k == 0, "PARAMETER_TUNE").when(k == 1, "SWAP_FAMILY").when(k == 2, "CROSSOVER").when(k == 3, "LLM_HYPOTHESIS")
+    change = F.when(kind.isNotNull(), F.create_map(F.lit("mutation_type"), kind, F.lit("field"), F.lower("o_orderstatus")))
+    return rows.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("strategy_id"), F.concat(F.lit("h"), (F.col("o_custkey") % 400).cast("string")).alias("config_hash"), change.alias("change_set"), F.col("o_orderdate").alias("created_at"))
+
+
+RUNS_SQL = """runs AS (
+  SELECT o_orderkey AS id, o_custkey AS strategy_id, 'h' || (o_custkey % 400) AS config_hash, o_orderdate AS created_at,
+         CASE o_orderkey % 5 WHEN 0 THEN 'tune ' || lower(o_orderstatus) WHEN 1 THEN 'swap family' WHEN 2 THEN 'crossover' WHEN 3 THEN 'LLM hypothesis' END AS label FROM orders)"""
+
+
+def validations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A validation for each line item: its order's customer is the fingerprint."""
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return items.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("h"), (F.col("o_custkey") % 400).cast("string")).alias("fingerprint"), F.when(F.col("l_returnflag") == "R", "REJECT").otherwise("PROMISING").alias("verdict"),
+        (F.col("l_quantity") * 2).alias("score"), (F.col("l_discount") * 8).alias("pbo"), F.struct(F.when(F.col("l_linenumber") != 3, F.col("l_tax")).alias("icir")).alias("metrics"),
+        F.when(F.col("o_custkey") % 3 != 0, F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string"))).alias("cluster"), F.col("l_shipdate").alias("created_at"),
+    )
+
+
+VALIDATIONS_SQL = """validations AS (
+  SELECT l_orderkey * 10 + l_linenumber AS id, 'h' || (o_custkey % 400) AS fingerprint, CASE WHEN l_returnflag = 'R' THEN 'REJECT' ELSE 'PROMISING' END AS verdict, l_quantity * 2 AS score,
+         l_discount * 8 AS pbo, CASE WHEN l_linenumber <> 3 THEN l_tax END AS icir, CASE WHEN o_custkey % 3 <> 0 THEN 'c' || (o_custkey % 40) END AS cluster, l_shipdate AS created_at
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
