@@ -84,18 +84,26 @@ def test_suffix_of_passages_cut_at_many_places(spark):
 
 
 def test_substring_against_brute_force(docs, empty):
-    first, rows = {}, [(r[0] if r[0] is not None else common.NO_ID, r[0], r[1]) for r in _texts()]
-    for d, _, t in rows:
-        w = (t or "").encode().split()
-        for p in range(len(w) - 49):
-            k = tuple(w[p : p + 50])
-            first[k] = min(d, first.get(k, d))
+    first, last, level = {}, {}, 50
+    rows = [(r[0] if r[0] is not None else common.NO_ID, r[0], (r[1] or "").encode().split()) for r in _texts()]
+    longest = [0] * len(rows)
+    while level <= max(len(w) for _, _, w in rows):
+        held: dict = {}
+        for d, _, w in rows:
+            for p in range(len(w) - level + 1):
+                held.setdefault(tuple(w[p : p + level]), set()).add(d)
+        if level == 50:
+            first = {k: min(v) for k, v in held.items()}
+        for n, (_, _, w) in enumerate(rows):
+            if any(len(held[tuple(w[p : p + level])]) > 1 for p in range(len(w) - level + 1)):
+                longest[n] = level
+        level *= 2
     want = []
-    for d, i, t in rows:
-        w = (t or "").encode().split()
+    for (d, i, w), n in zip(rows, longest):
         cut = {q for p in range(len(w) - 49) if first[tuple(w[p : p + 50])] < d for q in range(p, p + 50)}
-        want.append((i, len(w), len(cut), b" ".join(x for k, x in enumerate(w) if k not in cut).decode()))
-    assert _rows(substring.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept") == sorted(want, key=repr)
+        want.append((i, len(w), len(cut), b" ".join(x for k, x in enumerate(w) if k not in cut).decode(), n))
+    assert max(longest) >= 200
+    assert _rows(substring.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept", "longest") == sorted(want, key=repr)
     out = substring.remove_repeats(empty)
     assert out.count() == 0 and "row" in out.columns
 

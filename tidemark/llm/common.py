@@ -117,7 +117,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 20):
+def slices(offsets: np.ndarray, most: int = 1 << 18):
     """Ranges of whole rows with about most bytes each; a longer row stands alone."""
     a, n = 0, len(offsets) - 1
     while a < n:
@@ -235,13 +235,13 @@ class Encoder:
 
     A text is cut before its spaces, its words at the vocabulary's own bounds, and the pieces are merged
     by the library's model. Texts with anything unusual (see _ODD; double spaces) go through the library
-    whole. The memory of words is emptied when it is full. drops_space: the vocabulary lowers case and
+    whole. The memory of words is emptied when it is full and at the end of a task. drops_space: the vocabulary lowers case and
     drops white space.
     """
 
     _made: dict = {}
 
-    def __init__(self, path: str, drops_space: bool, most: int = 1_200_000):
+    def __init__(self, path: str, drops_space: bool, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.drops, self.most = Tokenizer.from_file(path), drops_space, most
@@ -250,7 +250,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str, drops_space: bool) -> Encoder:
-        """One for each Python worker, so that what it knows serves all its tasks."""
+        """One for each Python worker, which reads the file once."""
         if path not in cls._made:
             cls._made[path] = cls(path, drops_space)
         return cls._made[path]

@@ -33,18 +33,21 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer, False)
-        for batch in batches:
-            for part in text_chunks(batch):
-                out: list[list] = [[], [], [], [], []]
-                texts = part.column("text").fill_null("").to_pylist()
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts)):
-                    ids = np.append(ids, end_id).astype("<u4")
-                    first = (len(ids) - 1) % capacity + 1
-                    for k, a in enumerate([0, *range(first, len(ids), capacity)]):
-                        piece = ids[a : first if k == 0 else a + capacity]
-                        for column, x in zip(out, (doc, k, a, len(piece), zlib.crc32(piece.tobytes()))):
-                            column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        try:
+            for batch in batches:
+                for part in text_chunks(batch):
+                    out: list[list] = [[], [], [], [], []]
+                    texts = part.column("text").fill_null("").to_pylist()
+                    for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts)):
+                        ids = np.append(ids, end_id).astype("<u4")
+                        first = (len(ids) - 1) % capacity + 1
+                        for k, a in enumerate([0, *range(first, len(ids), capacity)]):
+                            piece = ids[a : first if k == 0 else a + capacity]
+                            for column, x in zip(out, (doc, k, a, len(piece), zlib.crc32(piece.tobytes()))):
+                                column.append(x)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            encoder.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _PIECES)
 

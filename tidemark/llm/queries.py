@@ -20,6 +20,7 @@ ORACLES: dict[str, str] = {
     "op2_substring_dedup": sql.OP2_SQL,
     "op3_nearest": neighbours.OP3_SQL,
     "op4_chat_format": chat.OP4_SQL,
+    "op6_suffix_dedup": sql.OP6_SQL,
     "op7_mixing": sql.OP7_SQL,
     "op10_minhash": sql.OP10_SQL,
 }

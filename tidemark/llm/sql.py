@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+#: Levels of op2 in its SQL; words of the longest text it can tell apart.
+_LEVELS = [50 << k for k in range(9)]
+_DOUBLED = ",".join(f"""
+l{2 * n} AS (SELECT doc_id, p, md5(h || nxt) AS h FROM (SELECT doc_id, p, h, lead(h, {n}) OVER (PARTITION BY doc_id ORDER BY p) AS nxt FROM l{n}) WHERE nxt IS NOT NULL)""" for n in _LEVELS[:-1])
+_REACHED = " UNION ALL ".join(f"SELECT doc_id, {n} AS n FROM l{n} JOIN (SELECT h FROM l{n} GROUP BY h HAVING min(doc_id) < max(doc_id)) USING (h)" for n in _LEVELS)
 OP2_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
@@ -14,10 +19,26 @@ hit AS (SELECT DISTINCT doc_id, p + o AS i FROM starts, (SELECT unnest(range(50)
 numbered AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
 kept AS (
   SELECT n.doc_id, string_agg(word, ' ' ORDER BY n.i) AS kept, count(*) AS n_kept
-  FROM numbered n ANTI JOIN hit h ON n.doc_id = h.doc_id AND n.i = h.i GROUP BY n.doc_id)
+  FROM numbered n ANTI JOIN hit h ON n.doc_id = h.doc_id AND n.i = h.i GROUP BY n.doc_id),
+l50 AS (SELECT doc_id, p, md5(k) AS h FROM windows),""" + _DOUBLED + f""",
+reached AS (SELECT doc_id, max(n) AS longest FROM ({_REACHED}) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
-       sha256(coalesce(kept, '')) AS kept_sha256
-FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+       sha256(coalesce(kept, '')) AS kept_sha256, CAST(coalesce(longest, 0) AS INTEGER) AS longest
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id LEFT JOIN reached ON reached.doc_id = w.doc_id
+"""
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 800)) AS k FROM (SELECT doc_id, x, unnest(range(0, n - 399)) AS p FROM d WHERE n >= 400)),
+twice AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+starts AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM windows JOIN twice USING (k)),
+marked AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p - before > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM starts),
+runs AS (SELECT doc_id, run, min(p) AS a, max(p) + 400 AS b FROM marked GROUP BY ALL),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY run)
+         UNION ALL SELECT d.doc_id, coalesce(max(r.b), 0), any_value(d.n) FROM d LEFT JOIN runs r ON r.doc_id = d.doc_id GROUP BY d.doc_id),
+kept AS (SELECT g.doc_id, string_agg(substr(x, 2 * g.a + 1, 2 * (g.b - g.a)), '' ORDER BY g.a, g.b) AS kept FROM gaps g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN sums s ON s.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 OP10_SQL = r"""
 WITH RECURSIVE w AS (

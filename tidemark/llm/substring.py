@@ -1,16 +1,21 @@
-"""Substring dedup by level-wise doubling: windows of words that repeat at one length are extended to twice it.
+"""Substring dedup by level-wise doubling: windows of words that repeat at one length alone are extended to twice it.
 
-A window of ``window`` words can only repeat where its half-length windows do. The first level therefore
-hashes windows of half the length, and of these only the least-hashed one within each full window (its
-anchor): equal full windows have equal anchors at equal places, so an anchor that no other document has
-rules out every window that it stands for. Windows of surviving anchors are extended to the full length
-and hashed in 96 bits; a window goes if its hash also occurs in a document with a smaller doc_id. Whole
-copies of a text are settled first by the text's own hash, so thousands of copies add no windows.
+Levels are 25, 50, 100, 200, ... words, until no candidate survives.
 
-Counts are pre-aggregated per hash before they are shuffled, and the joins back to windows are ordinary
-joins that adaptive execution can split, so a passage that a third of all documents share stays in
-pieces. Lengths beyond the window need no further level: what a longer window would remove, its windows
-of this length remove already.
+1. Level 25 counts, of the windows of 25 words, the anchor of each window of 50: the least-hashed one within it.
+   Equal windows have equal anchors at equal places, so an anchor that no other document has rules out every
+   window that it stands for. Where an anchor repeats, its windows are extended.
+2. Level 50 (``window``) hashes every extended window in 96 bits. A window goes if its hash also occurs in a
+   document with a smaller doc_id; longer levels remove nothing more.
+3. From 50 on, windows whose two halves repeat are extended to twice the length, hashed and counted, until none
+   repeats. ``longest`` tells the last level at which a document still shares a window with another one, so
+   how long its repeats are within a factor of two.
+
+Whole copies of a text are settled first by the text's own hash, so thousands of copies add no windows; one
+stands for them, and all of them repeat at every level that fits their length.
+
+Counts are pre-aggregated per hash before they are shuffled, and the joins back to windows are broadcast
+where the repeated hashes are few and otherwise ordinary joins that adaptive execution can split.
 
 Defined cases: a null text has no words; null doc_ids rank behind all others; rows with the same doc_id
 never remove each other's words; documents shorter than the window keep everything; no rows give none.
@@ -114,19 +119,65 @@ def _to_runs(window: int):
     return run
 
 
-def repeated_runs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc, rk, starts, ends): the runs of words that windows of a smaller doc cover, for rows that are no copies."""
-    half = window // 2
+def _doubled(length: int):
+    """Windows of 2 * length words whose two halves both repeat (at), with 96 bits of hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            doc, rk = (np.asarray(batch.column(c)) for c in KEY)
+            held = batch.column("at")
+            pos, ends = np.asarray(held.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(held)))])
+            for a, b in slices(offsets):
+                h, _, _, first = word_hashes(data, offsets[a : b + 1])
+                again = np.zeros(len(h) + length + 1, bool)
+                again[np.repeat(first[:-1], np.diff(ends[a : b + 1])) + pos[ends[a] : ends[b]]] = True
+                p = np.flatnonzero(again[:-length] & again[length:])
+                r = np.searchsorted(first, p, "right") - 1
+                inside = p + 2 * length <= first[r + 1]
+                p, r = p[inside], r[inside]
+                h1, h2 = (windows(prefix(h, base), base, p, p + 2 * length) for base in (B2, B3))
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(33)).astype(np.int32)), pa.array(doc[a + r]), pa.array(rk[a + r]), pa.array((p - first[r]).astype(np.int32))], names=["h1", "h2", *KEY, "pos"])
+
+    return run
+
+
+def shared(marks: DataFrame, key: list[str], name: str) -> DataFrame:
+    """The keys that several doc_ids have, with the smallest one of each."""
+    firsts = marks.groupBy(*key).agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc")
+    return materialize(firsts.drop("last_doc"), name)
+
+
+def repeated_runs(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """For rows that are no copies: (doc, rk, starts, ends), the runs of words that windows of a smaller doc cover,
+    and (doc, rk, longest), the last level at which each has a window that another doc has."""
+    half, small = window // 2, F.lit(32).cast("long")
     anchors = materialize(rows.select(*KEY, "text").mapInArrow(_anchors(window, half), "h long, doc long, rk long, pos int"), "anchors")
-    again = materialize(anchors.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("h"), "again")
-    alive = join_small(anchors, again, ["h"], "left_semi", F.lit(16).cast("long"))
+    alive = join_small(anchors, shared(anchors, ["h"], "again"), "h", "left_semi", small)
     alive = materialize(alive.groupBy(*KEY).agg(F.collect_set("pos").alias("pos")), "alive")
     candidates = join_small(rows.select(*KEY, "text"), alive, KEY, "inner", bytes_of("pos"))
     full = materialize(candidates.mapInArrow(_extended(window, half), "h1 long, h2 int, doc long, rk long, pos int"), "windows")
-    firsts = full.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    firsts = materialize(firsts, "firsts")
-    covered = join_small(full, firsts, ["h1", "h2"], "inner", F.lit(32).cast("long")).where("doc > first_doc").groupBy(*KEY).agg(F.collect_set("pos").alias("at"))
-    return materialize(covered.mapInArrow(_to_runs(window), "doc long, rk long, starts array<int>, ends array<int>"), "runs")
+    found = join_small(full, shared(full, ["h1", "h2"], "firsts"), ["h1", "h2"], "inner", small)
+    at = found.groupBy(*KEY).agg(F.collect_set(F.when(F.col("doc") > F.col("first_doc"), F.col("pos"))).alias("gone"), F.collect_set("pos").alias("at"))
+    at = materialize(at, "places")
+    removed = at.where(F.size("gone") > 0).select(*KEY, F.col("gone").alias("at")).mapInArrow(_to_runs(window), "doc long, rk long, starts array<int>, ends array<int>")
+    removed = materialize(removed, "runs")
+    level, reached = window, []
+    while True:
+        reached.append(at.select(*KEY, F.lit(level).alias("level")))
+        # both halves of a longer window repeat, so there are places at least level words apart
+        going = materialize(at.where(F.array_max("at") - F.array_min("at") >= level).select(*KEY, "at"), "going")
+        if going.isEmpty():
+            break
+        texts = join_small(rows.select(*KEY, "text"), going, KEY, "inner", bytes_of("at"))
+        wide = materialize(texts.mapInArrow(_doubled(level), "h1 long, h2 int, doc long, rk long, pos int"), "windows")
+        level *= 2
+        again = join_small(wide, shared(wide, ["h1", "h2"], "firsts"), ["h1", "h2"], "left_semi", small)
+        at = materialize(again.groupBy(*KEY).agg(F.collect_set("pos").alias("at")), "places")
+    longest = reached[0]
+    for more in reached[1:]:
+        longest = longest.union(more)
+    return removed, materialize(longest.groupBy(*KEY).agg(F.max("level").alias("longest")), "longest")
 
 
 def _keep(window: int):
@@ -162,20 +213,25 @@ def _keep(window: int):
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with n_words, n_removed and kept (the words that stay, joined by one space).
+    """docs with n_words, n_removed, kept (the words that stay, joined by one space) and longest (0: no window repeats).
 
-    docs has doc_id and text; further columns pass through, but for those named like the three new ones.
+    docs has doc_id and text; further columns pass through, but for those named like the new ones.
     """
     rows = keyed(docs)
     copied = text_copies(rows)
     marked = join_small(rows, copied, ["rk", "t2"], "left", F.lit(24).cast("long"))
     marked = marked.withColumn("is_copy", F.coalesce(F.col("doc") > F.col("first_doc"), F.lit(False)))
-    found = repeated_runs(marked.where("not is_copy"), window)
-    joined = join_small(marked, found, KEY, "left", bytes_of("starts", "ends")).select("row", "text", "is_copy", "starts", "ends")
+    removed, longest = repeated_runs(marked.where("not is_copy"), window)
+    joined = join_small(marked, removed, KEY, "left", bytes_of("starts", "ends"))
+    joined = join_small(joined, longest, KEY, "left", F.lit(24).cast("long")).select(F.struct("row", "first_doc", "longest").alias("row"), "text", "is_copy", "starts", "ends")
     schema = f"row {joined.schema['row'].dataType.simpleString()}, text string, n_words long, n_removed long, kept string"
-    return unpacked(joined.mapInArrow(_keep(window), schema), docs.columns, ["n_words", "n_removed", "kept"])
+    kept = joined.mapInArrow(_keep(window), schema)
+    # a text that has copies repeats as a whole
+    whole = F.when(F.col("row.first_doc").isNotNull() & (F.col("n_words") >= window), (window * F.pow(F.lit(2.0), F.floor(F.log2(F.col("n_words") / window)))).cast("int"))
+    kept = kept.withColumn("longest", F.coalesce(F.greatest("row.longest", whole), F.lit(0))).withColumn("row", F.col("row.row"))
+    return unpacked(kept, docs.columns, ["n_words", "n_removed", "kept", "longest"])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "longest")
