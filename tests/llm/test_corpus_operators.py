@@ -326,19 +326,70 @@ def test_encoder_equals_library():
             assert [list(x) for x in e.encode(part)] == [e.tokenizer.encode(x, add_special_tokens=False).ids for x in part]
 
 
-def test_fingerprints(docs, empty):
-    out = fingerprints.fingerprints(docs).toPandas()
-    rows = sorted(_texts(), key=lambda r: -1e18 if r[0] is None else r[0], reverse=True)
+def _edited(rows):
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
     texts = [r[1] or "" for r in rows]
-    want = sorted((repr(r[0]), len(x), hashlib.sha256((x[: len(x) - len(x) // 2] + y[: len(x) // 2]).encode()).hexdigest()) for r, x, y in zip(rows, texts, texts[1:] + texts[:1]))
-    got = sorted((repr(None if d != d else int(d)), n, h) for d, n, h in zip(out.doc_id, out.n_chars, out.edited_sha256))
-    assert got == want
+    return sorted((repr(r[0]), len(x), hashlib.sha256((x[: len(x) - len(x) // 2] + y[: len(x) // 2]).encode()).hexdigest()) for r, x, y in zip(rows, texts, texts[1:] + texts[:1]))
+
+
+def _got(out):
+    return sorted((repr(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in out.collect())
+
+
+def test_fingerprints(docs, empty):
+    found = fingerprints.fingerprints(docs)
+    out = found.toPandas()
+    assert _got(found) == _edited([r[:2] for r in _texts()])
     assert out.near_edited.between(0, 1).all() and out.near_next.between(0, 1).all()
     same = out[out.doc_id.isin([5, 7, 40])].fingerprint
     assert same.nunique() == 1 and out[out.doc_id.isin([1, 2])].fingerprint.nunique() == 1
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def test_next_documents_of_outlying_and_missing_ids(spark):
+    rng = random.Random(7)
+    rows = [(i * 3, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(9)))) for i in range(300)]
+    rows += [(10**15, "far away"), (-(10**12), "below"), (2**63 - 1, "top"), (-(2**63), "least")]
+    rows += [(None, "the same")] * 150
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = fingerprints.with_next(df, ranges=16)
+    assert found.where("not copied").groupBy("range").count().agg({"count": "max"}).first()[0] < 100
+    assert _got(fingerprints.fingerprints(df)) == _edited(rows)
+    for few in (rows[:1], rows[:2], [(None, None)]):
+        assert _got(fingerprints.fingerprints(spark.createDataFrame(few, "doc_id long, text string"))) == _edited(few)
+
+
+def test_fingerprints_against_a_plain_sampler(spark):
+    """Marks of whole texts, drawn again in plain Python from the same hashes."""
+    texts = ["a b b c", "a b b c c c d", "x", "tie tie tie other other", "b a c b"]
+    spark_hash = {}
+    words = sorted({w for t in texts for w in t.split()})
+    frame = spark.createDataFrame([(w,) for w in words], "word string").selectExpr("word", "xxhash64(word) as h")
+    n = fingerprints.SAMPLES
+    for r in frame.selectExpr("word", *[f"xxhash64(h, {k}) as c{k}" for k in range(2 * n)]).collect():
+        spark_hash[r["word"]] = [r[f"c{k}"] & (2**64 - 1) for k in range(2 * n)]
+    uniform = lambda h, at, bits: ((h >> at & ((1 << bits) - 1)) + 0.5) / (1 << bits)
+
+    def least(text, k):
+        best = []
+        for w, c in Counter(text.split()).items():
+            one, two = spark_hash[w][2 * k], spark_hash[w][2 * k + 1]
+            r, b = -np.log(uniform(one, 0, 21) * uniform(one, 21, 21)), uniform(one, 42, 21)
+            t = np.floor(np.log(c) / r + b)
+            y = np.exp(r * (t - b))
+            best.append((-np.log(uniform(two, 0, 32) * uniform(two, 32, 32)) / (y * np.exp(r)), w, t))
+        return min(best)[1:]
+
+    out = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    cut = lambda f: [f[4 * k : 4 * k + 4] for k in range(n)]
+    for i, x in enumerate(texts):
+        for j, y in enumerate(texts):
+            same = [a == b for a, b in zip(cut(out[i]["fingerprint"]), cut(out[j]["fingerprint"]))]
+            assert same == [least(x, k) == least(y, k) for k in range(n)]
+        if i:
+            assert out[i]["near_next"] == sum(least(x, k) == least(texts[i - 1], k) for k in range(n)) / n
+
+
 def test_fingerprints_estimate_weighted_jaccard(spark):
     a, b = "x x x y z w " * 30 + "q " * 50, "x x y y v w " * 30 + "q " * 20
     for samples in (96,):

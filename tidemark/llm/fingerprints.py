@@ -7,8 +7,10 @@ agree in a sample with a probability equal to their generalised Jaccard similari
 over sum of greatest. Since a is a function of (term, t, sample), equal least values mean equal samples,
 so the minimum itself is kept and 16 bits of its hash are the sample's mark.
 
-The next document (in descending doc_id) is found without a global sort: ids fall in ranges of about
-``per_range`` rows, each range is one window, and the first row of the next range is copied to its end.
+The next document (in descending doc_id) is found without a global sort: rows fall in ranges of about equal
+numbers by (doc_id, text's hash, a random number), each range is one window, and the first row of the next
+range is copied to its end. Bounds come from the rows themselves, so neither outlying ids, nor many rows
+without an id, nor many equal rows meet in one range.
 
 Defined cases: a null text is an empty one; documents without words have a fingerprint of dashes, like
 each other alone (1) and no other (0); null doc_ids come last in the order; rows that repeat a doc_id are
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, join_small, materialize, partitions
+from .common import SPACES, materialize, partitions
 
 SAMPLES = 32
 
@@ -58,25 +60,31 @@ def likeness(a: Column, b: Column, samples: int) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.lit(float(samples))
 
 
-def with_next(docs: DataFrame, per_range: int = 1024) -> DataFrame:
+def _place(bounds: Column, key: Column) -> Column:
+    """How many of the sorted bounds are at most key, less one: a search by halves, unrolled over powers of two."""
+    steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
+    at = lambda i: F.try_element_at(bounds, i)
+    return F.aggregate(steps, F.lit(0), lambda low, s: F.when((low + s <= F.size(bounds)) & (at(low + s) <= key), low + s).otherwise(low)) - 1
+
+
+def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """(range, rn, copied, doc_id, text, next_text): each document and the one after it in descending doc_id."""
-    bounds = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).first()
-    a, b, n = int(bounds["a"] or 0), int(bounds["b"] or 0), bounds["n"]
-    width = max(1.0, (b - a + 1) / max(1, n // per_range))
-    doc = F.coalesce(F.col("doc_id").cast("double") - float(a), F.lit(-1.0))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.floor(doc / width).alias("range"), F.lit(False).alias("copied"))
-    # one row per range
-    downward = W.orderBy(F.desc("range"))
-    tops = rows.groupBy("range").agg(F.max("doc_id").alias("top"))
-    last = F.min("range").over(W.partitionBy())
-    tops = materialize(tops.select("top", F.coalesce(F.lag("range").over(downward), last).alias("to")), "tops")
-    copies = join_small(rows.withColumn("top", F.col("doc_id")), tops, "top", "inner", F.lit(24).cast("long"))
-    if bounds["n"] and docs.where("doc_id is null").limit(1).count():
-        lone = tops.where("top is null").select("to")
-        copies = copies.unionByName(rows.where("doc_id is null").withColumn("top", F.lit(None).cast("long")).crossJoin(F.broadcast(lone)))
-    both = rows.unionByName(copies.select("doc_id", "text", F.col("to").alias("range"), F.lit(True).alias("copied")))
-    both = both.withColumn("th", F.xxhash64("text")).repartition(4 * partitions(docs.sparkSession), "range")
-    w = W.partitionBy("range").orderBy("copied", F.desc_nulls_last("doc_id"), "th", "text")
+    n = ranges or 2 * partitions(docs.sparkSession)
+    # a number for rows that agree in id and text: they may be many, and their order does not matter
+    parts = {"k0": F.col("doc_id").isNull().cast("int"), "k1": F.coalesce(F.bitwise_not("doc_id"), F.lit(0)), "k2": F.xxhash64("text"), "k3": F.rand(5)}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns(parts)
+    key = F.struct(*parts)
+    # narrow rows in ranges of about equal numbers, and each range's least key: one row a range
+    dealt = rows.select(*parts).repartitionByRange(n, *parts).withColumn("p", F.spark_partition_id())
+    lows = materialize(dealt.groupBy("p").agg(F.min(key).alias("low")).agg(F.sort_array(F.collect_list("low")).alias("bounds")), "bounds")
+    placed = rows.crossJoin(F.broadcast(lows)).withColumn("key", key).withColumn("range", F.greatest(_place(F.col("bounds"), F.col("key")), F.lit(0)))
+    leads = F.element_at("bounds", F.col("range") + 1) == F.col("key")
+    before = F.when(F.col("range") > 0, F.col("range") - 1).otherwise(F.size("bounds") - 1)
+    # the first row of a range is copied to the end of the one before
+    of = lambda r, copied: F.struct(r.alias("range"), F.lit(copied).alias("copied"))
+    places = F.when(leads, F.array(of(F.col("range"), False), of(before, True))).otherwise(F.array(of(F.col("range"), False)))
+    both = placed.select("doc_id", "text", "key", F.explode(places).alias("at")).select("at.*", "doc_id", "text", "key").repartition(n, "range")
+    w = W.partitionBy("range").orderBy("copied", "key", "text")
     return both.select("range", F.row_number().over(w).alias("rn"), "copied", "doc_id", "text", F.lead("text").over(w).alias("next_text"))
 
 
