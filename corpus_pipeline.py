@@ -2,6 +2,12 @@
 
 The last stage returns packed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Parts
 and copies that the mix takes of a document share its doc_id.
+
+Defined cases, for every stage: no rows give no rows; further columns pass through the first four stages.
+Rows that share a doc_id are one document: near-duplicate removal keeps or drops all of them, and none removes
+another's passages. Rows without a doc_id are documents of their own that no stage drops as copies. A null
+text counts as an empty one: it is scored, never a duplicate, has no passages, takes no part in the mix (which
+counts words) and so is not packed.
 """
 
 from __future__ import annotations
@@ -15,18 +21,18 @@ from tidemark.llm.common import join_small, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go."""
+    """Documents that score 0.5 or more go; each row is scored by its own text."""
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at five words and 0.8, the document with the smallest doc_id stays."""
+    """Of each group linked at five words and 0.8, the document with the smallest doc_id stays (all rows with that id)."""
     gone = materialize(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
     return join_small(docs, gone, "doc_id", "left_anti", F.lit(16).cast("long"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in windows of 50 that an earlier document has go, and documents of which nothing is left."""
+    """Words in windows of 50 that a document with a smaller doc_id has go, and documents of which nothing is left."""
     found = substring.remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}

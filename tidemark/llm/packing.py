@@ -136,49 +136,61 @@ def lower_bound(histogram: dict[int, int], capacity: int) -> int:
     return best
 
 
-def search(histogram: dict[int, int], capacity: int, nodes: int = 20_000, tail: int = 1500) -> list[tuple[tuple[int, ...], int]]:
+def search(histogram: dict[int, int], capacity: int, nodes: int = 5_000, tail: int = 1500) -> list[tuple[tuple[int, ...], int]]:
     """Bin completion with branch and bound over patterns with multiplicities.
 
     The largest length is filled up in the least wasteful ways, each for as many bins as its lengths allow
     or for half of them, and for one bin where ``tail`` items or fewer are left. A branch ends when its
     waste leaves no room for fewer bins than the incumbent has; the search ends at the lower bound or
-    after ``nodes`` steps. The incumbent starts as best fit of all items.
+    after ``nodes`` steps. The incumbent starts as best fit of all items. One histogram is kept: a branch
+    takes its items out and puts them back when it is done.
     """
     counts = Counter({k: v for k, v in histogram.items() if v > 0})
     best = best_fit_patterns(counts, capacity)
-    fewest, least, total, steps = sum(n for _, n in best), lower_bound(counts, capacity), sum(k * v for k, v in counts.items()), 0
-    # bins so far are a chain, so that branches share them
-    stack: list[tuple[Counter, tuple | None, int, int, int]] = [(counts, None, 0, 0, sum(counts.values()))]
+    fewest, least, total = sum(n for _, n in best), lower_bound(counts, capacity), sum(k * v for k, v in counts.items())
+    left, used, waste, steps = sum(counts.values()), 0, 0, 0
+
+    def branches():
+        top = max(counts)
+        counts[top] -= 1
+        have = sorted(x for x, n in counts.items() if n)
+        found = (fillings(capacity - top, have, counts, 3) if have else []) or [()]
+        counts[top] += 1
+        for f in found:
+            bin_ = (top, *f)
+            most = min(counts[x] // k for x, k in Counter(bin_).items())
+            for n in (1,) if left <= tail else dict.fromkeys((most, (most + 1) // 2)):
+                yield bin_, n
+
+    path: list[tuple[tuple[int, ...], int]] = []
+    stack = [branches()] if left else []
     while stack and fewest > least and steps < nodes:
-        counts, bins, used, waste, left = stack.pop()
-        steps += 1
-        if not left:
-            if used < fewest:
-                best, fewest = [], used
-                while bins:
-                    best.append(bins[0])
-                    bins = bins[1]
+        chosen = next(stack[-1], None)
+        if chosen is None:
+            stack.pop()
+            if path:
+                bin_, n = path.pop()
+                counts.update({x: n * k for x, k in Counter(bin_).items()})
+                left, used, waste = left + n * len(bin_), used - n, waste - n * (capacity - sum(bin_))
             continue
-        if waste > (fewest - 1) * capacity - total:
+        bin_, n = chosen
+        wasted = waste + n * (capacity - sum(bin_))
+        if wasted > (fewest - 1) * capacity - total:
             continue
-        top = max(counts)
-        rest = counts - Counter([top])
-        branches = []
-        for f in (fillings(capacity - top, sorted(rest), rest, 3) if rest else []) or [()]:
-            use = Counter((top, *f))
-            most = min(counts[x] // k for x, k in use.items())
-            branches += [(f, use, n) for n in ((1,) if left <= tail else dict.fromkeys((most, (most + 1) // 2)))]
-        for f, use, n in reversed(branches):
-            after = counts.copy()
-            for x, k in use.items():
-                after[x] -= n * k
-                if not after[x]:
-                    del after[x]
-            stack.append((after, (((top, *f), n), bins), used + n, waste + n * (capacity - top - sum(f)), left - n * (len(f) + 1)))
+        steps += 1
+        for x, k in Counter(bin_).items():
+            counts[x] -= n * k
+            if not counts[x]:
+                del counts[x]
+        path.append(chosen)
+        left, used, waste = left - n * len(bin_), used + n, wasted
+        if not left and used < fewest:
+            best, fewest = list(path), used
+        stack.append(branches() if left else iter(()))
     return best
 
 
-def complete(items: list[int], capacity: int, nodes: int = 20_000) -> list[tuple[int, ...]]:
+def complete(items: list[int], capacity: int, nodes: int = 5_000) -> list[tuple[int, ...]]:
     """The search over single items; at least as good as best fit."""
     return [b for b, n in search(Counter(items), capacity, nodes, len(items)) for _ in range(n)]
 
