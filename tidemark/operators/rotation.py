@@ -123,15 +123,17 @@ def minimum_variance(bars: DataFrame, days: DataFrame, n: int) -> DataFrame:
     """(t, symbol, weight) from the inverse covariance of the last n common returns; a universe's window is small."""
     r = bars.withColumn("r", trailing(1)).where("r is not null").select(F.col("t").alias("day"), "symbol", "r")
     every = r.withColumn("c", F.count("*").over(W.partitionBy("day"))).crossJoin(F.broadcast(r.agg(F.count_distinct("symbol").alias("all")))).where("c = all").drop("c", "all")
-    placed = every.withColumn("i", F.dense_rank().over(W.orderBy("day")))
-    ends = days.join(placed.select(F.col("day").alias("t"), F.col("i").alias("end")).distinct(), "t")
+    # a row for each day is ordered
+    numbered = every.select("day").distinct().withColumn("i", F.row_number().over(W.orderBy("day")))
+    placed = every.join(numbered, "day")
+    ends = days.join(numbered.select(F.col("day").alias("t"), F.col("i").alias("end")), "t")
     # each rebalance reads its own n days
     picks = ends.withColumn("i", F.explode(F.sequence(F.greatest(F.col("end") - n + 1, F.lit(1)), F.col("end"))))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.pivot_table(index="i", columns="symbol", values="r").sort_index(axis=1)
         if len(m) < n:
-            return pd.DataFrame({"t": [], "symbol": [], "weight": []})
+            return pdf[["t", "symbol"]].iloc[:0].assign(weight=0.0)
         try:
             x = np.linalg.solve(np.cov(m.to_numpy().T), np.ones(m.shape[1])).clip(min=0)
         except np.linalg.LinAlgError:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import rotation as rot
@@ -10,7 +11,7 @@ from tidemark.plans.registry import query
 from tidemark.sources.market import BARS_SQL, bars
 
 #: Most liquid symbols stand first; the last leg is the defensive one.
-UNIVERSE = tuple(f"Brand#{k}" for k in range(1, 12))
+UNIVERSE = tuple(f"Brand#{k}" for k in range(1, 26))
 _LIST = ", ".join(f"'{s}'" for s in UNIVERSE)
 
 
@@ -70,12 +71,25 @@ def rotation_inverse_vol(spark, sf_dir):
     return _weights(rot.inverse_vol(rot.volatility(u, 20).join(F.broadcast(days), "t")))
 
 
-@query("rotation_defensive")
+_LEGS = """
+last AS (SELECT *, max(pos) OVER (PARTITION BY t) AS last FROM r),"""
+
+
+@query("rotation_defensive", f"""WITH {_DAYS},{_LEGS}
+c AS (SELECT *, avg(CASE WHEN pos < 2 THEN CASE WHEN coalesce(score, 0) <= 0 THEN 1.0 ELSE 0.0 END END) OVER (PARTITION BY t) AS cash FROM last),
+k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, pos) AS k FROM c WHERE pos >= 2 AND pos < last AND score > 0),
+w AS (SELECT t, symbol, 1 / count(*) OVER (PARTITION BY t) * (1 - cash) AS weight FROM k WHERE k <= 3 UNION ALL SELECT t, symbol, cash FROM c WHERE pos = last)
+SELECT t, symbol, round(weight, 6) AS weight FROM w WHERE weight > 0""")
 def rotation_defensive(spark, sf_dir):
     return _weights(rot.defensive(_ranked(spark, sf_dir)[2], "score", 3))
 
 
-@query("rotation_protective")
+@query("rotation_protective", f"""WITH {_DAYS},{_LEGS}
+g AS (SELECT *, greatest(count(*) OVER (PARTITION BY t) - 1, 1) AS size, sum(CASE WHEN pos < last AND score > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY t) AS good FROM last),
+c AS (SELECT *, least(1.0, (size - good) * 2.0 / size) AS cash FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, pos) AS k FROM c WHERE pos < last AND score > 0),
+w AS (SELECT t, symbol, 1 / count(*) OVER (PARTITION BY t) * (1 - cash) AS weight FROM k WHERE k <= 3 UNION ALL SELECT t, symbol, cash FROM c WHERE pos = last)
+SELECT t, symbol, round(weight, 6) AS weight FROM w WHERE weight > 0""")
 def rotation_protective(spark, sf_dir):
     return _weights(rot.protective(_ranked(spark, sf_dir)[2], "score", 3))
 
@@ -85,13 +99,26 @@ def _scored(spark, sf_dir, **columns):
     return u.withColumns(columns).join(F.broadcast(days), "t")
 
 
-@query("rotation_scores")
+def _back(k: int) -> str:
+    return f"(close / lag(close, {k}) OVER w - 1)"
+
+
+@query("rotation_scores", f"""WITH {_DAYS},
+s AS (SELECT t, symbol, (12 * {_back(21)} + 4 * {_back(63)} + 2 * {_back(126)} + {_back(252)}) / 19 AS s13612, ({_back(21)} + {_back(63)} + {_back(126)}) / 3 AS accelerating,
+             CASE WHEN count(close) OVER f >= 252 THEN close / max(close) OVER f END AS high52 FROM u
+      WINDOW w AS (PARTITION BY symbol ORDER BY t), f AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 251 PRECEDING AND CURRENT ROW))
+SELECT t, symbol, round(s13612, 6) AS s13612, round(accelerating, 6) AS accelerating, round(high52, 6) AS high52 FROM s JOIN days USING (t)""")
 def rotation_scores(spark, sf_dir):
     out = _scored(spark, sf_dir, s13612=rot.score_13612(), accelerating=rot.accelerating(), high52=rot.near_high(252))
     return out.select("t", "symbol", *[F.round(c, 6).alias(c) for c in ("s13612", "accelerating", "high52")])
 
 
-@query("rotation_residual")
+@query("rotation_residual", f"""WITH {_DAYS},
+q AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY t) - 1 AS r1 FROM u), b AS (SELECT t, r1 AS rb FROM q WHERE symbol = '{UNIVERSE[0]}'),
+e AS (SELECT *, CASE WHEN count(r1) OVER f >= 20 THEN sum(r1) OVER f - covar_samp(r1, rb) OVER f / (covar_samp(rb, rb) OVER f) * sum(rb) OVER f END AS res FROM q JOIN b USING (t)
+      WINDOW f AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+k AS (SELECT t, symbol, row_number() OVER (PARTITION BY t ORDER BY res DESC, pos) AS k FROM e JOIN days USING (t) WHERE pos > 0 AND res IS NOT NULL)
+SELECT t, symbol, round(1 / count(*) OVER (PARTITION BY t), 6) AS weight FROM k WHERE k <= 3""")
 def rotation_residual(spark, sf_dir):
     u, days, _ = _ranked(spark, sf_dir)
     rows = rot.residual(u, UNIVERSE[0], 20).join(F.broadcast(days), "t").where("pos > 0")
@@ -100,8 +127,13 @@ def rotation_residual(spark, sf_dir):
 
 @query("rotation_minimum_variance")
 def rotation_minimum_variance(spark, sf_dir):
+    """All symbols; a day without a bar has the last close, so that returns are common to all."""
     u, days, _ = _ranked(spark, sf_dir)
-    return _weights(rot.minimum_variance(u.where("pos < 4"), days, 20))
+    w = W.partitionBy("symbol").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
+    # a calendar times a universe
+    grid = u.select("t").distinct().crossJoin(F.broadcast(u.select("symbol").distinct()))
+    filled = grid.join(u.select("symbol", "t", "close"), ["symbol", "t"], "left").withColumn("close", F.last("close", True).over(w)).where("close is not null")
+    return _weights(rot.minimum_variance(filled, days, 60))
 
 
 @query("rotation_portfolio")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as bt
 from tidemark.operators import graph, store
+from tidemark.plans.backtest import _MOMENTUM, traded
 from tidemark.plans.registry import query
 from tidemark.sources.experiments import DECISIONS_SQL, EXPERIMENTS_SQL, RESULTS_SQL, STRATEGIES_SQL, decisions, experiments, results, strategies
 from tidemark.sources.market import BARS_SQL, MEMBERSHIP_SQL, TICKS_SQL, bars, membership
@@ -33,10 +34,11 @@ def lineage_roots(spark, sf_dir):
 
 @query("lineage_recursive", f"WITH RECURSIVE {_UP} SELECT depth, count(*) AS n FROM up GROUP BY depth")
 def lineage_recursive(spark, sf_dir):
-    spark.conf.set("spark.sql.cteRecursionRowLimit", -1)
-    rows = experiments(spark, sf_dir).select("id", "parent")
-    rows.createOrReplaceTempView("experiments")
-    return graph.recursive(spark).groupBy("depth").agg(F.count("*").alias("n"))
+    # a session of its own, whose setting and view no other query sees
+    own = spark.newSession()
+    own.conf.set("spark.sql.cteRecursionRowLimit", -1)
+    experiments(own, sf_dir).select("id", "parent").createOrReplaceTempView("experiments")
+    return graph.recursive(own).groupBy("depth").agg(F.count("*").alias("n"))
 
 
 _DIFFS = """diffs AS (
@@ -199,8 +201,38 @@ def correlations(spark, sf_dir):
 e AS (SELECT a, b FROM pairs WHERE corr >= 0.02 UNION SELECT b, a FROM pairs WHERE corr >= 0.02),
 reach AS (SELECT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON r.other = e.a),
 label AS (SELECT node, min(other) AS c FROM reach GROUP BY node),
-named AS (SELECT symbol, coalesce(c, symbol) AS cluster FROM (SELECT DISTINCT symbol FROM bars) LEFT JOIN label ON symbol = node)
-SELECT cluster, arg_min(symbol, (length(symbol), symbol)) AS representative, count(*) AS n_members FROM named GROUP BY cluster""")
+named AS (SELECT symbol, coalesce(c, symbol) AS cluster FROM (SELECT DISTINCT symbol FROM bars) LEFT JOIN label ON symbol = node),
+mean AS (SELECT c AS cluster, avg(corr) AS mean_corr FROM pairs JOIN label ON a = node WHERE corr >= 0.02 GROUP BY c)
+SELECT cluster, representative, n_members, round(mean_corr, 6) AS mean_corr FROM (
+  SELECT cluster, arg_min(symbol, (length(symbol), symbol)) AS representative, count(*) AS n_members FROM named GROUP BY cluster) LEFT JOIN mean USING (cluster)""")
 def correlation_clusters(spark, sf_dir):
     specs = bars(spark, sf_dir).select("symbol").distinct().withColumns({"n_params": F.length("symbol"), "config_hash": F.col("symbol")})
-    return graph.clusters(specs, _pairs(spark, sf_dir), 0.02).drop("mean_corr")
+    return graph.clusters(specs, _pairs(spark, sf_dir), 0.02).withColumn("mean_corr", F.round("mean_corr", 6))
+
+
+def _arm(name: str, cost: float, tag: str) -> str:
+    step = "PARTITION BY symbol ORDER BY t"
+    return f"""{name} AS (SELECT symbol || '{tag}' AS symbol, t, 1000 * product((1 - {cost} * change) * (1 + position * ret)) OVER ({step} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity FROM (
+  SELECT *, coalesce(close / lag(close) OVER ({step}) - 1, 0.0) AS ret, abs(position - coalesce(lag(position) OVER ({step}), 0.0)) AS change FROM trimmed))"""
+
+
+@query("strategy_clusters", f"""WITH RECURSIVE {_MOMENTUM}, {_arm('cheap', 0.0015, '')}, {_arm('dear', 0.003, '+')},
+both_arms AS (SELECT * FROM cheap UNION ALL SELECT * FROM dear),
+r AS (SELECT symbol, t, equity / lag(equity) OVER (PARTITION BY symbol ORDER BY t) - 1 AS r FROM both_arms),
+placed AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS place, count(*) OVER (PARTITION BY symbol) AS n FROM r WHERE r IS NOT NULL),
+tail AS (SELECT * FROM placed WHERE place <= (SELECT min(n) FROM placed)),
+pairs AS (SELECT x.symbol AS a, y.symbol AS b, corr(x.r, y.r) AS corr FROM tail x JOIN tail y ON x.place = y.place AND x.symbol < y.symbol GROUP BY ALL),
+e AS (SELECT a, b FROM pairs WHERE corr >= 0.8 UNION SELECT b, a FROM pairs WHERE corr >= 0.8),
+reach AS (SELECT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON r.other = e.a),
+label AS (SELECT node, min(other) AS c FROM reach GROUP BY node),
+named AS (SELECT symbol, coalesce(c, symbol) AS cluster FROM (SELECT DISTINCT symbol FROM both_arms) LEFT JOIN label ON symbol = node),
+mean AS (SELECT c AS cluster, avg(corr) AS mean_corr FROM pairs JOIN label ON a = node WHERE corr >= 0.8 GROUP BY c)
+SELECT cluster, representative, n_members, round(mean_corr, 5) AS mean_corr FROM (
+  SELECT cluster, arg_min(symbol, (length(symbol), symbol)) AS representative, count(*) AS n_members FROM named GROUP BY cluster) LEFT JOIN mean USING (cluster)""")
+def strategy_clusters(spark, sf_dir):
+    """Curves of every symbol at two costs: the dearer one has one parameter more."""
+    rows = traded(spark, sf_dir)
+    dear = bt.account(rows, cost=2 * bt.COST).withColumn("symbol", F.concat("symbol", F.lit("+")))
+    curves = bt.account(rows).select("symbol", "t", "equity").union(dear.select("symbol", "t", "equity"))
+    specs = curves.select("symbol").distinct().withColumns({"n_params": F.length("symbol"), "config_hash": F.col("symbol")})
+    return graph.clusters(specs, graph.correlations(curves), 0.8).withColumn("mean_corr", F.round("mean_corr", 5))
