@@ -83,6 +83,16 @@ def test_suffix_of_passages_cut_at_many_places(spark):
         assert got == want
 
 
+def _anchors(words):
+    """Where a window of 50 words has the least hash of those in 100 words."""
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    h = common.word_hashes(data, np.array([0, len(data)]))[0]
+    at = np.arange(max(0, len(h) - 49))
+    w = common.windows(common.prefix(h, common.B2), common.B2, at, at + 50)
+    high = (w >> np.uint64(32)).tolist()
+    return {min(range(p, p + 51), key=lambda q: (high[q], q)) for p in range(len(high) - 50)}
+
+
 def test_substring_against_brute_force(docs, empty):
     first, last, level = {}, {}, 50
     rows = [(r[0] if r[0] is not None else common.NO_ID, r[0], (r[1] or "").encode().split()) for r in _texts()]
@@ -94,8 +104,18 @@ def test_substring_against_brute_force(docs, empty):
                 held.setdefault(tuple(w[p : p + level]), set()).add(d)
         if level == 50:
             first = {k: min(v) for k, v in held.items()}
-        for n, (_, _, w) in enumerate(rows):
-            if any(len(held[tuple(w[p : p + level])]) > 1 for p in range(len(w) - level + 1)):
+            going = [{p for p in range(len(w) - 49) if len(held[tuple(w[p : p + 50])]) > 1} for _, _, w in rows]
+            whole = [len({d for (d, _, _), q in zip(rows, _texts()) if q[1] == r[1]}) > 1 for r in _texts()]
+        elif level == 100:
+            going = [g & _anchors(w) for g, (_, _, w) in zip(going, rows)]
+        held = {}
+        for g, (d, _, w) in zip(going, rows):
+            for p in g:
+                if p + level <= len(w):
+                    held.setdefault(tuple(w[p : p + level]), set()).add(d)
+        for n, (g, (_, _, w)) in enumerate(zip(going, rows)):
+            going[n] = {p for p in g if p + level <= len(w) and len(held[tuple(w[p : p + level])]) > 1}
+            if going[n] or whole[n] and len(w) >= level:
                 longest[n] = level
         level *= 2
     want = []

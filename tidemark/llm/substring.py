@@ -7,9 +7,10 @@ Levels are 25, 50, 100, 200, ... words, until no candidate survives.
    window that it stands for. Where an anchor repeats, its windows are extended.
 2. Level 50 (``window``) hashes every extended window in 96 bits. A window goes if its hash also occurs in a
    document with a smaller doc_id; longer levels remove nothing more.
-3. From 50 on, windows whose two halves repeat are extended to twice the length, hashed and counted, until none
-   repeats. ``longest`` tells the last level at which a document still shares a window with another one, so
-   how long its repeats are within a factor of two.
+3. From 50 on, windows that repeat are extended to twice the length, hashed and counted, until none repeats.
+   Only those that begin at an anchor of level 50 go on, some two of fifty; a passage of 50 words more than a
+   level has one in each of its places. ``longest`` tells the last level at which a document still shares
+   such a window with another one, so about how long its repeats are.
 
 Whole copies of a text are settled first by the text's own hash, so thousands of copies add no windows; one
 stands for them, and all of them repeat at every level that fits their length.
@@ -119,8 +120,12 @@ def _to_runs(window: int):
     return run
 
 
-def _doubled(length: int):
-    """Windows of 2 * length words whose two halves both repeat (at), with 96 bits of hash."""
+def _doubled(length: int, window: int):
+    """The windows of 2 * length words that begin where shorter ones repeat (at), with 96 bits of hash.
+
+    The first time, only windows at anchors go on: where a window of ``window`` words is the least-hashed of
+    those in some 2 * window words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,22 +135,25 @@ def _doubled(length: int):
             pos, ends = np.asarray(held.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(held)))])
             for a, b in slices(offsets):
                 h, _, _, first = word_hashes(data, offsets[a : b + 1])
-                again = np.zeros(len(h) + length + 1, bool)
-                again[np.repeat(first[:-1], np.diff(ends[a : b + 1])) + pos[ends[a] : ends[b]]] = True
-                p = np.flatnonzero(again[:-length] & again[length:])
-                r = np.searchsorted(first, p, "right") - 1
+                r = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
+                p = first[r] + pos[ends[a] : ends[b]]
                 inside = p + 2 * length <= first[r + 1]
                 p, r = p[inside], r[inside]
-                h1, h2 = (windows(prefix(h, base), base, p, p + 2 * length) for base in (B2, B3))
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(33)).astype(np.int32)), pa.array(doc[a + r]), pa.array(rk[a + r]), pa.array((p - first[r]).astype(np.int32))], names=["h1", "h2", *KEY, "pos"])
+                sums = prefix(h, B2)
+                if length == window:
+                    at = np.arange(max(0, len(h) - window + 1))
+                    anchors = np.zeros(len(h) + 1, bool)
+                    anchors[owners(windows(sums, B2, at, at + window), window + 1)] = True
+                    p, r = p[anchors[p]], r[anchors[p]]
+                h2 = windows(prefix(h, B3), B3, p, p + 2 * length) >> np.uint64(33)
+                yield pa.RecordBatch.from_arrays([pa.array(windows(sums, B2, p, p + 2 * length).view(np.int64)), pa.array(h2.astype(np.int32)), pa.array(doc[a + r]), pa.array(rk[a + r]), pa.array((p - first[r]).astype(np.int32))], names=["h1", "h2", *KEY, "pos"])
 
     return run
 
 
-def shared(marks: DataFrame, key: list[str], name: str) -> DataFrame:
+def firsts(marks: DataFrame, key: list[str]) -> DataFrame:
     """The keys that several doc_ids have, with the smallest one of each."""
-    firsts = marks.groupBy(*key).agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc")
-    return materialize(firsts.drop("last_doc"), name)
+    return marks.groupBy(*key).agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
 
 
 def repeated_runs(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -153,29 +161,26 @@ def repeated_runs(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Dat
     and (doc, rk, longest), the last level at which each has a window that another doc has."""
     half, small = window // 2, F.lit(32).cast("long")
     anchors = materialize(rows.select(*KEY, "text").mapInArrow(_anchors(window, half), "h long, doc long, rk long, pos int"), "anchors")
-    alive = join_small(anchors, shared(anchors, ["h"], "again"), "h", "left_semi", small)
+    alive = join_small(anchors, materialize(firsts(anchors, ["h"]), "again"), "h", "left_semi", small)
     alive = materialize(alive.groupBy(*KEY).agg(F.collect_set("pos").alias("pos")), "alive")
     candidates = join_small(rows.select(*KEY, "text"), alive, KEY, "inner", bytes_of("pos"))
     full = materialize(candidates.mapInArrow(_extended(window, half), "h1 long, h2 int, doc long, rk long, pos int"), "windows")
-    found = join_small(full, shared(full, ["h1", "h2"], "firsts"), ["h1", "h2"], "inner", small)
+    # windows are many, so this join shuffles at every size; adaptive execution splits hot ones
+    found = full.join(firsts(full, ["h1", "h2"]), ["h1", "h2"])
     at = found.groupBy(*KEY).agg(F.collect_set(F.when(F.col("doc") > F.col("first_doc"), F.col("pos"))).alias("gone"), F.collect_set("pos").alias("at"))
     at = materialize(at, "places")
     removed = at.where(F.size("gone") > 0).select(*KEY, F.col("gone").alias("at")).mapInArrow(_to_runs(window), "doc long, rk long, starts array<int>, ends array<int>")
     removed = materialize(removed, "runs")
     level, reached = window, []
-    while True:
+    while not at.isEmpty():
         reached.append(at.select(*KEY, F.lit(level).alias("level")))
-        # both halves of a longer window repeat, so there are places at least level words apart
-        going = materialize(at.where(F.array_max("at") - F.array_min("at") >= level).select(*KEY, "at"), "going")
-        if going.isEmpty():
-            break
-        texts = join_small(rows.select(*KEY, "text"), going, KEY, "inner", bytes_of("at"))
-        wide = materialize(texts.mapInArrow(_doubled(level), "h1 long, h2 int, doc long, rk long, pos int"), "windows")
+        texts = join_small(rows.select(*KEY, "text"), at.select(*KEY, "at"), KEY, "inner", bytes_of("at"))
+        wide = materialize(texts.mapInArrow(_doubled(level, window), "h1 long, h2 int, doc long, rk long, pos int"), "windows")
         level *= 2
-        again = join_small(wide, shared(wide, ["h1", "h2"], "firsts"), ["h1", "h2"], "left_semi", small)
+        again = join_small(wide, materialize(firsts(wide, ["h1", "h2"]), "firsts"), ["h1", "h2"], "left_semi", small)
         at = materialize(again.groupBy(*KEY).agg(F.collect_set("pos").alias("at")), "places")
-    longest = reached[0]
-    for more in reached[1:]:
+    longest = at.select(*KEY, F.lit(level).alias("level"))
+    for more in reached:
         longest = longest.union(more)
     return removed, materialize(longest.groupBy(*KEY).agg(F.max("level").alias("longest")), "longest")
 
@@ -234,4 +239,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "longest")
+    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
