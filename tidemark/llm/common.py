@@ -7,6 +7,7 @@ import re
 import tempfile
 import unicodedata
 import uuid
+from collections.abc import Iterator
 from itertools import chain, islice
 
 import numpy as np
@@ -20,6 +21,8 @@ SPACES = "\x20\x09-\x0d"
 NO_ID = 2**63 - 1
 #: A joined side is broadcast only below this many bytes; above, the join shuffles.
 BROADCAST_BYTES = 24 << 20
+#: Rows with more bytes are hashed in stretches.
+LONG = 1 << 19
 _U = np.uint64
 
 
@@ -81,7 +84,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64, for i <= n."""
     have = _TABLES.get(base)
     if have is None or len(have[0]) <= n:
-        m = max(1 << 20, 1 << (n + 1).bit_length())
+        m = max(1 << 19, 1 << (n + 1).bit_length())
         one = np.ones(m, np.uint64)
         up, down = one.copy(), one.copy()
         up[1:] = _U(base)
@@ -151,6 +154,42 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     return h, start, end, np.searchsorted(start, bounds)
 
 
+def stretches(offsets: np.ndarray, overlap: int) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(row, bounds, base): slices of whole rows, and of a row of more than LONG bytes stretches that begin base
+    bytes into it, each with the last ``overlap`` bytes of the one before."""
+    for a, b in slices(offsets):
+        x, end = int(offsets[a]), int(offsets[b])
+        if b - a > 1 or end - x <= LONG:
+            yield a, offsets[a : b + 1], 0
+            continue
+        step = max(LONG, 2 * overlap) - overlap
+        for at in range(x, max(x + 1, end - overlap), step):
+            yield a, np.array([at, min(at + step + overlap, end)]), at - x
+
+
+def word_stretches(data: np.ndarray, offsets: np.ndarray, overlap: int) -> Iterator[tuple[int, np.ndarray, int, bool]]:
+    """(row, bounds, base, more): as stretches, but cut at spaces, with base and overlap in words; more: the row goes on."""
+    for a, b in slices(offsets):
+        x, end = int(offsets[a]), int(offsets[b])
+        if b - a > 1 or end - x <= LONG:
+            yield a, offsets[a : b + 1], 0, False
+            continue
+        base, size = 0, max(LONG, 16 * overlap)
+        while True:
+            y = min(x + size, end)
+            while y < end and not SPACE_BYTES[data[y]]:
+                gap = np.flatnonzero(SPACE_BYTES[data[y : y + LONG]])
+                y = y + int(gap[0]) if len(gap) else min(y + LONG, end)
+            yield a, np.array([x, y]), base, y < end
+            if y == end:
+                break
+            start, _ = spans(~SPACE_BYTES[data[x:y]], np.array([0, y - x]))
+            if len(start) <= overlap:  # very long words: the same again, and more
+                size *= 2
+                continue
+            base, x = base + len(start) - overlap, x + int(start[len(start) - overlap])
+
+
 def sliding_min(keys: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w consecutive keys."""
     m, have = keys, 1

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import B2, join_small, materialize, mix, partitions, prefix, slices, text_bytes, windows, word_hashes
+from .common import B2, join_small, materialize, mix, partitions, prefix, text_bytes, windows, word_hashes, word_stretches
 
 _U = np.uint64
 
@@ -37,19 +37,26 @@ _U = np.uint64
 def _shingle_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) for each row of a batch; A-Z count as a-z."""
     data, offsets = text_bytes(batch.column("text"))
-    for a, b in slices(offsets):
-        h, _, _, first = word_hashes(data, offsets[a : b + 1], lower=True)
+    held: list[np.ndarray] = []  # of a row that comes in stretches
+    for a, bounds, _, more in word_stretches(data, offsets, size - 1):
+        h, _, _, first = word_hashes(data, bounds, lower=True)
         sums = prefix(h, B2)
         at = np.arange(max(0, len(h) - size + 1))
         g = windows(sums, B2, at, at + size)
-        for r in range(b - a):
+        for r in range(len(bounds) - 1):
             x, y = int(first[r]), int(first[r + 1])
             if y - x >= size:
-                yield a + r, np.unique(g[x : y - size + 1])
-            elif y > x:
-                yield a + r, mix(windows(sums, B2, np.array([x]), np.array([y])) + _U(y - x))
+                found = np.unique(g[x : y - size + 1])
+            elif y > x and not held:
+                found = mix(windows(sums, B2, np.array([x]), np.array([y])) + _U(y - x))
             else:
-                yield a + r, g[:0]
+                found = g[:0]
+            if held or more:
+                held = [np.union1d(held[0], found)] if held else [found]
+                if more:
+                    continue
+                found, held = held[0], []
+            yield a + r, found
 
 
 def _signer(size: int, halves: int, rows: int, seed: int):

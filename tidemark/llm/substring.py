@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import B2, B3, NO_ID, SPACE_BYTES, join_small, materialize, owners, prefix, runs, slices, spans, text_bytes, text_chunks, windows, word_hashes
+from .common import B2, B3, NO_ID, SPACE_BYTES, join_small, materialize, owners, prefix, runs, spans, text_bytes, text_chunks, windows, word_hashes, word_stretches
 
 WINDOW = 50
 #: What identifies a row: its doc_id (null: last) and its text.
@@ -77,16 +77,25 @@ class _Slice:
         self.own = own[self.p]
 
 
+def _listed(a: int, first: np.ndarray, base: int, pos: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in the slice, with their rows) of the positions that are listed for rows a, ...; a stretch begins base words into its row."""
+    n = len(first) - 1
+    r = np.repeat(np.arange(n), np.diff(ends[a : a + n + 1]))
+    p = pos[ends[a] : ends[a + n]].astype(np.int64) - base
+    here = (p >= 0) & (p < np.diff(first)[r])
+    return (first[r] + p)[here], r[here]
+
+
 def _anchors(window: int, half: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             doc, rk = (np.asarray(batch.column(c)) for c in KEY)
-            for a, b in slices(offsets):
-                s = _Slice(data, offsets[a : b + 1], window, half)
+            for a, bounds, base, _ in word_stretches(data, offsets, window - 1):
+                s = _Slice(data, bounds, window, half)
                 at = np.unique(s.own)
                 r = s.row[at]
-                yield pa.RecordBatch.from_arrays([pa.array(s.half[at].view(np.int64)), pa.array(doc[a + r]), pa.array(rk[a + r]), pa.array((at - s.first[r]).astype(np.int32))], names=["h", *KEY, "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.half[at].view(np.int64)), pa.array(doc[a + r]), pa.array(rk[a + r]), pa.array((at - s.first[r] + base).astype(np.int32))], names=["h", *KEY, "pos"])
 
     return run
 
@@ -98,14 +107,14 @@ def _extended(window: int, half: int):
             doc, rk = (np.asarray(batch.column(c)) for c in KEY)
             held = batch.column("pos")
             pos, ends = np.asarray(held.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(held)))])
-            for a, b in slices(offsets):
-                s = _Slice(data, offsets[a : b + 1], window, half)
+            for a, bounds, base, _ in word_stretches(data, offsets, window - 1):
+                s = _Slice(data, bounds, window, half)
                 alive = np.zeros(len(s.h) + 1, bool)
-                alive[np.repeat(s.first[:-1], np.diff(ends[a : b + 1])) + pos[ends[a] : ends[b]]] = True
+                alive[_listed(a, s.first, base, pos, ends)[0]] = True
                 p = s.p[alive[s.own]]
                 r = s.row[p]
                 second = windows(prefix(s.h, B3), B3, p, p + window) >> np.uint64(33)
-                yield pa.RecordBatch.from_arrays([pa.array(windows(s.sums, B2, p, p + window).view(np.int64)), pa.array(second.astype(np.int32)), pa.array(doc[a + r]), pa.array(rk[a + r]), pa.array((p - s.first[r]).astype(np.int32))], names=["h1", "h2", *KEY, "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(windows(s.sums, B2, p, p + window).view(np.int64)), pa.array(second.astype(np.int32)), pa.array(doc[a + r]), pa.array(rk[a + r]), pa.array((p - s.first[r] + base).astype(np.int32))], names=["h1", "h2", *KEY, "pos"])
 
     return run
 
@@ -133,20 +142,22 @@ def _doubled(length: int, window: int):
             doc, rk = (np.asarray(batch.column(c)) for c in KEY)
             held = batch.column("at")
             pos, ends = np.asarray(held.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(held)))])
-            for a, b in slices(offsets):
-                h, _, _, first = word_hashes(data, offsets[a : b + 1])
-                r = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
-                p = first[r] + pos[ends[a] : ends[b]]
+            # what stands near a stretch's begin has its anchors there as in the whole row
+            for a, bounds, base, _ in word_stretches(data, offsets, 2 * length + 2 * window):
+                h, _, _, first = word_hashes(data, bounds)
+                p, r = _listed(a, first, base, pos, ends)
                 inside = p + 2 * length <= first[r + 1]
                 p, r = p[inside], r[inside]
                 sums = prefix(h, B2)
                 if length == window:
                     at = np.arange(max(0, len(h) - window + 1))
                     anchors = np.zeros(len(h) + 1, bool)
-                    anchors[owners(windows(sums, B2, at, at + window), window + 1)] = True
+                    own = owners(windows(sums, B2, at, at + window), window + 1)
+                    row_end = np.repeat(first[1:], np.diff(first))[: len(own)]
+                    anchors[own[np.arange(len(own)) + 2 * window <= row_end]] = True
                     p, r = p[anchors[p]], r[anchors[p]]
                 h2 = windows(prefix(h, B3), B3, p, p + 2 * length) >> np.uint64(33)
-                yield pa.RecordBatch.from_arrays([pa.array(windows(sums, B2, p, p + 2 * length).view(np.int64)), pa.array(h2.astype(np.int32)), pa.array(doc[a + r]), pa.array(rk[a + r]), pa.array((p - first[r]).astype(np.int32))], names=["h1", "h2", *KEY, "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(windows(sums, B2, p, p + 2 * length).view(np.int64)), pa.array(h2.astype(np.int32)), pa.array(doc[a + r]), pa.array(rk[a + r]), pa.array((p - first[r] + base).astype(np.int32))], names=["h1", "h2", *KEY, "pos"])
 
     return run
 

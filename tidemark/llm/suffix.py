@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import B1, B2, B3, join_small, materialize, mix, owners, partitions, prefix, slices, text_bytes, text_chunks, windows
+from .common import B1, B2, B3, join_small, materialize, mix, owners, partitions, prefix, stretches, text_bytes, text_chunks, windows
 from .substring import KEY, bytes_of, keyed, unpacked
 
 LENGTH = 400
@@ -69,15 +69,15 @@ def _parse(length: int, gram: int):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             doc, rk = (np.asarray(batch.column(c)) for c in KEY)
-            for a, b in slices(offsets):
-                s = _Slice(data, offsets[a : b + 1], length, gram)
+            for a, bounds, base in stretches(offsets, length - 1):
+                s = _Slice(data, bounds, length, gram)
                 new = np.ones(len(s.own), bool)
                 new[1:] = (s.own[1:] != s.own[:-1]) | (s.row[1:] != s.row[:-1])
                 at = np.flatnonzero(new)
                 lo, hi = s.p[at], s.p[np.r_[at[1:], len(s.own)] - 1] if len(at) else s.p[at]
                 r, sym = s.row[at], s.gram[s.own[at]]
-                whole = [windows(prefix(s.data.astype(np.uint64) + _U(1), base), base, lo, hi + length) ^ (hi - lo).astype(np.uint64) for base in (B2, B3)]
-                columns = [sym.view(np.int64), *(x.view(np.int64) for x in whole), doc[a + r], rk[a + r], (lo - s.first[r]).astype(np.int32), (hi - s.first[r]).astype(np.int32), (s.own[at] - lo).astype(np.int16)]
+                whole = [windows(prefix(s.data.astype(np.uint64) + _U(1), key), key, lo, hi + length) ^ (hi - lo).astype(np.uint64) for key in (B2, B3)]
+                columns = [sym.view(np.int64), *(x.view(np.int64) for x in whole), doc[a + r], rk[a + r], (lo - s.first[r] + base).astype(np.int32), (hi - s.first[r] + base).astype(np.int32), (s.own[at] - lo).astype(np.int16)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["sym", "c1", "c2", *KEY, "lo", "hi", "at"])
 
     return run
