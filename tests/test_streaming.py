@@ -41,3 +41,27 @@ def test_gate_fold_continues_from_its_state():
     a, found, spent, t = gates.fold(p[:2], [], 0.0, 0)
     b, *_ = gates.fold(p[2:], found, spent, t)
     assert whole["alpha_threshold"].tolist() == a["alpha_threshold"].tolist() + b["alpha_threshold"].tolist()
+
+
+def _run(query, path, name, mode):
+    """Runs what is there of a stream; the rows of this run."""
+    got = []
+    query.writeStream.foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", f"{path}/cp-{name}").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return got
+
+
+def test_positions_and_gate_keep_state_between_batches(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    t, schema = datetime(2024, 1, 1), "strategy_id long, id long, side string, price double, qty double, filled_at timestamp"
+    fills = [(1, 1, "buy", 10.0, 2.0, t), (1, 2, "sell", 20.0, 1.0, t + timedelta(hours=1)), (2, 3, "buy", 5.0, 1.0, t)]
+    got = _run(incremental.positions(_stream(spark, spark.createDataFrame(fills, schema), f"{tmp_path}/fills")), tmp_path, "held", "update")
+    assert {tuple(r) for r in got} == {(1, 1000.0, 1.0, 1020.0, 1020.0), (2, 995.0, 1.0, 1000.0, 1000.0)}
+    more = _stream(spark, spark.createDataFrame([(1, 4, "sell", 5.0, 1.0, t + timedelta(days=1))], schema), f"{tmp_path}/fills")
+    assert [tuple(r) for r in _run(incremental.positions(more), tmp_path, "held", "update")] == [(1, 1005.0, 0.0, 1005.0, 1020.0)]
+    schema = "stream string, test_index int, config_hash string, p_value double"
+    tests = [("s", 1, "a", 0.5), ("s", 2, "b", 0.0), ("s", 3, "a", 0.0), ("s", 4, "c", 0.9)]
+    want = {(r["t"], r["config_hash"], round(r["alpha_threshold"], 12), r["discovery"]) for r in gates.gate(spark.createDataFrame(tests, schema)).collect()}
+    got = []
+    for part in (tests[:2], tests[2:]):
+        got += _run(incremental.gate(_stream(spark, spark.createDataFrame(part, schema), f"{tmp_path}/tests")), tmp_path, "ledger", "append")
+    assert {(r["t"], r["config_hash"], round(r["alpha_threshold"], 12), r["discovery"]) for r in got} == want
