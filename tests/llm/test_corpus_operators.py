@@ -485,3 +485,40 @@ def test_toxicity(spark, empty):
     assert toxicity.clean(d, lab, trees=5).columns == d.columns
     assert toxicity.scores(empty, lab, trees=2).count() == 0
     assert set(toxicity.scores(d, lab.where("toxic = 0"), trees=2).toPandas().score) == {0.0}
+
+
+def test_toxicity_features_against_plain_python():
+    import re
+
+    learned = ("thei", "stoneb", "foo$")
+    single = [w for w in toxicity.LEXICON if " " not in w]
+    rng = random.Random(31)
+    words = [*single, *toxicity.SECOND_PERSON, "shut", "up", "SHUT", "kill", "Yourself", "their", "theirs", "thei", "the", "foo", "food", "stonebridge", "É", "Élan", "naïve", "aaa", "no.", "3.14", "«well»", "—", "ok!!!"]
+    texts = [None, "", "  ", "idiot", "İ ß ñ", "you " * 4 + "idiot"] + [" ".join(rng.choice(words) + rng.choice(["", "", ",", "!", "\n"]) for _ in range(rng.randrange(1, 60))) for _ in range(200)]
+
+    def plain(text):
+        text = text or ""
+        runs = re.findall(r"[\w]+", re.sub("[\u0080-\u00bf\u2000-\u203f]", " ", text.lower()))
+        bad = [w in single or w == "foo" or w.startswith("thei") or w.startswith("stoneb") for w in runs]
+        for i in range(len(runs) - 1):
+            bad[i] |= f"{runs[i]} {runs[i + 1]}" in toxicity.LEXICON
+        you = [w in toxicity.SECOND_PERSON for w in runs]
+        near = sum(b and any(you[j] for j in range(max(0, i - 5), min(len(runs), i + 6)) if j != i) for i, b in enumerate(bad))
+        n, m = max(1, len(text)), max(1, len(text.split()))
+        return {
+            "insults": sum(bad) / m, "has_insult": float(any(bad)), "distinct_insults": len({w for w, b in zip(runs, bad) if b}), "near_you": near / m, "you": sum(you) / m if any(bad) else 0.0,
+            "capitals": sum(c.isupper() for c in text) / n, "punctuation": sum(c in "!?.,;:" for c in text) / n, "marks": text.count("!") / n, "obfuscation": sum(c in "@$*#%&" for c in text) / n,
+            "stretched": float(bool(re.search(r"([A-Za-z0-9_])\1\1", text))), "length": np.log1p(len(text)),
+        }
+
+    texts = [t if t is None else t.replace("İ", "I") for t in texts]
+    data, offsets = common.text_bytes(pa.array(texts, pa.string()))
+    got = toxicity.Lexicon(learned).features(data, offsets)
+    for row, text in zip(got, texts):
+        for name, value in plain(text).items():
+            assert abs(row[toxicity.FEATURES.index(name)] - value) < 1e-9, (name, text)
+    disguised = ["1d10t", "st*pid", "i.d.i.o.t", "TR@SH!", "b4st4rd,", "@sshole", "$cum"]
+    fine = ["idiot.", "idiot!", "stupid", "3.14", "a*b", "e-mail", "you"]
+    for group, n in ((disguised, 1), (fine, 0)):
+        data, offsets = common.text_bytes(pa.array(group, pa.string()))
+        assert toxicity.Lexicon().features(data, offsets)[:, toxicity.FEATURES.index("obfuscated_insults")].tolist() == [n] * len(group)
