@@ -114,8 +114,13 @@ _LOWER[65:91] += 32
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a string column and each row's offset; null rows are empty."""
-    column = column.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if column.null_count:
+        column = column.fill_null("")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    held = column.buffers()[1]
+    if held is None or not len(column):  # no rows
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(held, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
@@ -280,7 +285,7 @@ class Encoder:
 
     _made: dict = {}
 
-    def __init__(self, path: str, drops_space: bool, most: int = 600_000):
+    def __init__(self, path: str, drops_space: bool, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.drops, self.most = Tokenizer.from_file(path), drops_space, most

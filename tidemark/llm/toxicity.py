@@ -33,7 +33,7 @@ LEXICON = (
 )
 #: Second-person pronouns.
 SECOND_PERSON = ("you", "your", "yours", "yourself", "ur", "u", "du", "dich", "dir", "dein", "tu", "toi", "ton", "vous", "ti", "usted")
-#: What stands for letters in obfuscated words; a star may stand for any of them.
+#: What stands for letters in obfuscated words; a star may stand for any letter.
 STANDS_FOR = (("a", "@4"), ("e", "3"), ("i", "1!|"), ("o", "0"), ("s", "5$"), ("t", "7+"))
 #: An insult and a pronoun are close within so many words.
 NEAR = 5
@@ -109,9 +109,8 @@ class Lexicon:
         self.pairs = [tuple(_hashes([w])[0] for w in x.split()) for x in LEXICON if " " in x]
         self.you = _hashes(SECOND_PERSON)
         long = [w for w in single if len(w) > 3]
-        swapped = {a for a, _ in STANDS_FOR}
         self.plain = _hashes(long)
-        self.starred = _hashes(w[:i] + w[i + 1 :] for w in long for i in range(len(w)) if w[i] in swapped)
+        self.starred = _hashes({w[:i] + w[i + 1 :] for w in long for i in range(len(w))})
 
     def features(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """A row of FEATURES for each text; bounds are the texts' ends within data, from 0."""
