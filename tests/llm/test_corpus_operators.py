@@ -221,18 +221,18 @@ def test_very_long_texts_in_stretches(spark, monkeypatch):
     def all_of():
         ids = pa.array([r[0] for r in rows])
         batch = pa.record_batch([pa.array([r[1] for r in rows]), ids, pa.array([hash(r[1]) % 1000 for r in rows], pa.int64()), ids], names=["text", "doc", "rk", "node"])
-        listed = pa.record_batch([*batch.columns, pa.array([list(range(0, max(1, len(r[1].split()) - 60), 3)) for r in rows], pa.list_(pa.int32())), pa.array([list(range(0, max(1, len(r[1].split()) - 60), 3)) for r in rows], pa.list_(pa.int32()))], names=[*batch.schema.names, "pos", "at"])
-        gather = lambda f: {tuple(x.values()) for out in f(iter([listed])) for x in out.to_pylist()}
+        listed = pa.record_batch([*batch.columns, pa.array([list(range(0, max(1, len(r[1].split()) - 60), 3)) for r in rows], pa.list_(pa.int32()))], names=[*batch.schema.names, "pos"])
+        gather = lambda f: {tuple(x.values())[:5] for out in f(iter([listed])) for x in out.to_pylist()}
         places = {(x["doc"], x["lo"] + k) for out in suffix._parse(400, 64)(iter([batch])) for x in out.to_pylist() for k in range(x["hi"] - x["lo"] + 1)}
         sets = {r: s.tolist() for r, s in minhash._shingle_sets(batch, 3)}
-        return gather(substring._anchors(50, 25)), gather(substring._extended(50, 25)), gather(substring._doubled(50, 50)), gather(substring._doubled(100, 50)), places, sets
+        return gather(substring._anchors(50, 25)), gather(substring._extended(50, 25)), places, sets
 
     whole = all_of()
     monkeypatch.setattr(common, "LONG", 5000)
     monkeypatch.setattr(common, "slices", lambda offsets, most=0: ((k, k + 1) for k in range(len(offsets) - 1)))
     parts = all_of()
-    assert len(whole[1]) > 5000 and len(whole[2]) > 50
-    assert [a == b for a, b in zip(whole, parts)] == [True] * 6
+    assert len(whole[1]) > 5000
+    assert [a == b for a, b in zip(whole, parts)] == [True] * 4
 
 
 def test_components_of_a_long_chain(spark):

@@ -7,10 +7,11 @@ Levels are 25, 50, 100, 200, ... words, until no candidate survives.
    window that it stands for. Where an anchor repeats, its windows are extended.
 2. Level 50 (``window``) hashes every extended window in 96 bits. A window goes if its hash also occurs in a
    document with a smaller doc_id; longer levels remove nothing more.
-3. From 50 on, windows that repeat are extended to twice the length, hashed and counted, until none repeats.
-   Only those that begin at an anchor of level 50 go on, some two of fifty; a passage of 50 words more than a
-   level has one in each of its places. ``longest`` tells the last level at which a document still shares
-   such a window with another one, so about how long its repeats are.
+3. From 50 on, windows that repeat are extended to twice the length and counted, until none repeats. Only those
+   that begin at an anchor of level 50 go on, some two of fifty; a passage of 50 words more than a level has
+   one in each of its places. Their hashes at all lengths are taken with the text at hand, so no level reads
+   or shuffles texts again. ``longest`` tells the last level at which a document still shares such a window
+   with another one, so about how long its repeats are (texts of more than half a megabyte: within a stretch).
 
 Whole copies of a text are settled first by the text's own hash, so thousands of copies add no windows; one
 stands for them, and all of them repeat at every level that fits their length.
@@ -101,6 +102,10 @@ def _anchors(window: int, half: int):
 
 
 def _extended(window: int, half: int):
+    """Full windows of surviving anchors (pos), with 96 bits of hash; at anchors of the full length, also more: hashes of the
+    windows of 2, 4, 8, ... times the length that begin there."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc", pa.int64()), ("rk", pa.int64()), ("pos", pa.int32()), ("more", pa.list_(pa.int64()))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
@@ -113,8 +118,20 @@ def _extended(window: int, half: int):
                 alive[_listed(a, s.first, base, pos, ends)[0]] = True
                 p = s.p[alive[s.own]]
                 r = s.row[p]
+                # anchors of the full length: where a window is the least-hashed of those in some 2 * window words
+                at = np.arange(max(0, len(s.h) - window + 1))
+                own = owners(windows(s.sums, B2, at, at + window), window + 1)
+                anchor = np.zeros(len(s.h) + 1, bool)
+                anchor[own[np.arange(len(own)) + 2 * window <= s.first[1:][s.row[: len(own)]]]] = True
+                room = (s.first[1:][r] - p) // (2 * window)
+                levels = np.where(anchor[p] & (room > 0), np.floor(np.log2(np.maximum(room, 1))).astype(np.int64) + 1, 0)
+                bound = np.concatenate([[0], np.cumsum(levels)])
+                q = np.repeat(p, levels)
+                length = 2 * window << (np.arange(bound[-1]) - np.repeat(bound[:-1], levels))
+                lists = pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(windows(s.sums, B2, q, q + length).view(np.int64)))
                 second = windows(prefix(s.h, B3), B3, p, p + window) >> np.uint64(33)
-                yield pa.RecordBatch.from_arrays([pa.array(windows(s.sums, B2, p, p + window).view(np.int64)), pa.array(second.astype(np.int32)), pa.array(doc[a + r]), pa.array(rk[a + r]), pa.array((p - s.first[r] + base).astype(np.int32))], names=["h1", "h2", *KEY, "pos"])
+                columns = [windows(s.sums, B2, p, p + window).view(np.int64), second.astype(np.int32), doc[a + r], rk[a + r], (p - s.first[r] + base).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], schema=schema)
 
     return run
 
@@ -129,39 +146,6 @@ def _to_runs(window: int):
     return run
 
 
-def _doubled(length: int, window: int):
-    """The windows of 2 * length words that begin where shorter ones repeat (at), with 96 bits of hash.
-
-    The first time, only windows at anchors go on: where a window of ``window`` words is the least-hashed of
-    those in some 2 * window words.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            doc, rk = (np.asarray(batch.column(c)) for c in KEY)
-            held = batch.column("at")
-            pos, ends = np.asarray(held.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(held)))])
-            # what stands near a stretch's begin has its anchors there as in the whole row
-            for a, bounds, base, _ in word_stretches(data, offsets, 2 * length + 2 * window):
-                h, _, _, first = word_hashes(data, bounds)
-                p, r = _listed(a, first, base, pos, ends)
-                inside = p + 2 * length <= first[r + 1]
-                p, r = p[inside], r[inside]
-                sums = prefix(h, B2)
-                if length == window:
-                    at = np.arange(max(0, len(h) - window + 1))
-                    anchors = np.zeros(len(h) + 1, bool)
-                    own = owners(windows(sums, B2, at, at + window), window + 1)
-                    row_end = np.repeat(first[1:], np.diff(first))[: len(own)]
-                    anchors[own[np.arange(len(own)) + 2 * window <= row_end]] = True
-                    p, r = p[anchors[p]], r[anchors[p]]
-                h2 = windows(prefix(h, B3), B3, p, p + 2 * length) >> np.uint64(33)
-                yield pa.RecordBatch.from_arrays([pa.array(windows(sums, B2, p, p + 2 * length).view(np.int64)), pa.array(h2.astype(np.int32)), pa.array(doc[a + r]), pa.array(rk[a + r]), pa.array((p - first[r] + base).astype(np.int32))], names=["h1", "h2", *KEY, "pos"])
-
-    return run
-
-
 def firsts(marks: DataFrame, key: list[str]) -> DataFrame:
     """The keys that several doc_ids have, with the smallest one of each."""
     return marks.groupBy(*key).agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
@@ -175,24 +159,22 @@ def repeated_runs(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Dat
     alive = join_small(anchors, materialize(firsts(anchors, ["h"]), "again"), "h", "left_semi", small)
     alive = materialize(alive.groupBy(*KEY).agg(F.collect_set("pos").alias("pos")), "alive")
     candidates = join_small(rows.select(*KEY, "text"), alive, KEY, "inner", bytes_of("pos"))
-    full = materialize(candidates.mapInArrow(_extended(window, half), "h1 long, h2 int, doc long, rk long, pos int"), "windows")
+    full = materialize(candidates.mapInArrow(_extended(window, half), "h1 long, h2 int, doc long, rk long, pos int, more array<long>"), "windows")
     # windows are many, so this join shuffles at every size; adaptive execution splits hot ones
     found = full.join(firsts(full, ["h1", "h2"]), ["h1", "h2"])
-    at = found.groupBy(*KEY).agg(F.collect_set(F.when(F.col("doc") > F.col("first_doc"), F.col("pos"))).alias("gone"), F.collect_set("pos").alias("at"))
-    at = materialize(at, "places")
+    marks = F.collect_set(F.when(F.size("more") > 0, F.struct("pos", "more"))).alias("marks")
+    at = materialize(found.groupBy(*KEY).agg(F.collect_set(F.when(F.col("doc") > F.col("first_doc"), F.col("pos"))).alias("gone"), marks), "places")
     removed = at.where(F.size("gone") > 0).select(*KEY, F.col("gone").alias("at")).mapInArrow(_to_runs(window), "doc long, rk long, starts array<int>, ends array<int>")
     removed = materialize(removed, "runs")
-    level, reached = window, []
-    while not at.isEmpty():
-        reached.append(at.select(*KEY, F.lit(level).alias("level")))
-        texts = join_small(rows.select(*KEY, "text"), at.select(*KEY, "at"), KEY, "inner", bytes_of("at"))
-        wide = materialize(texts.mapInArrow(_doubled(level, window), "h1 long, h2 int, doc long, rk long, pos int"), "windows")
+    level, longest = window, at.select(*KEY, F.lit(window).alias("level"))
+    going = materialize(at.select(*KEY, F.explode("marks").alias("m")).select(*KEY, "m.more"), "marks")
+    while not going.isEmpty():
         level *= 2
-        again = join_small(wide, materialize(firsts(wide, ["h1", "h2"]), "firsts"), ["h1", "h2"], "left_semi", small)
-        at = materialize(again.groupBy(*KEY).agg(F.collect_set("pos").alias("at")), "places")
-    longest = at.select(*KEY, F.lit(level).alias("level"))
-    for more in reached:
-        longest = longest.union(more)
+        wide = going.select(*KEY, "more", F.element_at("more", 1).alias("h"))
+        again = join_small(wide, materialize(firsts(wide, ["h"]), "firsts"), "h", "left_semi", small)
+        again = materialize(again.select(*KEY, F.slice("more", 2, 64).alias("more")), "marks")
+        longest = longest.union(again.select(*KEY, F.lit(level).alias("level")))
+        going = again.where(F.size("more") > 0)
     return removed, materialize(longest.groupBy(*KEY).agg(F.max("level").alias("longest")), "longest")
 
 
