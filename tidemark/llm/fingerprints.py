@@ -8,9 +8,9 @@ over sum of greatest. Since a is a function of (term, t, sample), equal least va
 so the minimum itself is kept and 16 bits of its hash are the sample's mark.
 
 The next document (in descending doc_id) is found without a global sort: rows fall in ranges of about equal
-numbers by (doc_id, text's hash, a random number), each range is one window, and the first row of the next
-range is copied to its end. Bounds come from the rows themselves, so neither outlying ids, nor many rows
-without an id, nor many equal rows meet in one range.
+numbers by (doc_id, text's hash), each range is one window, and the first row of the next range is copied to
+its end. Bounds come from the rows themselves, so neither outlying ids nor many rows without an id meet in
+one range; rows that agree in id and text do.
 
 Defined cases: a null text is an empty one; documents without words have a fingerprint of dashes, like
 each other alone (1) and no other (0); null doc_ids come last in the order; rows that repeat a doc_id are
@@ -70,8 +70,7 @@ def _place(bounds: Column, key: Column) -> Column:
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """(range, rn, copied, doc_id, text, next_text): each document and the one after it in descending doc_id."""
     n = ranges or 2 * partitions(docs.sparkSession)
-    # a number for rows that agree in id and text: they may be many, and their order does not matter
-    parts = {"k0": F.col("doc_id").isNull().cast("int"), "k1": F.coalesce(F.bitwise_not("doc_id"), F.lit(0)), "k2": F.xxhash64("text"), "k3": F.rand(5)}
+    parts = {"k0": F.col("doc_id").isNull().cast("int"), "k1": F.coalesce(F.bitwise_not("doc_id"), F.lit(0)), "k2": F.xxhash64("text")}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns(parts)
     key = F.struct(*parts)
     # narrow rows in ranges of about equal numbers, and each range's least key: one row a range
