@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, minhash, mixing, neighbours, packing, sql, substring, suffix, token_files, toxicity
+from . import chat, fingerprints, merkle, minhash, mixing, neighbours, packing, quality, sql, substring, suffix, token_files, toxicity, trie
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8,
     "op9_token_files": token_files.op9,
     "op10_minhash": minhash.op10,
+    "op11_merkle": merkle.op11,
+    "op12_quality": quality.op12,
+    "op13_trie": trie.op13,
 }
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": sql.OP2_SQL,
@@ -23,4 +26,6 @@ ORACLES: dict[str, str] = {
     "op6_suffix_dedup": sql.OP6_SQL,
     "op7_mixing": sql.OP7_SQL,
     "op10_minhash": sql.OP10_SQL,
+    "op11_merkle": sql.OP11_SQL,
+    "op13_trie": sql.OP13_SQL,
 }

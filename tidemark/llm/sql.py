@@ -113,3 +113,78 @@ cut AS (
   FROM placed p JOIN parts q ON p.source IS NOT DISTINCT FROM q.source AND p.shard = q.shard)
 SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(b, a) - a + c AS BIGINT) AS taken FROM cut
 """
+
+
+#: crc32 of a decimal number: the table follows from the polynomial, a number's digits are folded over it.
+_CRC_TABLE = """(SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i))"""
+_CRC = "xor(list_reduce(list_transform(string_split({0}, ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+_FIELD = "coalesce(octet_length(encode({0})) || ':' || {0}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+def _levels(name: str, start: str) -> str:
+    """Common table expression name(tree, level, i, n, d): all levels of the trees whose lowest one start gives."""
+    return f"""
+{name} AS (
+  SELECT tree, 0 AS level, i, n, d FROM ({start})
+  UNION ALL
+  SELECT tree, level + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(d, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY tree, level, i // 2)"""
+
+
+OP11_SQL = f"""
+WITH RECURSIVE crc AS MATERIALIZED {_CRC_TABLE},
+d AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_leaf('n_chars')} AS leaf,
+         CASE WHEN {_CRC.format('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {_leaf('(n_chars + 1)')} END AS tampered
+  FROM documents, crc),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d),
+{_levels('below', 'SELECT tree, i, n, leaf AS d FROM placed')},
+subroots AS MATERIALIZED (SELECT tree AS own, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n, d FROM below WHERE n = 1),
+{_levels('above', "SELECT '' AS tree, i, n, d FROM subroots")},
+path AS (
+  SELECT p.tree, p.i AS leaf_i, b.level, b.n > 1 AS inner_, (p.i >> b.level) % 2 AS side, s.d AS sibling
+  FROM placed p JOIN below b ON b.tree = p.tree AND b.i = p.i >> b.level AND b.n > 1
+  LEFT JOIN below s ON s.tree = b.tree AND s.level = b.level AND s.i = xor(b.i, 1)),
+up AS (
+  SELECT r.own AS tree, a.level, (r.i >> a.level) % 2 AS side, s.d AS sibling
+  FROM subroots r JOIN above a ON a.i = r.i >> a.level AND a.n > 1 LEFT JOIN above s ON s.level = a.level AND s.i = xor(a.i, 1)),
+way AS (
+  SELECT tree, leaf_i, level, side, sibling FROM path
+  UNION ALL SELECT p.tree, p.i, 1000 + u.level, u.side, u.sibling FROM placed p JOIN up u ON u.tree = p.tree),
+steps AS (
+  SELECT tree, leaf_i, list(struct_pack(side := side, sibling := sibling) ORDER BY level) AS steps, coalesce(string_agg(sibling, '' ORDER BY level), '') AS siblings
+  FROM way GROUP BY tree, leaf_i),
+folded AS (
+  SELECT p.doc_id, p.leaf, s.d AS subroot, (SELECT d FROM above WHERE n = 1) AS root, sha256(coalesce(w.siblings, '')) AS proof_sha256,
+         list_reduce(list_transform(coalesce(w.steps, []), lambda x: struct_pack(d := '', s := x.sibling, side := x.side)),
+                     lambda a, x: struct_pack(d := sha256(CASE WHEN x.side = 1 THEN coalesce(x.s, '') || a.d ELSE a.d || coalesce(x.s, '') END), s := '', side := CAST(0 AS BIGINT)),
+                     struct_pack(d := coalesce(p.tampered, p.leaf), s := '', side := CAST(0 AS BIGINT))).d AS folded_root
+  FROM placed p JOIN subroots s ON s.own = p.tree LEFT JOIN steps w ON w.tree = p.tree AND w.leaf_i = p.i)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+OP13_SQL = f"""
+WITH crc AS MATERIALIZED {_CRC_TABLE},
+said AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS x
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+lent AS (SELECT conv_id, x, {_CRC.format('CAST(conv_id AS VARCHAR)')} % 6 AS h FROM said, crc),
+whole AS MATERIALIZED (
+  SELECT c.conv_id, list_concat(coalesce(b.x, [])[1:c.h], c.x[c.h + 1:]) AS x
+  FROM lent c LEFT JOIN said b ON b.conv_id = c.conv_id - c.conv_id % 100),
+nodes AS MATERIALIZED (
+  SELECT d AS depth, x[1:d] AS x, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(x) = d), '')) AS ends_sha256
+  FROM (SELECT conv_id, x, unnest(range(0, len(x) + 1)) AS d FROM whole) GROUP BY d, x[1:d]),
+kids AS (SELECT x[1:depth - 1] AS x, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+own AS MATERIALIZED (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN n.depth > 0 THEN (n_convs - 1) * length(n.x[n.depth].t) ELSE 0 END AS saved
+  FROM nodes n LEFT JOIN kids k ON k.depth = n.depth AND k.x = n.x),
+trees AS (
+  SELECT depth, x, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT d AS depth, x[1:d] AS x, n_children, saved FROM (SELECT x, n_children, saved, unnest(range(0, depth + 1)) AS d FROM own)) GROUP BY depth, x)
+SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, CAST(t.n_leaves AS BIGINT) AS n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, o.ends_sha256
+FROM own o JOIN trees t ON t.depth = o.depth AND t.x = o.x LEFT JOIN nodes p ON p.depth = o.depth - 1 AND p.x = o.x[1:o.depth - 1]
+"""
