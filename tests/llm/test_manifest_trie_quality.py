@@ -225,10 +225,8 @@ def test_quality_features_against_plain_python(monkeypatch):
         want.append(found)
     for long in (common.LONG, 200):
         monkeypatch.setattr(common, "LONG", long)
-        for t, found in zip(_TEXTS, want):
-            ids, shares = quality.bag(t or "", 10**6)
-            n = sum(found.values())
-            assert dict(zip(ids.tolist(), np.round(shares * n).astype(int).tolist())) == dict(found)
+        for (ids, counts), found in zip(quality.bags(pa.array(_TEXTS), 10**6), want):
+            assert dict(zip(ids.tolist(), counts.tolist())) == dict(found)
         numbers = np.random.default_rng(1).normal(size=quality.BUCKETS)
         z = quality.logits(pa.array(_TEXTS), numbers)
         assert np.allclose(z, [sum(numbers[i] * n for i, n in f.items()) / sum(f.values()) for f in want])
@@ -274,5 +272,5 @@ def test_quality_scores(spark):
     one = quality.scores(docs, labels.where("quality = 1")).toPandas()
     assert (one.score == 1).all() and (quality.scores(docs, labels.limit(0)).toPandas().score == 0).all()
     assert quality.scores(docs.limit(0), labels).count() == 0
-    assert quality.labelled_bags(docs, labels, 50, 100, 2, 1).count() == 50
-    assert quality.labelled_bags(docs, labels, 10**6, 100, 2, 1).where(F.size("ids") > 100).count() == 0
+    assert quality.labelled_bags(docs, labels, 50, 100, 2, 1).count() in (49, 50)  # the label of 900 has no document
+    assert quality.labelled_bags(docs, labels, 10**6, 100, 2, 1).where(F.octet_length("ids") > 200).count() == 0

@@ -20,12 +20,15 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import B1, B2, SPACE_BYTES, materialize, mix, prefix, spans, text_bytes, windows, word_stretches
+from .common import B1, B2, SPACE_BYTES, mix, new_path, prefix, spans, text_bytes, windows, word_stretches
 
 #: Buckets of hashed features, and the length of a vector.
 BUCKETS, DIM = 1 << 16, 8
@@ -75,17 +78,33 @@ def hashed(data: np.ndarray, offsets: np.ndarray):
         yield row, np.searchsorted(rows[order], np.arange(len(edges))), ids[order]
 
 
-def bag(text: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their shares of all its features, at most ``most``, those of greatest counts."""
-    data, offsets = text_bytes(pa.array([text], pa.string()))
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[EVERY] = 1
-    for _, _, ids in hashed(data, offsets):
-        counts += np.bincount(ids, minlength=BUCKETS)
-    found = np.flatnonzero(counts)
-    if len(found) > most:
-        found = np.sort(found[np.argsort(-counts[found], kind="stable")[:most]])
-    return found.astype(np.int32), (counts[found] / counts[found].sum()).astype(np.float32)
+def bags(texts: pa.Array, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's buckets and how often they occur, at most ``most`` of them, those of greatest counts.
+
+    Numbers of 16 bits: where a count is beyond them, all of its text are scaled.
+    """
+    data, offsets = text_bytes(texts)
+    parts: list[list] = [[(np.array([EVERY]), np.array([1]))] for _ in range(len(texts))]
+    for row, bounds, ids in hashed(data, offsets):
+        keys, counts = np.unique(np.repeat(np.arange(len(bounds) - 1) << 16, np.diff(bounds)) | ids, return_counts=True)
+        at = np.searchsorted(keys, np.arange(len(bounds)) << 16)
+        for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
+            if b > a:
+                parts[row + k].append((keys[a:b] & 0xFFFF, counts[a:b]))
+    out = []
+    for pieces in parts:
+        ids, counts = (np.concatenate(x) for x in zip(*pieces))
+        if len(pieces) > 2:  # stretches of one long text
+            both = np.bincount(ids, counts, BUCKETS).astype(np.int64)
+            ids = np.flatnonzero(both)
+            counts = both[ids]
+        if len(ids) > most:
+            first = np.sort(np.argsort(-counts, kind="stable")[:most])
+            ids, counts = ids[first], counts[first]
+        top = counts.max()
+        counts = counts if top < 1 << 16 else np.maximum(counts * 65535 // top, 1)
+        out.append((ids.astype(np.uint16), counts.astype(np.uint16)))
+    return out
 
 
 class Model:
@@ -131,33 +150,39 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_bags(docs: DataFrame, labels: DataFrame, sample: int, most: int, tasks: int, seed: int) -> DataFrame:
-    """(task, place, label, ids, shares) of at most sample documents that are not held out."""
+    """(task, place, label, ids, counts) of at most sample documents that are not held out."""
     usable = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
     chosen = usable.where("doc_id is not null").where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most sample rows of 12 bytes
     once = texts.groupBy("doc_id").agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
-    @F.arrow_udf("struct<ids:array<int>,shares:array<float>>")
-    def bags(column: pa.Array) -> pa.Array:
-        found = [bag(t or "", most) for t in column.to_pylist()]
-        return pa.array([{"ids": i, "shares": s} for i, s in found], pa.struct([("ids", pa.list_(pa.int32())), ("shares", pa.list_(pa.float32()))]))
+    @F.arrow_udf("struct<ids:binary,counts:binary>")
+    def counted(column: pa.Array) -> pa.Array:
+        found = bags(column, most)
+        return pa.StructArray.from_arrays([pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)], ["ids", "counts"])
 
     place = F.xxhash64(F.lit(seed + 1), "doc_id")
-    made = once.select(F.pmod(place, F.lit(tasks)).cast("int").alias("task"), place.alias("place"), "label", bags("text").alias("b"))
-    return materialize(made.select("task", "place", "label", "b.ids", "b.shares"), "quality-bags")
+    made = once.select(F.pmod(place, F.lit(tasks)).cast("int").alias("task"), place.alias("place"), "label", counted("text").alias("b"))
+    made = made.select("task", "place", "label", "b.ids", "b.counts").repartition("task")
+    # a task's rows are one file, which is read by one task in each round
+    path = new_path(docs.sparkSession, "quality-bags")
+    made.write.option("compression", "zstd").option("parquet.block.size", 1 << 30).parquet(path)
+    return docs.sparkSession.read.schema(made.schema).parquet(path)
 
 
 def _trainer(begin, seed: int, r: int, rates: np.ndarray):
-    def train(part):
-        part = part.sort_by("place")
-        own = Model.from_bytes(begin.value)
-        columns = [part[c].combine_chunks() for c in ("ids", "shares")]
-        ends = columns[0].offsets.to_numpy()
-        ids, shares = (c.values.to_numpy() for c in columns)
-        bags = [(ids[a:b], shares[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-        task = part["task"][0].as_py()
-        own.learn(bags, part["label"].to_numpy(), rates, np.random.default_rng([seed, r, task]))
-        return pa.table({"task": pa.array([task], pa.int32()), "n": pa.array([len(bags)], pa.int64()), "model": pa.array([own.to_bytes()], pa.binary())})
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        rows = pa.Table.from_batches(held).sort_by([("task", "ascending"), ("place", "ascending")]) if held else None
+        for task in rows["task"].unique().to_pylist() if rows is not None else ():
+            part = rows.filter(pc.equal(rows["task"], task))
+            found = []
+            for ids, counts in zip(part["ids"].to_pylist(), part["counts"].to_pylist()):
+                shares = np.frombuffer(counts, np.uint16).astype(np.float32)
+                found.append((np.frombuffer(ids, np.uint16).astype(np.int32), shares / shares.sum()))
+            own = Model.from_bytes(begin.value)
+            own.learn(found, part["label"].to_numpy(), rates, np.random.default_rng([seed, r, task]))
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([len(found)], pa.int64()), pa.array([own.to_bytes()], pa.binary())], names=["task", "n", "model"])
 
     return train
 
@@ -168,7 +193,7 @@ def fit(rows: DataFrame, rounds: int, passes: int, rate: float, seed: int) -> Mo
     for r in range(rounds):
         begin = rows.sparkSession.sparkContext.broadcast(model.to_bytes())  # 2 MB, whatever the input
         rates = rate * (1 - np.arange(r * passes, (r + 1) * passes) / (rounds * passes))
-        made = rows.groupBy("task").applyInArrow(_trainer(begin, seed, r, rates), "task int, n long, model binary").orderBy("task").collect()  # a model of 2 MB from each of a few tasks
+        made = rows.mapInArrow(_trainer(begin, seed, r, rates), "task int, n long, model binary").orderBy("task").collect()  # a model of 2 MB from each of a few tasks
         n = np.array([m["n"] for m in made], np.float32)
         models = [Model.from_bytes(m["model"]) for m in made]
         model = Model(*(sum(w * getattr(m, c) for w, m in zip(n / n.sum(), models)) for c in ("vectors", "layer")))
