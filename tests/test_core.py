@@ -289,7 +289,8 @@ def test_ranking_breaks_ties_by_universe_order(spark):
 def test_specs(spark):
     g = specs.grid(spark, spark.createDataFrame([("A",), ("B",)], "symbol string"))
     assert g.select("spec_id").distinct().count() == g.count() and g.where("family = 'MOMENTUM' and params['fast'] >= params['slow']").count() == 0
-    assert specs.neighbours(g.where("family = 'N_DAY_LOW'")).count() == 8
+    close = specs.grid(spark, g.select("symbol"), {"N_DAY_LOW": [{"lookback": n} for n in (5, 6, 7, 10)]})
+    assert specs.neighbours(close).count() == 8
     assert specs.tuned(g).join(g.select("spec_id"), "spec_id").count() >= 0 and specs.canaries(g).join(g, "spec_id").count() == 0
     import hashlib
 

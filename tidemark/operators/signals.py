@@ -223,7 +223,7 @@ def _wma(x: str, n: int) -> str:
 
 @family("HULL_MA_TREND", lookback=16)
 def hull(lookback):
-    raw = f"2 * ({_wma('close', lookback // 2)}) - ({_wma('close', lookback)})"
+    raw = f"2 * ({_wma('close', max(1, lookback // 2))}) - ({_wma('close', lookback)})"
     return Signal((("raw", raw), ("hma", _wma("raw", round(math.sqrt(lookback)))), ("x", f"hma - ({shift('hma')})")), "x > 0", "x", lookback + round(math.sqrt(lookback)) + 2)
 
 
@@ -240,7 +240,7 @@ def adx(lookback):
     return Signal((
         ("up", up), ("dn", dn), ("tr", TRUE_RANGE), ("atr", Ewm("tr", a)),
         ("p", Ewm("CASE WHEN up > dn AND up > 0 THEN up ELSE 0.0D END", a)), ("m", Ewm("CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0.0D END", a)),
-        ("pdi", div("100 * p", "atr")), ("mdi", div("100 * m", "atr")), ("dx", "CASE WHEN pdi + mdi > 0 THEN 100 * abs(pdi - mdi) / (pdi + mdi) END"), ("adx", Ewm("dx", a)),
+        ("pdi", div("100 * p", "atr")), ("mdi", div("100 * m", "atr")), ("dx", "CASE WHEN NOT isnan(pdi + mdi) AND pdi + mdi > 0 THEN 100 * abs(pdi - mdi) / (pdi + mdi) END"), ("adx", Ewm("dx", a)),
     ), is_true("pdi > mdi AND adx > 25", "pdi", "mdi", "adx"), "pdi - mdi", 3 * lookback + 2)
 
 
@@ -312,16 +312,16 @@ def _median(x: str, n: int) -> str:
     return f"CASE WHEN count({x}) OVER {frame(n)} >= {n} THEN percentile({x}, 0.5D) OVER {frame(n)} END"
 
 
-@family("VOL_REGIME_SWITCH", lookback=20, median=60)
-def vol_regime(lookback, median):
-    steps = (("r", f"close / ({shift('close')}) - 1"), ("vol", roll("stddev_samp", "r", lookback)), ("md", _median("vol", median)), ("m", _sma(lookback)), ("tr_", f"close > ({shift('close', lookback)})"))
-    return Signal(steps, "CASE WHEN vol IS NULL OR md IS NULL THEN NULL WHEN vol <= md THEN tr_ ELSE close < m END", min_bars=lookback + median + 2)
+@family("VOL_REGIME_SWITCH", vol=20, regime=100, lookback=20)
+def vol_regime(vol, regime, lookback):
+    steps = (("r", f"close / ({shift('close')}) - 1"), ("vol", roll("stddev_samp", "r", vol)), ("md", _median("vol", regime)), ("m", _sma(lookback)), ("tr_", f"close > ({shift('close', lookback)})"))
+    return Signal(steps, "CASE WHEN vol IS NULL OR md IS NULL THEN NULL WHEN vol <= md THEN tr_ ELSE close < m END", min_bars=vol + regime + lookback + 2)
 
 
-@family("VOL_OF_VOL_FILTER", lookback=20, median=60)
-def vol_of_vol(lookback, median):
-    steps = (("r", f"close / ({shift('close')}) - 1"), ("vol", roll("stddev_samp", "r", lookback)), ("vv", roll("stddev_samp", "vol", lookback)), ("md", _median("vv", median)), ("tr_", f"close / ({shift('close', lookback)}) - 1"))
-    return Signal(steps, "vv <= md AND tr_ > 0", min_bars=2 * lookback + median + 2)
+@family("VOL_OF_VOL_FILTER", vol=20, vov=40, lookback=20)
+def vol_of_vol(vol, vov, lookback):
+    steps = (("r", f"close / ({shift('close')}) - 1"), ("vol", roll("stddev_samp", "r", vol)), ("vv", roll("stddev_samp", "vol", vov)), ("md", _median("vv", vov)), ("tr_", f"close > ({shift('close', lookback)})"))
+    return Signal(steps, "vv <= md AND tr_", min_bars=vol + 2 * vov + lookback + 2)
 
 
 # ---------------------------------------------------------------- recursions per symbol

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import product
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,12 +11,62 @@ from pyspark.sql import functions as F
 from tidemark.operators.backtest import seed
 from tidemark.operators.signals import REGISTRY
 
-#: Values swept per family; families without an entry are taken at their defaults.
-GRID: dict[str, dict[str, list]] = {
-    "MOMENTUM": {"fast": [5, 10, 20], "slow": [20, 50, 100]}, "BOLLINGER": {"lookback": [10, 20, 50], "k": [1.5, 2.0, 2.5]}, "RSI": {"lookback": [7, 14, 21], "oversold": [20, 30]},
-    "ZSCORE": {"lookback": [10, 20, 50], "oversold": [-1.0, -1.5, -2.0]}, "VOL_BREAKOUT": {"entry": [20, 55], "exit": [10, 20]}, "MACD": {"fast": [8, 12], "slow": [21, 26], "signal": [9]},
-    "STOCHASTIC": {"lookback": [9, 14], "oversold": [10, 20]}, "EMA_CROSSOVER": {"fast": [8, 12, 20], "slow": [26, 50]}, "TSMOM": {"lookback": [60, 120, 250], "skip": [5, 20]}, "N_DAY_LOW": {"lookback": [5, 6, 7, 10]},
-}
+
+
+def _sets(names: str, *points: tuple) -> list[dict]:
+    return [dict(zip(names.split(), p)) for p in points]
+
+
+def _axes(**values) -> list[dict]:
+    return [dict(zip(values, p)) for p in product(*values.values())]
+
+
+#: What is swept for each single-symbol family, 205 points in all (momentum where fast < slow).
+GRID: dict[str, list[dict]] = {
+    "MOMENTUM": _axes(fast=(5, 10, 20), slow=(20, 50, 100)),
+    "BOLLINGER": _axes(lookback=(10, 20, 30), k=(1.5, 2.0, 2.5)),
+    "VOL_BREAKOUT": _sets("entry exit", (20, 10), (55, 20), (30, 15)),
+    "RSI": _axes(lookback=(7, 14, 21), oversold=(20.0, 25.0, 30.0)) + _axes(lookback=(2,), oversold=(10.0, 5.0)),
+    "MACD": _sets("fast slow signal", (12, 26, 9), (8, 17, 9), (5, 13, 5)),
+    "STOCHASTIC": _axes(lookback=(7, 14, 21), oversold=(15.0, 20.0, 25.0)),
+    "PARABOLIC_SAR": _sets("step most", (0.02, 0.2), (0.01, 0.1), (0.03, 0.3)),
+    "KELTNER": _axes(lookback=(10, 20, 30), k=(1.5, 2.0, 2.5)),
+    "WILLIAMS_R": _axes(lookback=(7, 14, 21), oversold=(-70.0, -80.0, -90.0)),
+    "CCI": _axes(lookback=(10, 20, 30), oversold=(-80.0, -100.0, -150.0)),
+    "AWESOME_OSCILLATOR": _sets("fast slow", (5, 34), (3, 21), (8, 55)),
+    "SUPERTREND": _axes(lookback=(7, 10, 14), k=(2.0, 3.0, 4.0)),
+    "TRIX": _axes(lookback=(9, 15, 21)),
+    "KELTNER_REVERSION": _axes(lookback=(10, 20, 30), k=(1.5, 2.0, 2.5)),
+    "BOLLINGER_PCTB": _axes(lookback=(10, 20, 30), k=(1.5, 2.0, 2.5), oversold=(0.2, 0.0)),
+    "ZSCORE": _axes(lookback=(10, 20, 30), oversold=(-1.5, -2.0, -2.5)),
+    "IBS": _axes(oversold=(0.2, 0.1)),
+    "N_DAY_LOW": _axes(lookback=(10, 20, 50)),
+    "CONSECUTIVE_DOWN": _axes(lookback=(2, 3, 4)),
+    "SMA_DISTANCE": _axes(lookback=(50, 100, 200), oversold=(0.05, 0.1)),
+    "ULTIMATE_OSCILLATOR": _axes(short=(7,), medium=(14,), long=(28,), oversold=(30.0, 20.0)),
+    "MFI": _axes(lookback=(14, 21), oversold=(20.0, 30.0)),
+    "GAP_FADE": _axes(threshold=(0.01, 0.02, 0.03)),
+    "EMA_CROSSOVER": _sets("fast slow", (9, 21), (12, 26), (20, 50)),
+    "TRIPLE_MA_ALIGNMENT": _sets("fast mid slow", (5, 20, 50), (10, 20, 50), (10, 50, 200)),
+    "DEMA_CROSSOVER": _sets("fast slow", (9, 21), (12, 26), (20, 50)),
+    "HULL_MA_TREND": _axes(lookback=(9, 16, 20)),
+    "KAMA_TREND": _sets("lookback fast slow", (10, 2, 30), (20, 2, 30), (10, 2, 60)),
+    "TSMOM": _sets("lookback skip", (252, 21), (126, 21), (252, 0)),
+    "ADX_DI_CROSSOVER": _axes(lookback=(10, 14, 20)),
+    "AROON_CROSSOVER": _axes(lookback=(14, 25, 50)),
+    "ICHIMOKU_BREAKOUT": _sets("conversion base span", (9, 26, 52), (7, 22, 44)),
+    "VORTEX": _axes(lookback=(10, 14, 21)),
+    "LINREG_SLOPE": _axes(lookback=(20, 50, 100)),
+    "CHANDELIER_EXIT": _axes(lookback=(14, 22), k=(2.0, 3.0)),
+    "SMA200_FILTER": _axes(lookback=(50, 100, 200)),
+    "MA_RIBBON": _sets("fast mid slow", (5, 10, 20), (10, 20, 50), (20, 50, 100)),
+    "SQUEEZE_BREAKOUT": _axes(lookback=(10, 20, 30)),
+    "ATR_BREAKOUT": _axes(lookback=(14,), k=(1.0, 1.5, 2.0)),
+    "NR7_BREAKOUT": _axes(lookback=(5, 7, 10)),
+    "INSIDE_BAR_BREAKOUT": _axes(buffer=(0.0, 0.001, 0.002)),
+    "VOL_REGIME_SWITCH": _sets("vol regime lookback", (20, 100, 20), (20, 200, 20)),
+    "VOL_OF_VOL_FILTER": _sets("vol vov lookback", (20, 40, 20), (20, 60, 20)),
+}
 #: What is swept for each rotation family.
 ROTATION: dict[str, dict[str, list]] = {
     "EQUAL_WEIGHT_BASELINE": {},
@@ -55,21 +105,39 @@ MECHANISMS: dict[str, tuple[str, ...]] = {
 LIFE = ("CHAMPION", "VALIDATED", "PROMISING", "EXPERIMENTAL", "REGIME_SPECIALIST", "DORMANT", "QUARANTINED", "REJECTED", "RETIRED")
 
 
+#: Fields that must rise in this order, where a family has more than one of them.
+_RISING = (("fast", "mid", "slow"), ("short", "medium", "long"), ("step", "most"))
+
+
 def _valid(params: dict) -> bool:
-    return params.get("fast", 0) < params.get("slow", 1)
+    return all(x < y for names in _RISING for own in [[params[c] for c in names if c in params]] for x, y in zip(own, own[1:]))
 
 
-def grid(spark: SparkSession, symbols: DataFrame, values: dict[str, dict[str, list]] | None = None) -> DataFrame:
-    """(spec_id, family, symbol, params, min_bars) of every family's grid for every symbol."""
-    values = values or {**{k: {} for k in REGISTRY.builders}, **GRID}
-    rows = []
-    for name, axes in values.items():
-        for point in product(*axes.values()):
-            params = {**REGISTRY.defaults.get(name, {}), **dict(zip(axes, point))}
+def is_valid(params: str = "params") -> Column:
+    """Whether the fields of a map of parameters rise as they must."""
+    value = lambda c: F.try_element_at(params, F.lit(c))
+    out = F.lit(True)
+    for x, y in (p for names in _RISING for p in combinations(names, 2)):
+        out = out & F.coalesce(value(x) < value(y), F.lit(True))
+    return out
+
+
+def points(values: dict[str, list[dict]] | None = None) -> list[tuple[str, dict]]:
+    """(family, params) of every valid point of the grids, params whole."""
+    out = []
+    for name, swept in (GRID if values is None else values).items():
+        for point in swept:
+            params = {**REGISTRY.defaults.get(name, {}), **point}
             if _valid(params):
-                rows.append((name, {k: float(v) for k, v in params.items()}, REGISTRY.of(name, **params).min_bars if name in REGISTRY.builders else 0))
+                out.append((name, params))
+    return out
+
+
+def grid(spark: SparkSession, symbols: DataFrame, values: dict[str, list[dict]] | None = None) -> DataFrame:
+    """(spec_id, family, symbol, params, min_bars) of every family's grid for every symbol."""
+    rows = [(name, {k: float(v) for k, v in params.items()}, REGISTRY.of(name, **params).min_bars if name in REGISTRY.builders else 0) for name, params in points(values)]
     specs = spark.createDataFrame(rows, "family string, params map<string,double>, min_bars int")
-    return identified(symbols.select("symbol").distinct().join(F.broadcast(specs), how="cross"))
+    return identified(symbols.select("symbol").distinct().join(F.broadcast(specs), how="cross"))  # a few hundred points
 
 
 def identity(family: str = "family", where: str = "symbol", params: str = "params") -> Column:
@@ -114,9 +182,7 @@ def tuned(specs: DataFrame, salt: str = "tune") -> DataFrame:
     moved = specs.withColumns({"field": pick, "factor": F.when(up, 1 + size).otherwise(1 - size)})
     value = lambda k, v: F.when(k == F.col("field"), F.when(v == F.floor(v), F.greatest(F.round(v * F.col("factor")), F.lit(1.0))).otherwise(v * F.col("factor"))).otherwise(v)
     out = moved.withColumns({"parent_id": F.col("spec_id"), "params": F.transform_values("params", value), "direction": F.when(F.col("factor") > 1, "up").otherwise("down")})
-    out = identified(out).where("spec_id <> parent_id")
-    fast, slow = F.col("params")["fast"], F.col("params")["slow"]
-    return out.where(fast.isNull() | slow.isNull() | (fast < slow)).drop("field", "factor")
+    return identified(out).where("spec_id <> parent_id").where(is_valid()).drop("field", "factor")
 
 
 def crossed(pairs: DataFrame, salt: str = "cross") -> DataFrame:
@@ -163,15 +229,19 @@ def aligned(hypotheses: DataFrame) -> DataFrame:
 
 
 def swapped(specs: DataFrame, templates: DataFrame, salt: str = "swap") -> DataFrame:
-    """A child of each spec: a template of another family, chosen by seed, for the same symbol; templates (family, params)."""
-    numbered = templates.select(F.col("family").alias("new_family"), F.col("params").alias("new_params"), F.row_number().over(W.orderBy("family", F.to_json("params"))).alias("k"))
-    n = templates.count()
-    # tries, of which the first with another family counts; a template table is a grid's defaults
-    tries = specs.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    tries = tries.withColumn("k", (seed(F.col("spec_id"), F.lit(salt), F.col("try")) % max(n, 1) + 1).cast("int"))
-    fit = tries.join(F.broadcast(numbered), "k").where("new_family <> family")
-    first = fit.groupBy("spec_id").agg(F.min_by(F.struct("symbol", "new_family", "new_params"), "try").alias("s"))
-    child = first.select(F.col("spec_id").alias("parent_id"), F.col("s.symbol").alias("symbol"), F.col("s.new_family").alias("family"), F.col("s.new_params").alias("params"))
+    """A child of each spec: a template of another family, chosen by seed, for the same symbol; templates (family, params).
+
+    A spec has no child only where there is no template of another family.
+    """
+    order = W.orderBy("family", F.to_json("params"))  # templates are a grid's points, a few hundred
+    numbered = templates.select("family", "params", (F.row_number().over(order) - 1).alias("k"))
+    of = numbered.groupBy("family").agg(F.min("k").alias("first"), F.count("*").alias("own"))
+    listed = specs.select("spec_id", "symbol", "family").join(F.broadcast(of), "family", "left").crossJoin(F.broadcast(numbered.agg(F.count("*").alias("all"))))
+    others = F.col("all") - F.coalesce("own", F.lit(0))
+    draw = F.when(others > 0, seed(F.col("spec_id"), F.lit(salt)) % others)
+    # numbers of a family follow one another, so a draw among the others skips them
+    listed = listed.withColumn("k", draw + F.when(draw >= F.col("first"), F.col("own")).otherwise(0)).where("k is not null")
+    child = listed.select(F.col("spec_id").alias("parent_id"), "symbol", "k").join(F.broadcast(numbered), "k").drop("k")
     return identified(child)
 
 

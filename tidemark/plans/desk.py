@@ -170,11 +170,11 @@ def holdout_repeats(spark, sf_dir):
     return store.repeated_access(log)
 
 
-@query("month_spend", """WITH c AS (SELECT date_trunc('month', o_orderdate) AS month, sum(CAST(o_totalprice AS BIGINT) * CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END) AS cost FROM orders GROUP BY ALL)
-SELECT month, cost, CASE WHEN cost >= 25000000 THEN 'STOP' WHEN cost >= 0.8 * 25000000 THEN 'ECONOMY' ELSE 'NORMAL' END AS tier FROM c""")
+@query("month_spend", """WITH c AS (SELECT date_trunc('month', o_orderdate) AS month, sum(CAST(round(o_totalprice * 100) AS BIGINT) * CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END) AS cost FROM orders GROUP BY ALL)
+SELECT month, cost, CASE WHEN cost >= 2500000000 THEN 'STOP' WHEN cost >= 0.8 * 2500000000 THEN 'ECONOMY' ELSE 'NORMAL' END AS tier FROM c""")
 def month_spend(spark, sf_dir):
-    usage = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("model"), F.col("o_orderdate").alias("at"), F.round("o_totalprice").cast("long").alias("tokens"))
-    return store.spend(usage, spark.createDataFrame([("F", 2), ("O", 1)], "model string, per_token long"), 25_000_000).withColumn("cost", F.col("cost").cast("long"))
+    usage = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("model"), F.col("o_orderdate").alias("at"), F.round(F.col("o_totalprice") * 100).cast("long").alias("tokens"))
+    return store.spend(usage, spark.createDataFrame([("F", 2), ("O", 1)], "model string, per_token long"), 2_500_000_000).withColumn("cost", F.col("cost").cast("long"))
 
 
 # ---------------------------------------------------------------- gates, canaries, benchmark curves
