@@ -386,3 +386,45 @@ def test_rolling_apply(spark):
     got = {(r["symbol"], r["t"]): r["y"] for r in rolling_apply(rows, "y", "x", 3, lambda v: v.max() - v.min()).collect()}
     assert got["A", 1] is None or got["A", 1] != got["A", 1]
     assert got["B", 5] == 25.0 - 9.0
+
+
+def test_strategy_lineage_with_loops(spark):
+    parents = {1: None, 2: 1, 3: 2, 4: 99, 5: 4, 6: 6, 7: 6, 8: 9, 9: 8, 10: 9, 11: 10, **{20 + i: 20 + (i + 1) % 5 for i in range(5)}, 30: 22, 31: 30}
+    parents |= {100 + i: 99 + i if i else None for i in range(40)}
+    rows = [(k, f"h{k}", f"h{p}" if p else None) for k, p in parents.items()] + [(500, "h1", None), (501, None, "h500")]
+    got = {r["id"]: (r["parent_id"], r["generation"]) for r in graph.strategy_lineage(spark.createDataFrame(rows, "id long, config_hash string, parent_hash string")).collect()}
+
+    def climb(k):
+        seen, at = [], k
+        while at in parents and parents[at] in parents:
+            at = parents[at]
+            if at in seen:
+                break
+            seen.append(at)
+        return seen
+
+    on_loop = {k for k in parents if k in climb(k)}
+    assert on_loop == {6, 8, 9, *range(20, 25)}
+    for k, p in parents.items():
+        if k in on_loop or p not in parents:
+            assert got[k] == (None, 0), k
+        else:
+            n, at = 0, k
+            while at not in on_loop and parents[at] in parents:
+                n, at = n + 1, parents[at]
+            assert got[k] == (p, n), k
+    assert got[500] == (None, 0) and got[501] == (None, 0) and len(got) == len(rows)
+    assert graph.strategy_lineage(spark.createDataFrame([], "id long, config_hash string, parent_hash string")).count() == 0
+
+
+def test_trial_ledger(spark):
+    rng, t = random.Random(2), datetime(2024, 1, 1)
+    trials = [(rng.choice([None, f"c{rng.randrange(60)}"]), t + timedelta(minutes=rng.randrange(6000))) for _ in range(200)]
+    frame = lambda rows: spark.createDataFrame(rows, "config_hash string, recorded_at timestamp")
+    ledger = gates.record_trials(frame([]), frame(trials[:120]))
+    ledger = ledger.unionByName(gates.record_trials(ledger, frame(trials[60:]))).cache()
+    assert ledger.count() == len({c for c, _ in trials if c}) and gates.record_trials(ledger, frame(trials)).count() == 0
+    rows = [(r["config_hash"], r["recorded_at"]) for r in ledger.collect()]
+    asked = [(i, at) for i, at in enumerate([*(a for _, a in rows[:20]), t - timedelta(days=9), t + timedelta(days=90), *(t + timedelta(minutes=37 * k) for k in range(60))])]
+    got = {r["i"]: r["n_trials"] for r in gates.trials_to_date(spark.createDataFrame(asked, "i int, at timestamp"), ledger).collect()}
+    assert got == {i: sum(a <= at for _, a in rows) for i, at in asked}

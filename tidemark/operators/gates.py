@@ -139,3 +139,28 @@ def regate(promoted: DataFrame, ledger: DataFrame, p_values: DataFrame) -> DataF
     tested = state.select(one, "*").groupBy("k").cogroup(todo.select(one, "*").groupBy("k")).applyInPandas(run, "config_hash string, discovery boolean")
     judged = both.join(tested, "config_hash", "left").withColumn("hit", F.coalesce("found", "discovery"))
     return judged.select("id", F.when(F.col("hit").isNull(), "UNTESTABLE").when(F.col("hit"), "DISCOVERY").otherwise("FAILED").alias("outcome"))
+
+
+# ---------------------------------------------------------------- the ledger of trials
+def record_trials(ledger: DataFrame, trials: DataFrame) -> DataFrame:
+    """Rows (config_hash, recorded_at) of trials to append to the ledger: each hash once, at its first time; hashes that the
+    ledger has already add nothing, so a batch may be recorded again."""
+    first = trials.where("config_hash is not null").groupBy("config_hash").agg(F.min("recorded_at").alias("recorded_at"))
+    return first.join(ledger.select("config_hash"), "config_hash", "left_anti")
+
+
+def trials_to_date(validations: DataFrame, ledger: DataFrame) -> DataFrame:
+    """validations (with column at) and n_trials: how many hashes the ledger had at that time, that moment's included.
+
+    Trials are counted by day, days are summed up, and only the trials of a validation's own day are set in order with it.
+    """
+    day = lambda c: F.to_date(c).alias("day")
+    per_day = ledger.groupBy(day("recorded_at")).agg(F.count("*").alias("n"))
+    asked = validations.withColumn("_row", F.monotonically_increasing_id())
+    days = per_day.unionByName(asked.select(day("at")).distinct().withColumn("n", F.lit(0).cast("long"))).groupBy("day").agg(F.sum("n").alias("n"))
+    before = days.select("day", F.coalesce(F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each day
+    events = ledger.select(day("recorded_at"), F.col("recorded_at").alias("moment"), F.lit(1).alias("one"), F.lit(None).cast("long").alias("_row"))
+    events = events.join(asked.select(day("at")).distinct(), "day", "left_semi").unionByName(asked.select(day("at"), F.col("at").alias("moment"), F.lit(0).alias("one"), "_row"))
+    so_far = F.sum("one").over(W.partitionBy("day").orderBy("moment", F.desc("one")).rowsBetween(W.unboundedPreceding, 0))
+    counted = events.withColumn("own", so_far).where("_row is not null").join(before, "day").select("_row", (F.col("before") + F.col("own")).alias("n_trials"))
+    return asked.join(counted, "_row").drop("_row")

@@ -10,18 +10,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared checkpoint folder and read back: cuts lineage between rounds."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; where it is unset on one machine (tests), an own temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared checkpoint folder and read back: cuts lineage between rounds."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def latest_result(results: DataFrame) -> DataFrame:
@@ -57,6 +61,43 @@ def roots(experiments: DataFrame, max_depth: int = 32) -> DataFrame:
     return experiments.join(up, "id", "left").select("id", F.coalesce("top", "id").alias("root"), F.coalesce("d", F.lit(0)).alias("generation"))
 
 
+def _climbed(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(id, generation) of the nodes of edges (id, up) that reach a node without up, and (id, up) of those that never do, with
+    up a node on a loop that they lead to; every node of a loop is some node's up.
+
+    Reach doubles each round. Whoever still climbs after ``reach`` steps has at most as many nodes without an end before it as
+    there are left, so one round after reach exceeds those, only nodes that lead to a loop are left, and are on it.
+    """
+    climbing = stored(edges.where("up is not null").select("id", "up", F.lit(1).cast("long").alias("steps")), "climbing")
+    done = edges.where("up is null").select("id", F.lit(0).cast("long").alias("generation"))
+    left, reach, last = climbing.count(), 1, False
+    while left and not last:
+        last = reach > left
+        above = climbing.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("steps").alias("more"))
+        top = done.select(F.col("id").alias("up"), "generation")
+        met = stored(climbing.join(above, "up", "left").join(top, "up", "left"), "met")
+        done = stored(done.unionByName(met.where("generation is not null").select("id", (F.col("steps") + F.col("generation")).alias("generation"))), "generations")
+        climbing = stored(met.where("generation is null").select("id", F.col("further").alias("up"), (F.col("steps") + F.col("more")).alias("steps")), "climbing")
+        left, reach = climbing.count(), reach * 2
+    return done, climbing.select("id", "up") if left else None
+
+
+def strategy_lineage(strategies: DataFrame) -> DataFrame:
+    """(id, parent_id, generation) of strategies (id, config_hash, parent_hash): the parent is the strategy with that hash (the
+    smallest id of several), the generation the number of steps to one without a parent.
+
+    A strategy without a parent, with one that is not there, or that is its own ancestor has no parent and generation 0.
+    """
+    by_hash = strategies.groupBy("config_hash").agg(F.min("id").alias("up")).withColumnRenamed("config_hash", "parent_hash")
+    edges = stored(strategies.select("id", "parent_hash").join(by_hash, "parent_hash", "left").select("id", "up"), "edges")
+    done, looped = _climbed(edges)
+    if looped is not None:
+        on_loop = looped.select(F.col("up").alias("id")).distinct().withColumn("loop", F.lit(True))
+        edges = stored(edges.join(on_loop, "id", "left").select("id", F.when(F.col("loop").isNull(), F.col("up")).alias("up")), "edges")
+        done = done.unionByName(_climbed(edges.join(looped, "id", "left_semi"))[0])
+    return edges.join(done, "id").select("id", F.col("up").alias("parent_id"), "generation")
+
+
 #: Metrics by name: (column expression, +1 where more is better).
 METRICS: dict[str, tuple[Column, int]] = {}
 

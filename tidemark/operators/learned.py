@@ -9,6 +9,7 @@ than 20 finite rows or one class leaves its bars flat, and so does a bar whose o
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fits
 from tidemark.functions.rolling import OVER, div, ewm, roll, shift
+from tidemark.operators.backtest import account, results
+from tidemark.operators.graph import stored
 from tidemark.operators.signals import REGISTRY
 
 FEATURES = ("ret1", "ret5", "std10", "rsi", "hist", "dvol")
@@ -92,3 +95,14 @@ def held(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def walk_forward(bars: DataFrame, kind: str, train: int = 120, retrain: int = 20, threshold: float = 0.5) -> DataFrame:
     return held(probabilities(bars, kind, train, retrain), threshold)
+
+
+def swept(bars: DataFrame, kind: str) -> DataFrame:
+    """(symbol, point, n_bars, return_pct, ...) of every point of a kind's grid after its first window; thresholds share a fit."""
+    axes, parts = GRID[kind], []
+    for train, retrain in product(axes["train"], axes["retrain"]):
+        scored = stored(probabilities(bars, kind, train, retrain), "probabilities")
+        for threshold in axes["threshold"]:
+            rows = held(scored, threshold).where(F.col("n") > train).withColumn("point", F.lit(f"{kind}|retrain={retrain},threshold={threshold},train={train}"))
+            parts.append(results(account(rows, ("symbol", "point")), ("symbol", "point")))
+    return reduce(DataFrame.unionByName, parts)

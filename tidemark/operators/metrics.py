@@ -129,11 +129,10 @@ def track_record(sr: Column, target: Column, skew: Column, kurtosis: Column, con
     return F.when(sr > target, F.greatest(F.lit(2), F.ceil(1 + under * F.pow(z / (sr - target), F.lit(2)))))
 
 
-def deflated(moments: DataFrame, trials: DataFrame) -> DataFrame:
-    """dsr of rows (sr, n, skew, kurtosis): the deviation of sr over the batch, the number of rows of all trials so far."""
-    batch = moments.agg(F.stddev_samp("sr").alias("_sd")).crossJoin(trials.agg(F.count("*").alias("n_trials")))
-    # one row
-    rows = moments.crossJoin(F.broadcast(batch)).withColumn("bar", expected_max(F.col("n_trials"), F.col("_sd"))).drop("_sd", "n_trials")
+def deflated(moments: DataFrame) -> DataFrame:
+    """dsr of rows (sr, n, skew, kurtosis, n_trials): the deviation of sr over the batch, and each row's number of trials so far."""
+    batch = moments.agg(F.stddev_samp("sr").alias("_sd"))
+    rows = moments.crossJoin(F.broadcast(batch)).withColumn("bar", expected_max(F.col("n_trials"), F.col("_sd"))).drop("_sd")  # one row
     return rows.withColumn("dsr", probabilistic_sharpe(F.col("sr"), F.col("bar"), F.col("n"), F.col("skew"), F.col("kurtosis")))
 
 

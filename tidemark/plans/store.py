@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as bt
@@ -9,7 +10,7 @@ from tidemark.operators import graph, store
 from tidemark.plans.backtest import _MOMENTUM, traded
 from tidemark.plans.registry import query
 from tidemark.sources.experiments import DECISIONS_SQL, EXPERIMENTS_SQL, RESULTS_SQL, STRATEGIES_SQL, decisions, experiments, results, strategies
-from tidemark.sources.market import BARS_SQL, MEMBERSHIP_SQL, TICKS_SQL, bars, membership
+from tidemark.sources.market import BARS_SQL, MEMBERSHIP_SQL, TICKS_SQL, bars, membership, table
 
 _UP = f"""{EXPERIMENTS_SQL},
 up AS (SELECT id, parent AS ancestor, 1 AS depth FROM experiments WHERE parent IS NOT NULL
@@ -236,3 +237,20 @@ def strategy_clusters(spark, sf_dir):
     curves = bt.account(rows).select("symbol", "t", "equity").union(dear.select("symbol", "t", "equity"))
     specs = curves.select("symbol").distinct().withColumns({"n_params": F.length("symbol"), "config_hash": F.col("symbol")})
     return graph.clusters(specs, graph.correlations(curves), 0.8).withColumn("mean_corr", F.round("mean_corr", 5))
+
+
+# ---------------------------------------------------------------- lineage of strategies by hash
+@query("strategy_lineage", """WITH o AS (SELECT DISTINCT o_orderkey AS id, o_custkey AS c FROM orders),
+k AS (SELECT id, c, row_number() OVER w AS k, lag(id) OVER w AS before, least(count(*) OVER (PARTITION BY c), 3) AS ring FROM o WINDOW w AS (PARTITION BY c ORDER BY id))
+SELECT id, CASE WHEN c % 10 = 0 AND k <= ring THEN NULL ELSE before END AS parent_id,
+       CASE WHEN c % 10 <> 0 THEN k - 1 WHEN k <= ring THEN 0 ELSE k - ring END AS generation FROM k""")
+def strategy_lineage(spark, sf_dir):
+    """An order's parent is its customer's order before; every tenth customer's first three are each other's ancestors, and the
+    first of every tenth but one names a parent that is not there."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c")).distinct()
+    w = W.partitionBy("c").orderBy("id")
+    third = F.max(F.when(F.col("k") <= 3, F.col("id"))).over(W.partitionBy("c"))
+    rows = o.withColumns({"k": F.row_number().over(w), "before": F.lag("id").over(w)})
+    parent = F.when((F.col("k") == 1) & (F.col("c") % 10 == 0), third).when((F.col("k") == 1) & (F.col("c") % 10 == 1), F.lit(-1)).otherwise(F.col("before"))
+    hashed = lambda x: F.sha2(x.cast("string"), 256)
+    return graph.strategy_lineage(rows.withColumn("parent", parent).select("id", hashed(F.col("id")).alias("config_hash"), hashed(F.col("parent")).alias("parent_hash")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import ablation, evolve, specs, sweep
+from tidemark.operators import ablation, evolve, learned, specs, sweep
 from tidemark.operators.graph import stored
 from tidemark.plans.backtest import _accounting
 from tidemark.plans.registry import query
@@ -154,3 +154,13 @@ def evolution_registry(spark, sf_dir):
     """Both trials' rows in the registry of components, with their verdicts."""
     trials = evolve.registered(evolution_trials(spark, sf_dir), "mutation_evolution").unionByName(evolve.registered(parent_trials(spark, sf_dir), "icir_parent_fitness"))
     return _rounded(ablation.verdicts(ablation.registry(trials)), 6)
+
+
+@query("component_vs_grid")
+def component_vs_grid(spark, sf_dir):
+    """Best of a component's own grid against the best of the baseline grid on every symbol, as log growth."""
+    own, grid = scored_grid(spark, sf_dir)
+    component = learned.swept(own, "LOGISTIC_REGRESSION").withColumn("group", F.lit("LOGISTIC_REGRESSION"))
+    both = grid.select("symbol", "return_pct", F.lit("grid").alias("group")).unionByName(component.select("symbol", "return_pct", "group"))
+    growth = F.log(F.greatest(1 + F.col("return_pct") / 100, F.lit(1e-6)))
+    return _rounded(ablation.best_of(both.withColumn("return_pct", growth), "LOGISTIC_REGRESSION", "grid"), 6)

@@ -6,10 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as bt
-from tidemark.operators import gates, metrics, signals, specs
+from tidemark.operators import gates, metrics, signals
 from tidemark.plans.backtest import _HOLD, _MOMENTUM, traded
 from tidemark.plans.registry import query
-from tidemark.sources.experiments import validations
+from tidemark.sources.experiments import VALIDATIONS_SQL, validations
 from tidemark.sources.market import BARS_SQL, bars, table
 
 _SIG = f"{BARS_SQL},\n{signals.oracle('MOMENTUM')}"
@@ -106,14 +106,31 @@ moments AS (SELECT symbol, count(r) AS n, avg(r) / stddev_samp(r) AS sr, avg(pow
             FROM (SELECT *, avg(r) OVER (PARTITION BY symbol) AS m FROM moves) GROUP BY symbol)"""
 
 
-def _trials(spark, sf_dir):
-    """Every spec of the grid is a trial."""
-    return specs.grid(spark, bars(spark, sf_dir))
+def _ledger(spark, sf_dir):
+    """The trials recorded so far: every fingerprint that was ever validated, at its first time."""
+    rows = validations(spark, sf_dir).select(F.col("fingerprint").alias("config_hash"), F.col("created_at").cast("timestamp").alias("recorded_at"))
+    return gates.record_trials(rows.limit(0), rows)
+
+
+def _judged(spark, sf_dir):
+    """Each symbol's moments with the number of trials that the ledger had on the day of its last bar."""
+    last = bars(spark, sf_dir).groupBy("symbol").agg(F.max("t").cast("timestamp").alias("at"))
+    return gates.trials_to_date(_moments(spark, sf_dir).join(last, "symbol"), _ledger(spark, sf_dir))
+
+
+@query("trials_to_date", f"""WITH {BARS_SQL}, {VALIDATIONS_SQL},
+ledger AS (SELECT fingerprint, CAST(min(created_at) AS TIMESTAMP) AS recorded_at FROM validations GROUP BY fingerprint),
+asked AS (SELECT symbol, CAST(t AS TIMESTAMP) AS at FROM bars)
+SELECT symbol, at, (SELECT count(*) FROM ledger WHERE recorded_at <= at) AS n_trials FROM asked""")
+def trials_to_date(spark, sf_dir):
+    """The count at every bar of every symbol."""
+    asked = bars(spark, sf_dir).select("symbol", F.col("t").cast("timestamp").alias("at"))
+    return gates.trials_to_date(asked, _ledger(spark, sf_dir)).select("symbol", "at", "n_trials")
 
 
 @query("deflated_sharpe")
 def deflated_sharpe(spark, sf_dir):
-    return metrics.deflated(_moments(spark, sf_dir), _trials(spark, sf_dir))
+    return metrics.deflated(_judged(spark, sf_dir)).drop("at")
 
 
 @query("track_record", f"""{_MOMENTS}
@@ -193,13 +210,13 @@ def vault_summary(spark, sf_dir):
 
 @query("verdicts")
 def verdicts(spark, sf_dir):
-    """Evidence as computed: the batch's overfitting probability, deflated ratios over the grid's trials, power at the claimed
+    """Evidence as computed: the batch's overfitting probability, deflated ratios over the trials recorded so far, power at the claimed
     horizon of 5 bars, regimes, the benchmark's own span and the symbol's last stored validation."""
     rows = traded(spark, sf_dir)
     curves, held = bt.account(rows), bt.hold(rows)
     days = lambda d: d.groupBy(F.col("symbol").alias("key"), F.array("symbol").alias("universe")).agg(F.min("t").alias("first_day"), F.max("t").alias("last_day"))
     out = bt.results(curves).select("symbol", "turnover").join(bt.versus(curves, held), "symbol").withColumnRenamed("excess_pct", "excess_return")
-    out = out.join(metrics.deflated(_moments(spark, sf_dir), _trials(spark, sf_dir)).select("symbol", "dsr"), "symbol")
+    out = out.join(metrics.deflated(_judged(spark, sf_dir)).select("symbol", "dsr"), "symbol")
     out = out.join(metrics.regime_breakdown(curves).groupBy("symbol").agg(F.first("consistent").alias("consistent")), "symbol", "left")
     out = out.join(metrics.decay(_signal(spark, sf_dir)).select("symbol", F.array_contains("power", 5).alias("has_power")), "symbol", "left")
     out = out.join(metrics.icir(_signal(spark, sf_dir), 5).select("symbol", "icir"), "symbol", "left")
