@@ -95,6 +95,15 @@ def test_repeated_passages(spark, docs, table):
     assert _sorted(pipeline.drop_repeated_passages(spark, docs, table)) == sorted(_without_passages(_rows()), key=repr)
 
 
+def test_columns_named_like_those_of_operators_pass_through(spark, docs, table):
+    from pyspark.sql import functions as F
+
+    named = docs.withColumns({"kept": F.lit("mine"), "n_removed": F.lit("x"), "longest": F.lit(1.5), "n_words": F.lit(True), "is_copy": F.lit(7)})
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, named, table)
+        assert out.columns == named.columns and out.select("kept", "n_removed", "longest", "n_words", "is_copy").distinct().collect() == [("mine", "x", 1.5, True, 7)]
+
+
 def test_mixing_and_packing(spark, docs, table):
     from tidemark.llm import mixing
 

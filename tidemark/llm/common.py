@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -67,6 +68,16 @@ def words_expr(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), lambda w: w != "")
 
 
+def release() -> None:
+    """Give memory that a batch or task is done with back to the system: workers are used again by other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # ---------------------------------------------------------------- rolling hashes over batches
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -299,6 +310,11 @@ class Encoder:
             cls._made[path] = cls(path, drops_space)
         return cls._made[path]
 
+    @classmethod
+    def let_go(cls) -> None:
+        """Forget the vocabularies too; the next task reads its own again, in a fraction of a second."""
+        cls._made.clear()
+
     def forget(self) -> None:
         self.words, self.word_ids = _Numbered(), _Runs()
         self.pieces, self.piece_ids = _Numbered(), _Runs()

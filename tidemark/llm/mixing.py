@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NO_ID, materialize, words_expr
+from .common import BROADCAST_BYTES, NO_ID, materialize, words_expr
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -81,15 +81,18 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", doc_id
     ``whole`` full copies are taken, and besides the words [first, last) and [first2, last2) of the text
     (the second only where the circle closes inside one document). carry: also ``row``, all columns of docs.
     """
-    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    # rows without an id are told apart by their text, so that they do not meet in one shard
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))))
     own = [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_expr(F.col(text)).alias("size"), mark.alias("mark")]
     rows = materialize(docs.select(*own), "sizes")  # narrow; else each use below would split all texts again
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
+    sources = materialize(sources, "sources")
+    size_of = sources.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 48).alias("n")).first()["n"] or 0
+    few = F.broadcast if size_of <= BROADCAST_BYTES else lambda df: df  # a row for each source
     n_shards = F.ceil(F.col("source_size") / F.lit(shard_words)).cast("long")
 
     def deal(rows: DataFrame) -> DataFrame:
-        # one row per source is broadcast
-        known = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+        known = rows.join(few(sources), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
         return known.withColumn("shard", F.pmod(F.conv(F.substring("mark", 1, 8), 16, 10).cast("long"), F.greatest(n_shards, F.lit(1))))
 
     dealt = deal(rows)
@@ -98,7 +101,7 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", doc_id
     total = F.round(F.sum("target").over(W.partitionBy()) / block).cast("long")
     quotas = shards.groupBy("source").agg(F.first("target").alias("target"), (MOST * F.sum("blocks")).alias("most")).withColumn("total", total)
     quotas = apportion(quotas.withColumn("all", F.lit(0)), ["all"], ["source"], "target", "total", "most").select(F.col("source").alias("of"), F.col("quota").alias("source_quota"))
-    shards = shards.join(F.broadcast(quotas), F.col("source").eqNullSafe(F.col("of"))).withColumn("most", MOST * F.col("blocks"))
+    shards = shards.join(few(quotas), F.col("source").eqNullSafe(F.col("of"))).withColumn("most", MOST * F.col("blocks"))
     shards = apportion(shards, ["source"], ["shard"], "shard_size", "source_quota", "most")
     start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "shard", F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("long"), F.greatest(F.col("blocks"), F.lit(1)))
     shards = shards.select(

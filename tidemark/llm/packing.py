@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Encoder, materialize, text_chunks
+from .common import Encoder, materialize, release, text_chunks
 
 CAPACITY = 2048
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -47,7 +47,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
                                 column.append(x)
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
         finally:
-            encoder.forget()
+            del encoder
+            Encoder.let_go()
+            release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _PIECES)
 

@@ -75,7 +75,7 @@ _NUMBER = "CAST(('0x' || substr({}, 1, 8)) AS BIGINT)"
 OP7_SQL = rf"""
 WITH docs AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mark FROM documents),
+         md5('7|' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS mark FROM documents),
 weighted AS (
   SELECT source, source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 3 * source_size AS cap
   FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source)),

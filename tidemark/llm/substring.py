@@ -160,8 +160,8 @@ def repeated_runs(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Dat
     alive = materialize(alive.groupBy(*KEY).agg(F.collect_set("pos").alias("pos")), "alive")
     candidates = join_small(rows.select(*KEY, "text"), alive, KEY, "inner", bytes_of("pos"))
     full = materialize(candidates.mapInArrow(_extended(window, half), "h1 long, h2 int, doc long, rk long, pos int, more array<long>"), "windows")
-    # windows are many, so this join shuffles at every size; adaptive execution splits hot ones
-    found = full.join(firsts(full, ["h1", "h2"]), ["h1", "h2"])
+    # windows are many, so this join shuffles at every size; both sides are tables, so adaptive execution splits hot windows
+    found = full.join(materialize(firsts(full, ["h1", "h2"]), "first-docs"), ["h1", "h2"])
     marks = F.collect_set(F.when(F.size("more") > 0, F.struct("pos", "more"))).alias("marks")
     at = materialize(found.groupBy(*KEY).agg(F.collect_set(F.when(F.col("doc") > F.col("first_doc"), F.col("pos"))).alias("gone"), marks), "places")
     removed = at.where(F.size("gone") > 0).select(*KEY, F.col("gone").alias("at")).mapInArrow(_to_runs(window), "doc long, rk long, starts array<int>, ends array<int>")

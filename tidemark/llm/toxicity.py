@@ -22,7 +22,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import B1, materialize, prefix, slices, spans, text_bytes, windows
+from .common import B1, materialize, prefix, release, slices, spans, text_bytes, windows
 
 #: Insults in the languages of the corpus, lower case.
 LEXICON = (
@@ -211,6 +211,7 @@ def features(text: Column, learned: tuple[str, ...] = ()) -> Column:
         data, offsets = text_bytes(texts)
         found = [lexicon.features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)]
         values = np.concatenate(found).ravel() if found else np.zeros(0)
+        release()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(FEATURES)), pa.array(values))
 
     return of(text)
