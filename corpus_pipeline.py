@@ -33,10 +33,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of 50 that a document with a smaller doc_id has go, and documents of which nothing is left."""
-    found = substring.remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
-    return found.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("document")  # may be named like the new columns
+    found = substring.remove_repeats(docs.select("doc_id", "text", others)).where("n_removed = 0 or n_removed < n_words")
+    cut = F.col("n_removed") > 0
+    new = {"text": F.when(cut, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(cut, F.length("kept").cast("long")).otherwise(F.col("document.n_chars"))}
+    return found.select(*[(new[c] if c in new else F.col(f"document.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
