@@ -120,12 +120,12 @@ def _judged(spark, sf_dir):
 
 @query("trials_to_date", f"""WITH {BARS_SQL}, {VALIDATIONS_SQL},
 ledger AS (SELECT fingerprint, CAST(min(created_at) AS TIMESTAMP) AS recorded_at FROM validations GROUP BY fingerprint),
-asked AS (SELECT symbol, CAST(t AS TIMESTAMP) AS at FROM bars)
-SELECT symbol, at, (SELECT count(*) FROM ledger WHERE recorded_at <= at) AS n_trials FROM asked""")
+asked AS (SELECT symbol, CAST(t AS TIMESTAMP) AS moment FROM bars)
+SELECT symbol, moment, (SELECT count(*) FROM ledger WHERE recorded_at <= moment) AS n_trials FROM asked""")
 def trials_to_date(spark, sf_dir):
     """The count at every bar of every symbol."""
     asked = bars(spark, sf_dir).select("symbol", F.col("t").cast("timestamp").alias("at"))
-    return gates.trials_to_date(asked, _ledger(spark, sf_dir)).select("symbol", "at", "n_trials")
+    return gates.trials_to_date(asked, _ledger(spark, sf_dir)).select("symbol", F.col("at").alias("moment"), "n_trials")
 
 
 @query("deflated_sharpe")
