@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import B2, join_small, materialize, mix, partitions, prefix, text_bytes, windows, word_hashes, word_stretches
+from .common import B2, join_small, materialize, mix, partitions, prefix, text_bytes, windows, word_hashes, word_stretches, lean
 
 _U = np.uint64
 
@@ -207,7 +207,7 @@ def across_components(groups: DataFrame, sketches: DataFrame, percent: int, bloc
     side = (F.col("own") > F.col("other")).cast("int").alias("side")
     tiles = tiles.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "n", side)
     placed = tiles.join(sketches, "node").repartition(partitions(groups.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return placed.mapInArrow(_across(percent), "x long, y long").distinct()
+    return placed.mapInArrow(lean(_across(percent)), "x long, y long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, halves: i
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text)."""
     rows = rows or (6 if percent >= 85 else 5)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(texts.mapInArrow(_signer(size, halves, rows, seed), "doc_id long, n long, node long, keys array<long>"), "signatures")
+    signed = materialize(texts.mapInArrow(lean(_signer(size, halves, rows, seed)), "doc_id long, n long, node long, keys array<long>"), "signatures")
     known = signed.where("n > 0 and doc_id is not null")
     nodes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n", "keys"), "doc_id").alias("s"))
     nodes = materialize(nodes.select("node", "doc_id", "s.n", "s.keys"), "nodes")
@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, halves: i
     stars = materialize(stars, "pairs")
     some = materialize(stars.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node"), "compared")
     sets = join_small(texts, some, "doc_id", "inner", F.lit(24).cast("long")).select("node", "text")
-    sets = materialize(sets.mapInArrow(_sets(size), "node long, items array<long>, bits binary"), "sets")
+    sets = materialize(sets.mapInArrow(lean(_sets(size)), "node long, items array<long>, bits binary"), "sets")
     if sets.count() > some.count():  # rows that are repeated with their doc_id
         sets = materialize(sets.groupBy("node").agg(F.first("items").alias("items"), F.first("bits").alias("bits")), "sets")
     sized = lambda name: sizes.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"))

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import B2, B3, NO_ID, SPACE_BYTES, join_small, materialize, owners, prefix, runs, spans, text_bytes, text_chunks, windows, word_hashes, word_stretches
+from .common import B2, B3, NO_ID, SPACE_BYTES, join_small, materialize, owners, prefix, runs, spans, text_bytes, text_chunks, windows, word_hashes, word_stretches, lean
 
 WINDOW = 50
 #: What identifies a row: its doc_id (null: last) and its text.
@@ -155,16 +155,16 @@ def repeated_runs(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Dat
     """For rows that are no copies: (doc, rk, starts, ends), the runs of words that windows of a smaller doc cover,
     and (doc, rk, longest), the last level at which each has a window that another doc has."""
     half, small = window // 2, F.lit(32).cast("long")
-    anchors = materialize(rows.select(*KEY, "text").mapInArrow(_anchors(window, half), "h long, doc long, rk long, pos int"), "anchors")
+    anchors = materialize(rows.select(*KEY, "text").mapInArrow(lean(_anchors(window, half)), "h long, doc long, rk long, pos int"), "anchors")
     alive = join_small(anchors, materialize(firsts(anchors, ["h"]), "again"), "h", "left_semi", small)
     alive = materialize(alive.groupBy(*KEY).agg(F.collect_set("pos").alias("pos")), "alive")
     candidates = join_small(rows.select(*KEY, "text"), alive, KEY, "inner", bytes_of("pos"))
-    full = materialize(candidates.mapInArrow(_extended(window, half), "h1 long, h2 int, doc long, rk long, pos int, more array<long>"), "windows")
+    full = materialize(candidates.mapInArrow(lean(_extended(window, half)), "h1 long, h2 int, doc long, rk long, pos int, more array<long>"), "windows")
     # windows are many, so this join shuffles at every size; both sides are tables, so adaptive execution splits hot windows
     found = full.join(materialize(firsts(full, ["h1", "h2"]), "first-docs"), ["h1", "h2"])
     marks = F.collect_set(F.when(F.size("more") > 0, F.struct("pos", "more"))).alias("marks")
     at = materialize(found.groupBy(*KEY).agg(F.collect_set(F.when(F.col("doc") > F.col("first_doc"), F.col("pos"))).alias("gone"), marks), "places")
-    removed = at.where(F.size("gone") > 0).select(*KEY, F.col("gone").alias("at")).mapInArrow(_to_runs(window), "doc long, rk long, starts array<int>, ends array<int>")
+    removed = at.where(F.size("gone") > 0).select(*KEY, F.col("gone").alias("at")).mapInArrow(lean(_to_runs(window)), "doc long, rk long, starts array<int>, ends array<int>")
     removed = materialize(removed, "runs")
     level, longest = window, at.select(*KEY, F.lit(window).alias("level"))
     going = materialize(at.select(*KEY, F.explode("marks").alias("m")).select(*KEY, "m.more"), "marks")
@@ -223,7 +223,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     joined = join_small(marked, removed, KEY, "left", bytes_of("starts", "ends"))
     joined = join_small(joined, longest, KEY, "left", F.lit(24).cast("long")).select(F.struct("row", "first_doc", "longest").alias("row"), "text", "is_copy", "starts", "ends")
     schema = f"row {joined.schema['row'].dataType.simpleString()}, text string, n_words long, n_removed long, kept string"
-    kept = joined.mapInArrow(_keep(window), schema)
+    kept = joined.mapInArrow(lean(_keep(window)), schema)
     # a text that has copies repeats as a whole
     whole = F.when(F.col("row.first_doc").isNotNull() & (F.col("n_words") >= window), (window * F.pow(F.lit(2.0), F.floor(F.log2(F.col("n_words") / window)))).cast("int"))
     kept = kept.withColumn("longest", F.coalesce(F.greatest("row.longest", whole), F.lit(0))).withColumn("row", F.col("row.row"))
