@@ -322,11 +322,6 @@ class Encoder:
             cls._made[path] = cls(path, drops_space)
         return cls._made[path]
 
-    @classmethod
-    def let_go(cls) -> None:
-        """Forget the vocabularies too; the next task reads its own again, in a fraction of a second."""
-        cls._made.clear()
-
     def forget(self) -> None:
         self.words, self.word_ids = _Numbered(), _Runs()
         self.pieces, self.piece_ids = _Numbered(), _Runs()
