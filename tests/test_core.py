@@ -428,3 +428,27 @@ def test_trial_ledger(spark):
     asked = [(i, at) for i, at in enumerate([*(a for _, a in rows[:20]), t - timedelta(days=9), t + timedelta(days=90), *(t + timedelta(minutes=37 * k) for k in range(60))])]
     got = {r["i"]: r["n_trials"] for r in gates.trials_to_date(spark.createDataFrame(asked, "i int, at timestamp"), ledger).collect()}
     assert got == {i: sum(a <= at for _, a in rows) for i, at in asked}
+
+
+def test_numbered_tests_and_regate_without_any(spark):
+    from tidemark.operators import gates
+
+    keys = spark.createDataFrame([(k,) for k in (5, 250, -3, 99, 100, 101, 9000)], "k long")
+    assert {r["k"]: r["test_index"] for r in gates.numbered(keys, "k", width=100).collect()} == {-3: 1, 5: 2, 99: 3, 100: 4, 101: 5, 250: 6, 9000: 7}
+    assert gates.numbered(keys.limit(0), "k").count() == 0
+    ledger = spark.createDataFrame([], "test_index int, alpha_threshold double, discovery boolean, config_hash string")
+    promoted = spark.createDataFrame([(1, "a"), (2, None)], "id long, config_hash string")
+    nothing = spark.createDataFrame([], "config_hash string, p_value double")
+    assert {r["outcome"] for r in gates.regate(promoted, ledger, nothing).collect()} == {"UNTESTABLE"}
+    p = spark.createDataFrame([("a", 1e-9)], "config_hash string, p_value double")
+    assert {r["id"]: r["outcome"] for r in gates.regate(promoted, ledger, p).collect()} == {1: "DISCOVERY", 2: "UNTESTABLE"}
+
+
+def test_money_contract_without_volatility_gives_no_other_one(spark):
+    from tidemark.operators import options
+
+    rows = [(1, True, 50.0, 0.0), (2, True, 52.0, 0.3), (3, False, 50.0, 0.2), (4, False, 50.0, 0.4)]
+    chain = spark.createDataFrame([("X", "2024-01-31", "2024-02-29", 50.0, n, c, k, iv, 1.0, 1.0, 1.0, 1.0) for n, c, k, iv in rows],
+        "underlying string, quote_date string, expiry string, spot double, place int, is_call boolean, strike double, iv double, bid double, ask double, volume double, open_interest double")
+    out = options.per_expiry(chain).first()
+    assert (out["atm_strike"], out["atm_call_iv"], out["atm_put_iv"], out["n_contracts"]) == (50.0, None, 0.2, 4)

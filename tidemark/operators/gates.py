@@ -120,21 +120,33 @@ def gauge(ledger: DataFrame) -> DataFrame:
     return n.crossJoin(more).select("tests", "discoveries", wealth.alias("wealth"), (level(F.col("tests") + 1) * WEALTH + F.col("more")).alias("next_threshold"))
 
 
+def numbered(tests: DataFrame, key: str, width: int = 100_000) -> DataFrame:
+    """tests with test_index 1, 2, ... in the order of a whole number that no two share: ranked within stretches of width
+    numbers, which start after the tests of those before. A stretch is a task's, the sums are over one row for each."""
+    own = tests.withColumn("_s", F.floor(F.col(key) / width))
+    sizes = own.groupBy("_s").agg(F.count("*").alias("_c"))
+    before = sizes.select("_s", F.coalesce(F.sum("_c").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ranked = own.withColumn("_n", F.row_number().over(W.partitionBy("_s").orderBy(key)))
+    return ranked.join(before, "_s").withColumn("test_index", F.col("_before") + F.col("_n")).drop("_s", "_n", "_before")
+
+
 def regate(promoted: DataFrame, ledger: DataFrame, p_values: DataFrame) -> DataFrame:
     """(id, outcome) of strategies (id, config_hash) promoted before there was a gate: an earlier test of a hash is used again,
     the others are tested once, in order of their hash, after those of the ledger; without a p-value there is no test."""
     earlier = ledger.select("config_hash", F.col("discovery").alias("found"))
     both = promoted.join(earlier, "config_hash", "left").join(p_values, "config_hash", "left")
     todo = both.where("found is null and p_value is not null").select("config_hash", "p_value").distinct()
-    state = ledger.orderBy("test_index").select("test_index", "alpha_threshold", "discovery")
+    so_far = ledger.agg(F.count("*").alias("tests"), F.coalesce(F.sum("alpha_threshold"), F.lit(0.0)).alias("spent"))  # one row
+    todo, state = todo.crossJoin(F.broadcast(so_far)), ledger.where("discovery").select("test_index")
 
     def run(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        old = old.sort_values("test_index")
-        found = old.loc[old["discovery"], "test_index"].tolist()
-        out, *_ = fold(new.sort_values("config_hash")[["config_hash", "p_value"]], found, float(old["alpha_threshold"].sum()), len(old))
+        if new.empty:
+            return pd.DataFrame({"config_hash": [], "discovery": []})
+        found = sorted(old["test_index"].tolist())
+        out, *_ = fold(new.sort_values("config_hash")[["config_hash", "p_value"]], found, float(new["spent"].iloc[0]), int(new["tests"].iloc[0]))
         return out[["config_hash", "discovery"]]
 
-    # one stream of tests is sequential; only tests of promoted strategies come here
+    # one stream of tests is sequential; only tests of promoted strategies and the discoveries before them come here
     one = F.lit(0).alias("k")
     tested = state.select(one, "*").groupBy("k").cogroup(todo.select(one, "*").groupBy("k")).applyInPandas(run, "config_hash string, discovery boolean")
     judged = both.join(tested, "config_hash", "left").withColumn("hit", F.coalesce("found", "discovery"))

@@ -35,14 +35,15 @@ def per_expiry(chain: DataFrame) -> DataFrame:
     key = ["underlying", "quote_date", "expiry"]
     money = F.col("volume") * (F.col("bid") + F.col("ask")) / 2 * 100
     side = lambda c, call: F.sum(F.when(F.col("is_call") == call, c).otherwise(0.0))
-    away = F.struct(F.abs(F.col("strike") - F.col("spot")), F.col("strike"))
+    away = F.struct(F.abs(F.col("strike") - F.col("spot")).alias("by"), F.col("strike"))
+    # the first of a side's nearest contracts that have a volatility; it counts where no contract without one is nearer
+    near = lambda call: F.min(F.when((F.col("is_call") == call) & (F.col("iv") > 0), F.struct(away.alias("away"), "place", "iv")))
     sums = chain.groupBy(*key).agg(
         side(F.col("volume"), True).alias("call_volume"), side(F.col("volume"), False).alias("put_volume"), side(F.col("open_interest"), True).alias("call_oi"), side(F.col("open_interest"), False).alias("put_oi"),
-        side(money, True).alias("call_premium"), side(money, False).alias("put_premium"), F.min_by("strike", away).alias("atm_strike"), F.count("*").alias("n_contracts"),
+        side(money, True).alias("call_premium"), side(money, False).alias("put_premium"), F.min_by("strike", away).alias("atm_strike"), F.count("*").alias("n_contracts"), near(True).alias("near_call"), near(False).alias("near_put"),
     )
-    near = chain.join(sums.select(*key, "atm_strike"), key).where((F.col("strike") == F.col("atm_strike")) & (F.col("iv") > 0))
-    iv = near.groupBy(*key).agg(F.min_by(F.when(F.col("is_call"), F.col("iv")), F.when(F.col("is_call"), F.col("place"))).alias("atm_call_iv"), F.min_by(F.when(~F.col("is_call"), F.col("iv")), F.when(~F.col("is_call"), F.col("place"))).alias("atm_put_iv"))
-    return sums.join(iv, key, "left")
+    iv = lambda c: F.when(F.col(f"{c}.away.strike") == F.col("atm_strike"), F.col(f"{c}.iv"))
+    return sums.withColumns({"atm_call_iv": iv("near_call"), "atm_put_iv": iv("near_put")}).drop("near_call", "near_put")
 
 
 def new_snapshots(stored: DataFrame, rows: DataFrame) -> DataFrame:

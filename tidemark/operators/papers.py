@@ -46,11 +46,11 @@ def bare_doi(doi: Column) -> Column:
 WORK = "struct<id:string, doi:string, title:string, landing_page_url:string, abstract_inverted_index:map<string, array<int>>>"
 
 
-def works(landed: DataFrame, domains: list[str]) -> DataFrame:
-    """Records with an id and a title whose page lies in one of the domains."""
+def works(landed: DataFrame, domains: DataFrame) -> DataFrame:
+    """Records with an id and a title whose page lies in one of the domains (host)."""
     w = landed.select(F.from_json("body", WORK).alias("w")).select("w.*").where("id is not null and title is not null")
     host = F.regexp_extract("landing_page_url", r"^https?://(?:www\.)?([^/]+)", 1)
-    return w.where(host.isin(domains)).withColumn("doi", bare_doi(F.col("doi")))
+    return w.withColumn("host", host).join(domains.select("host"), "host", "left_semi").drop("host").withColumn("doi", bare_doi(F.col("doi")))
 
 
 def titles(markdown: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from tidemark.operators import gates, paper, pit, rotation, specs, store
 from tidemark.plans.backtest import _HOLD, _MOMENTUM, traded
 from tidemark.plans.registry import query
 from tidemark.plans.research import _FILLS, fills
+from tidemark.plans.rotation import shown
 from tidemark.sources.experiments import DECISIONS_SQL, RESULTS_SQL, RUNS_SQL, STRATEGIES_SQL, VALIDATIONS_SQL, decisions, results, runs, strategies, validations
 from tidemark.sources.market import BARS_SQL, MEMBERSHIP_SQL, RAW_BARS_SQL, TICKS_SQL, bars, membership, raw_bars, table
 
@@ -183,8 +184,7 @@ _LEDGER = """ledger AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS test_i
 
 def _ledger(spark, sf_dir):
     keys = table(spark, sf_dir, "orders").select("o_orderkey").distinct()
-    # the index is a rank over a table of tests, which a gate makes one after the other
-    return keys.select(F.row_number().over(W.orderBy("o_orderkey")).alias("test_index"), (0.001 / (1 + F.col("o_orderkey") % 50)).alias("alpha_threshold"), (F.col("o_orderkey") % 211 == 0).alias("discovery"))
+    return gates.numbered(keys, "o_orderkey").select("test_index", (0.001 / (1 + F.col("o_orderkey") % 50)).alias("alpha_threshold"), (F.col("o_orderkey") % 211 == 0).alias("discovery"))
 
 
 @query("gate_gauge", f"""WITH {_LEDGER},
@@ -349,7 +349,7 @@ def spec_swapped(spark, sf_dir):
     """Templates are drawn by the seed of a spec's hash, whose text no other engine prints alike; tests hold the rules."""
     grid = specs.grid(spark, bars(spark, sf_dir))
     templates = grid.groupBy("family").agg(F.min_by("params", "spec_id").alias("params"))
-    return specs.swapped(grid, templates).groupBy("family").agg(F.count("*").alias("n"))
+    return specs.swapped(grid, templates).select("parent_id", "spec_id", "family", "symbol", shown().alias("params"))
 
 
 @query("rotation_dispatch", f"""WITH {BARS_SQL}, {MEMBERSHIP_SQL},

@@ -25,7 +25,7 @@ top AS (SELECT regexp_extract(url, '^https?://(?:www\.)?([^/]+)', 1) AS host FRO
 SELECT id, doi, title FROM w WHERE id IS NOT NULL AND title IS NOT NULL AND host IN (SELECT host FROM top)""")
 def papers_works(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    hosts = [r["h"] for r in pages.where("page_id % 2 = 0").select(F.regexp_extract("url", r"^https?://(?:www\.)?([^/]+)", 1).alias("h")).distinct().collect()]  # the filter's list of domains
+    hosts = pages.where("page_id % 2 = 0").select(F.regexp_extract("url", r"^https?://(?:www\.)?([^/]+)", 1).alias("host")).distinct()
     k = F.col("page_id")
     body = F.to_json(F.struct(
         F.when(k % 7 != 0, F.concat(F.lit("W"), k.cast("string"))).alias("id"), F.concat(F.lit("https://doi.org/10.1/X"), k.cast("string")).alias("doi"),

@@ -121,15 +121,23 @@ def ablation_pairs(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- papers: documents as abstracts, frequent words as concepts
+_WORDS = r"""tags AS (
+  SELECT DISTINCT doc_id AS claim_id, source AS paper_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS concept FROM documents)"""
 _CLAIMS = r"""tags AS (
   SELECT DISTINCT doc_id AS claim_id, source AS paper_id, concept FROM (
     SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS concept FROM documents) WHERE length(concept) BETWEEN 7 AND 9)"""
 
 
-def tags(spark, sf_dir):
+def words(spark, sf_dir):
+    """Every word of a document as a concept of its claim."""
     d = table(spark, sf_dir, "documents")
-    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))), lambda w: F.length(w).between(7, 9))
-    return d.select(F.col("doc_id").alias("claim_id"), F.col("source").alias("paper_id"), F.explode(words).alias("concept")).distinct()
+    own = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    return d.select(F.col("doc_id").alias("claim_id"), F.col("source").alias("paper_id"), F.explode(own).alias("concept")).distinct()
+
+
+def tags(spark, sf_dir):
+    """Words of 7 to 9 letters, for links: a link joins claims that share a telling concept."""
+    return words(spark, sf_dir).where(F.length("concept").between(7, 9))
 
 
 @query("papers_relevant", r"SELECT lang, count(*) FILTER (regexp_matches(text, '(?i)\b(?:that|with|from)\b')) AS n_relevant, count(*) AS n FROM documents GROUP BY lang")
@@ -150,9 +158,9 @@ def papers_titles_match(spark, sf_dir):
     return table(spark, sf_dir, "part").select(papers.normal_title(F.col("p_name")).alias("title")).groupBy("title").agg(F.count("*").alias("n"))
 
 
-@query("claim_concepts", f"WITH {_CLAIMS} SELECT concept, count(*) AS n FROM tags GROUP BY concept HAVING count(*) > 3")
+@query("claim_concepts", f"WITH {_WORDS} SELECT concept, count(*) AS n FROM tags GROUP BY concept HAVING count(*) > 3")
 def claim_concepts(spark, sf_dir):
-    return tags(spark, sf_dir).groupBy("concept").agg(F.count("*").alias("n")).where("n > 3")
+    return words(spark, sf_dir).groupBy("concept").agg(F.count("*").alias("n")).where("n > 3")
 
 
 _LINKS = "links AS (SELECT l_orderkey AS claim_a, l_partkey AS claim_b, CASE WHEN l_returnflag = 'A' THEN 'SUPPORTS' WHEN l_returnflag = 'R' THEN 'CONTRADICTS' ELSE 'EXTENDS' END AS relation FROM lineitem)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import rotation as rot
 from tidemark.operators import specs
 from tidemark.plans.registry import query
-from tidemark.sources.market import BARS_SQL, bars
+from tidemark.sources.market import BARS_SQL, TICKS_SQL, bars
 
 #: Most liquid symbols stand first; the last leg is the defensive one.
 UNIVERSE = tuple(f"Brand#{k}" for k in range(1, 26))
@@ -143,30 +143,88 @@ def rotation_portfolio(spark, sf_dir):
     return out.select("t", *[F.round(c, 4).alias(c) for c in ("equity", "gross", "traded")])
 
 
-@query("spec_grid")
+#: Bars that a family needs before its first tradable one, by the fields of its longest chain of windows.
+_WARM_UP = {
+    "p['lookback'] + 2": "BOLLINGER ZSCORE BOLLINGER_PCTB RSI STOCHASTIC WILLIAMS_R KELTNER KELTNER_REVERSION CCI N_DAY_LOW CONSECUTIVE_DOWN SMA_DISTANCE MFI TSMOM LINREG_SLOPE CHANDELIER_EXIT SMA200_FILTER ATR_BREAKOUT SUPERTREND",
+    "p['lookback'] + 3": "AROON_CROSSOVER VORTEX SQUEEZE_BREAKOUT NR7_BREAKOUT KAMA_TREND",
+    "p['slow'] + 2": "MOMENTUM AWESOME_OSCILLATOR EMA_CROSSOVER TRIPLE_MA_ALIGNMENT",
+    "p['slow'] + 3": "MA_RIBBON", "2 * p['slow'] + 2": "DEMA_CROSSOVER", "p['slow'] + p['signal'] + 2": "MACD", "3 * p['lookback'] + 2": "TRIX ADX_DI_CROSSOVER",
+    "greatest(p['entry'], p['exit']) + 2": "VOL_BREAKOUT", "p['long'] + 2": "ULTIMATE_OSCILLATOR", "p['span'] + p['base'] + 2": "ICHIMOKU_BREAKOUT",
+    "p['lookback'] + round(sqrt(p['lookback'])) + 2": "HULL_MA_TREND", "p['vol'] + p['regime'] + p['lookback'] + 2": "VOL_REGIME_SWITCH",
+    "p['vol'] + 2 * p['vov'] + p['lookback'] + 2": "VOL_OF_VOL_FILTER", "2": "IBS", "3": "GAP_FADE", "4": "INSIDE_BAR_BREAKOUT PARABOLIC_SAR",
+}
+_POINTS = ",\n".join("('" + name + "', MAP {" + ", ".join(f"'{k}': {float(v)!r}::DOUBLE" for k, v in params.items()) + "})" for name, params in specs.points())
+_NEEDED = " ".join(f"WHEN family IN ({', '.join(repr(f) for f in names.split())}) THEN {bars_}" for bars_, names in _WARM_UP.items())
+
+
+def _hash(family: str, symbol: str, entries: str) -> str:
+    return f"sha256({family} || '|' || {symbol} || '|' || array_to_string(list_transform({entries}, lambda x: x.key || '=' || CAST(x.value AS VARCHAR)), ','))"
+
+
+def _drawn(*parts: str) -> str:
+    return f"CAST(('0x' || substr(sha256(concat_ws('|', {', '.join(parts)})), 1, 8)) AS BIGINT)"
+
+
+def _shown(entries: str) -> str:
+    """Parameters in millionths, sorted by name."""
+    return f"array_to_string(list_transform({entries}, lambda x: x.key || '=' || CAST(CAST(round(x.value * 1000000) AS BIGINT) AS VARCHAR)), ',')"
+
+
+def shown(params="params"):
+    pairs = F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat_ws("=", e["key"], F.round(e["value"] * 1000000).cast("long").cast("string")))
+    return F.array_join(pairs, ",")
+
+
+_GRID = f"""{TICKS_SQL},
+points(family, p) AS (VALUES {_POINTS}),
+grid AS (SELECT *, {_hash('family', 'symbol', 'e')} AS spec_id FROM (
+  SELECT family, symbol, p, list_sort(map_entries(p)) AS e, CAST(CASE {_NEEDED} END AS INTEGER) AS min_bars FROM points CROSS JOIN (SELECT DISTINCT symbol FROM ticks))),
+near AS (
+  SELECT a.family, a.symbol, a.spec_id, b.spec_id AS other, a.e AS ea, b.e AS eb FROM grid a JOIN grid b ON a.family = b.family AND a.symbol = b.symbol AND a.spec_id <> b.spec_id
+  WHERE len(list_filter(range(1, len(a.e) + 1), lambda k: abs(a.e[k].value - b.e[k].value) > CASE WHEN a.e[k].key IN ('lookback', 'fast', 'slow', 'mid', 'signal', 'entry', 'exit', 'skip', 'top') THEN 1
+    ELSE 0.05 * greatest(abs(a.e[k].value), abs(b.e[k].value)) END)) = 0)"""
+_RISES = " AND ".join(f"coalesce(p['{a}'] < p['{b}'], TRUE)" for a, b in (("fast", "mid"), ("mid", "slow"), ("fast", "slow"), ("short", "medium"), ("medium", "long"), ("short", "long"), ("step", "most")))
+
+
+@query("spec_grid", f"WITH {_GRID} SELECT spec_id, family, symbol, {_shown('e')} AS params, min_bars FROM grid")
 def spec_grid(spark, sf_dir):
-    return specs.grid(spark, bars(spark, sf_dir)).groupBy("family", "symbol").agg(F.count("*").alias("n"), F.max("min_bars").alias("min_bars"))
+    return specs.grid(spark, bars(spark, sf_dir)).select("spec_id", "family", "symbol", shown().alias("params"), "min_bars")
 
 
-@query("spec_neighbours")
+@query("spec_neighbours", f"WITH {_GRID} SELECT family, symbol, spec_id, other FROM near")
 def spec_neighbours(spark, sf_dir):
-    g = specs.grid(spark, bars(spark, sf_dir))
-    return specs.neighbours(g).groupBy("family", "symbol").agg(F.count("*").alias("n"))
+    return specs.neighbours(specs.grid(spark, bars(spark, sf_dir)))
 
 
-@query("spec_tuned")
+@query("spec_tuned", f"""WITH {_GRID},
+drawn AS (SELECT *, e[CAST({_drawn('spec_id', "'tune'", "'field'")} % len(e) + 1 AS INTEGER)].key AS field, {_drawn('spec_id', "'tune'", "'way'")} % 2 = 0 AS up,
+  0.1 + 0.25 * ({_drawn('spec_id', "'tune'", "'size'")} / 4294967296) AS size FROM grid),
+moved AS (SELECT spec_id, family, symbol, up, e AS before, list_transform(e, lambda x: {{'key': x.key, 'value': CASE WHEN x.key <> field THEN x.value
+    WHEN x.value <> floor(x.value) THEN x.value * CASE WHEN up THEN 1 + size ELSE 1 - size END
+    ELSE greatest(round(x.value * CASE WHEN up THEN 1 + size ELSE 1 - size END), 1) END}}) AS e FROM drawn),
+made AS (SELECT *, map_from_entries(e) AS p FROM moved WHERE e <> before)
+SELECT spec_id AS parent_id, family, symbol, CASE WHEN up THEN 'up' ELSE 'down' END AS direction, {_shown('e')} AS params FROM made WHERE {_RISES}""")
 def spec_tuned(spark, sf_dir):
-    return specs.tuned(specs.grid(spark, bars(spark, sf_dir))).groupBy("family", "direction").agg(F.count("*").alias("n"))
+    return specs.tuned(specs.grid(spark, bars(spark, sf_dir))).select("parent_id", "family", "symbol", "direction", shown().alias("params"))
 
 
-@query("spec_canaries")
+@query("spec_canaries", f"""WITH {_GRID},
+chosen AS (SELECT * FROM grid WHERE {_drawn('spec_id', "'canary'")} < 0.05 * 4294967296),
+moves AS (SELECT c.*, f.key AS field, b.d AS d FROM (SELECT *, unnest(e) AS f FROM chosen) c CROSS JOIN (VALUES (2), (-2)) b(d) WHERE f.value = floor(f.value)),
+jitter AS (SELECT spec_id AS origin, family, symbol, field, d, list_transform(e, lambda x: {{'key': x.key, 'value': CASE WHEN x.key = field THEN x.value + d ELSE x.value END}}) AS e FROM moves),
+fine AS (SELECT *, {_hash('family', 'symbol', 'e')} AS spec_id FROM jitter WHERE len(list_filter(e, lambda x: x.value <= 0)) = 0)
+SELECT origin, spec_id, family, symbol, {_shown('e')} AS params, ['shift', 'flip', 'noise'][CAST({_drawn('origin', "'canary'", "'kind'")} % 3 + 1 AS INTEGER)] AS null_kind
+FROM fine WHERE spec_id NOT IN (SELECT spec_id FROM grid) QUALIFY row_number() OVER (PARTITION BY origin ORDER BY field, d DESC) = 1""")
 def spec_canaries(spark, sf_dir):
-    return specs.canaries(specs.grid(spark, bars(spark, sf_dir))).groupBy("family", "null_kind").agg(F.count("*").alias("n"))
+    return specs.canaries(specs.grid(spark, bars(spark, sf_dir))).select("origin", "spec_id", "family", "symbol", shown().alias("params"), "null_kind")
 
 
-@query("spec_crossed")
+@query("spec_crossed", f"""WITH {_GRID},
+made AS (SELECT spec_id AS a, other AS b, family, symbol, list_transform(range(1, len(ea) + 1), lambda k: {{'key': ea[k].key, 'value': CASE {_drawn('spec_id', 'other', "'cross'", 'ea[k].key')} % 3 WHEN 0 THEN ea[k].value WHEN 1 THEN eb[k].value
+    ELSE CASE WHEN ea[k].value = floor(ea[k].value) AND eb[k].value = floor(eb[k].value) THEN round((ea[k].value + eb[k].value) / 2) ELSE (ea[k].value + eb[k].value) / 2 END END}}) AS e FROM near WHERE spec_id < other)
+SELECT a, b, family, symbol, {_shown('e')} AS params FROM made""")
 def spec_crossed(spark, sf_dir):
     g = specs.grid(spark, bars(spark, sf_dir)).select("family", "symbol", "spec_id", "params")
     n = specs.neighbours(g).where("spec_id < other").select("family", "symbol", F.col("spec_id").alias("a"), F.col("other").alias("b"))
     pairs = n.join(g.select(F.col("spec_id").alias("a"), F.col("params").alias("pa")), "a").join(g.select(F.col("spec_id").alias("b"), F.col("params").alias("pb")), "b")
-    return specs.crossed(pairs).groupBy("family").agg(F.count("*").alias("n"))
+    return specs.crossed(pairs).select("a", "b", "family", "symbol", shown().alias("params"))

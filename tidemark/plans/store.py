@@ -166,11 +166,11 @@ def asset_classes(spark, sf_dir):
 
 
 @query("hypothesis_stats", f"""WITH {STRATEGIES_SQL}
-SELECT family AS source, count(*) AS n, count(*) FILTER (score IS NOT NULL AND id % 2 = 0) AS tested, count(*) FILTER (score > 50 AND id % 2 = 0) AS discoveries,
-       (count(*) FILTER (score > 50 AND id % 2 = 0) + 1) / (count(*) FILTER (score IS NOT NULL AND id % 2 = 0) + 2) AS prior FROM strategies GROUP BY family""")
+SELECT family AS source, count(*) AS n, count(*) FILTER (score IS NOT NULL AND NOT is_canary) AS tested, count(*) FILTER (score > 50 AND NOT is_canary) AS discoveries,
+       (count(*) FILTER (score > 50 AND NOT is_canary) + 1) / (count(*) FILTER (score IS NOT NULL AND NOT is_canary) + 2) AS prior FROM strategies GROUP BY family""")
 def hypothesis_stats(spark, sf_dir):
     s = strategies(spark, sf_dir)
-    tests = s.where("id % 2 = 0").select(F.col("id").alias("hypothesis_id"), (F.col("score") > 50).alias("discovery"))
+    tests = s.where("NOT is_canary").select(F.col("id").alias("hypothesis_id"), (F.col("score") > 50).alias("discovery"))
     return store.hypothesis_stats(s.select("id", F.col("family").alias("source")), tests)
 
 
