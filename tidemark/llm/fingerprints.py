@@ -83,7 +83,8 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     of = lambda r, copied: F.struct(r.alias("range"), F.lit(copied).alias("copied"))
     places = F.when(leads, F.array(of(F.col("range"), False), of(before, True))).otherwise(F.array(of(F.col("range"), False)))
     both = placed.select("doc_id", "text", "key", F.explode(places).alias("at")).select("at.*", "doc_id", "text", "key").repartition(n, "range")
-    w = W.partitionBy("range").orderBy("copied", "key", "text")
+    # the key settles the number: it stands in the order so that both uses of the rows read the same columns and share one shuffle of texts
+    w = W.partitionBy("range").orderBy("copied", "key", "text", "doc_id")
     return both.select("range", F.row_number().over(w).alias("rn"), "copied", "doc_id", "text", F.lead("text").over(w).alias("next_text"))
 
 
