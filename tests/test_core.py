@@ -112,6 +112,15 @@ def test_as_of_takes_the_newest_known_revision(spark):
     assert cut(1) == [] and cut(3)[0]["close"] == 1.0 and cut(6)[0]["close"] == 2.0 and "event_time" not in cut(6)[0]
 
 
+def test_of_bars_known_at_once_the_newest_counts(spark):
+    """A late revision of an old bar becomes known with the bar after it."""
+    at = datetime(2024, 1, 3, 0, 5)
+    rows = [(f"S{k}", "1d", datetime(2024, 1, d), at, r, c, 1.0) for k in range(40) for d, r, c in ((1, 25, 10.0), (2, 1, 20.0))]
+    bars = spark.createDataFrame(rows, "symbol string, timeframe string, event_time timestamp, available_at timestamp, revision int, close double, volume double")
+    asked = spark.createDataFrame([(datetime(2024, 1, 3, 0, 4),), (at,), (datetime(2024, 1, 9),)], "at timestamp")
+    assert [r["close"] for r in pit.as_of_each(bars, asked).orderBy("at").collect()] == [None] * 40 + [20.0] * 80
+
+
 def test_revision_plan(spark):
     day = lambda d: datetime(2024, 1, d)
     stored = _raw(spark, [("A", "1d", day(d), day(d + 1), 1, 1.0, 1.0) for d in (1, 2)])

@@ -33,13 +33,13 @@ def as_of_each(bars: DataFrame, cutoffs: DataFrame, columns: tuple[str, ...] = (
     """For each cutoff (column at), each symbol's last known bar: an as-of join.
 
     Both sides meet in one ordered series per symbol, and the last value before a cutoff is carried on: no
-    range join, whose pairs would grow with cutoffs times bars.
+    range join, whose pairs would grow with cutoffs times bars. Of bars known at the same moment the newest counts.
     """
     first = latest_per(bars, list(KEY), F.desc("revision"), F.desc("available_at"))
-    facts = first.select("symbol", F.col("available_at").alias("at"), F.lit(0).alias("asked"), F.struct("available_at", *columns).alias("v"))
+    facts = first.select("symbol", F.col("available_at").alias("at"), F.lit(0).alias("asked"), F.struct("event_time", "timeframe").alias("bar"), F.struct("available_at", *columns).alias("v"))
     asked = bars.select("symbol").distinct().join(F.broadcast(cutoffs.select("at").distinct()), how="cross")
-    asked = asked.select("symbol", "at", F.lit(1).alias("asked"), F.lit(None).cast(facts.schema["v"].dataType).alias("v"))
-    w = W.partitionBy("symbol").orderBy("at", "asked").rowsBetween(W.unboundedPreceding, 0)
+    asked = asked.select("symbol", "at", F.lit(1).alias("asked"), *[F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in ("bar", "v")])
+    w = W.partitionBy("symbol").orderBy("at", "asked", "bar").rowsBetween(W.unboundedPreceding, 0)
     return facts.unionByName(asked).withColumn("last", F.last("v", True).over(w)).where("asked = 1").select("symbol", "at", "last.*")
 
 
