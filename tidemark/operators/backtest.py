@@ -95,6 +95,11 @@ def per_day(curve: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     return curve.groupBy(*by, F.to_date("t").alias("day")).agg(F.max_by("equity", "t").alias("equity"))
 
 
+def grown(now: Column, before: Column) -> Column:
+    """Return of a curve between two values; not a number once it has run down to 0, null without a value before."""
+    return F.when(before != 0, now / before - 1).when(before == 0, float("nan"))
+
+
 def sharpe(ret: str) -> Column:
     """Annualised ratio of daily returns; null below 30 of them or without variance."""
     sd = F.stddev_samp(ret)
@@ -118,7 +123,7 @@ def versus(curves: DataFrame, reference: DataFrame, by: tuple[str, ...] = ("symb
 def risk(curves: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Sharpe ratio, skewness, excess kurtosis and drawdown of a curve's returns; null below 30 of them."""
     w = W.partitionBy(*by).orderBy("t")
-    rows = curves.withColumn("r", F.col("equity") / F.lag("equity").over(w) - 1)
+    rows = curves.withColumn("r", grown(F.col("equity"), F.lag("equity").over(w)))
     enough = F.count("r") >= LEAST
     return rows.groupBy(*by).agg(
         F.count("r").alias("n_returns"), sharpe("r").alias("sharpe"), F.when(enough, F.skewness("r")).alias("skew"), F.when(enough, F.kurtosis("r")).alias("kurtosis"),
