@@ -122,7 +122,6 @@ def write_documents(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1,
                         writer.add(doc, np.append(ids, end_id))
                         docs_n, ids_n = docs_n + 1, ids_n + len(ids) + 1
             writer.close()
-        encoder.forget()
         store.move(own, name)
         yield pa.RecordBatch.from_pylist([{"shard": context.partitionId(), "file": f"{path}/ids-{context.partitionId():06d}.zst", "n_docs": docs_n, "n_tokens": ids_n}])
 
