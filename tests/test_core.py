@@ -323,6 +323,19 @@ def test_papers(spark):
     assert [(r["other"], r["shared"]) for r in papers.link_candidates(tags, 1).where("claim_id = 3").collect()] == [(2, 2)]
 
 
+def test_link_candidates_deal_pairs_not_tags(spark, monkeypatch):
+    monkeypatch.setattr(papers, "PAIRS", 100, raising=False)
+    tags = spark.createDataFrame([(c, c % 7, k) for c in range(60) for k in (c % 3, 10 + c % 5)], "claim_id long, paper_id long, concept long")
+    out = papers.link_candidates(tags, 3)
+    assert out.rdd.getNumPartitions() >= 9  # 930 pairs and more
+    got = {(r["claim_id"], r["other"]): r["shared"] for r in out.collect()}
+    want = {}
+    for a in range(60):
+        near = [((a % 3 == b % 3) + (a % 5 == b % 5), b) for b in range(a) if a % 7 != b % 7]
+        want |= {(a, b): n for n, b in sorted(near, reverse=True)[:3] if n}
+    assert got == want
+
+
 def test_scores_and_verdicts(spark):
     from tidemark.operators import metrics
 

@@ -72,11 +72,22 @@ def claims(extractions: DataFrame, families: list[str], most: int = 5, concepts:
     return out.select("paper_id", "place", "c.claim", "c.family_hint", "c.asset_class", F.coalesce("c.testable", F.lit(False)).alias("testable"), tags.alias("concepts"))
 
 
+#: Pairs that one task of the join makes and counts, some 100 MB.
+PAIRS = 1 << 20
+
+
 def link_candidates(tags: DataFrame, n: int = 10) -> DataFrame:
-    """For each claim, the n older claims of other papers that share most concepts; tags (claim_id, paper_id, concept)."""
-    a, b = tags.alias("a"), tags.alias("b")
+    """For each claim, the n older claims of other papers that share most concepts; tags (claim_id, paper_id, concept).
+
+    Tags are few beside their pairs, and a task that gets as many tags as others would make any number of pairs. So pairs are
+    counted first, by concept, and dealt to as many tasks as they need: what one task holds does not grow with the tables.
+    """
+    pairs_n = tags.groupBy("concept").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("n")).first()["n"] or 0
+    tasks = int(min(pairs_n // PAIRS + 1, 20_000))
+    a, b = tags.repartition(tasks, "concept").alias("a"), tags.repartition(tasks, "concept").alias("b")
     pairs = a.join(b, F.col("a.concept") == F.col("b.concept")).where("b.claim_id < a.claim_id and b.paper_id <> a.paper_id")
-    shared = pairs.groupBy(F.col("a.claim_id").alias("claim_id"), F.col("b.claim_id").alias("other")).agg(F.count("*").alias("shared"))
+    dealt = pairs.select(F.col("a.claim_id").alias("claim_id"), F.col("b.claim_id").alias("other")).repartition(tasks, "claim_id")
+    shared = dealt.groupBy("claim_id", "other").agg(F.count("*").alias("shared"))
     order = W.partitionBy("claim_id").orderBy(F.desc("shared"), F.desc("other"))
     return shared.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).drop("k")
 
