@@ -138,3 +138,17 @@ def test_whole_run(spark, table):
     for r in pipeline.run(spark, table).collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
     assert got == want
+
+
+def test_the_mix_shuffles_texts_once(spark):
+    """A table with a row for each million words joins without moving texts again."""
+    from tidemark.llm import mixing
+
+    docs = spark.createDataFrame([(i, "a b c " * i, f"s{i % 3}", i) for i in range(40)], "doc_id long, text string, source string, n_chars long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("SortMergeJoin") == 0 and plan.count("Exchange hashpartitioning") == 1
