@@ -499,3 +499,14 @@ def test_money_contract_without_volatility_gives_no_other_one(spark):
         "underlying string, quote_date string, expiry string, spot double, place int, is_call boolean, strike double, iv double, bid double, ask double, volume double, open_interest double")
     out = options.per_expiry(chain).first()
     assert (out["atm_strike"], out["atm_call_iv"], out["atm_put_iv"], out["n_contracts"]) == (50.0, None, 0.2, 4)
+
+
+def test_option_bodies_are_sorted_in_compiled_code(spark):
+    """array_sort compares structs in an interpreted function, which took most of the time."""
+    from conftest import SF
+    from tidemark.plans import admission
+
+    plan = admission.bodies(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
+    odd = spark.createDataFrame([("SPY261302P00100500",), ("SPY260229P00100500",), ("SPY240229P00100500",)], "o string").select(*options.parse_occ(F.col("o"))).collect()
+    assert [r[0] for r in odd] == [None, None, date(2024, 2, 29)]

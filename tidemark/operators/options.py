@@ -15,7 +15,10 @@ CHAIN = "struct<timestamp:string, data:struct<current_price:double, last_trade_t
 def parse_occ(option: Column) -> tuple[Column, Column, Column]:
     """(expiry, is_call, strike); all null where the symbol does not match."""
     part = lambda k: F.nullif(F.regexp_extract(option, OCC, k), F.lit(""))
-    return F.try_to_timestamp(part(2), F.lit("yyMMdd")).cast("date"), part(3) == "C", part(4).cast("double") / 1000
+    day = part(2)
+    # two-digit years are of this century
+    expiry = F.concat(F.lit("20"), F.substring(day, 1, 2), F.lit("-"), F.substring(day, 3, 2), F.lit("-"), F.substring(day, 5, 2)).try_cast("date")
+    return expiry, part(3) == "C", part(4).cast("double") / 1000
 
 
 def parse_chain(landed: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from tidemark.sources.market import bars, table
 def bodies(spark, sf_dir):
     """A body for each underlying and session; contracts without trades have no volume in it."""
     one = F.struct("place", "option", "bid", "ask", F.when(F.col("volume") > 10, F.col("volume")).alias("volume"), "open_interest", "iv", "spot")
-    rows = chain(spark, sf_dir).groupBy("underlying", "quote_date").agg(F.array_sort(F.collect_list(one)).alias("cs"))
+    rows = chain(spark, sf_dir).groupBy("underlying", "quote_date").agg(F.sort_array(F.collect_list(one)).alias("cs"))  # array_sort compares in an interpreted function
     listed = F.transform("cs", lambda c: F.struct(*[c[n].alias(n) for n in ("option", "bid", "ask", "volume", "open_interest", "iv")]))
     data = F.struct(F.col("cs")[0]["spot"].alias("current_price"), F.date_format("quote_date", "yyyy-MM-dd'T'16:00:00").alias("last_trade_time"), listed.alias("options"))
     return rows.select("underlying", F.to_json(F.struct(F.lit("").alias("timestamp"), data.alias("data"))).alias("body"))
