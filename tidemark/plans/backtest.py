@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as bt
 from tidemark.operators import signals
+from tidemark.operators.graph import stored
 from tidemark.plans.registry import query
 from tidemark.sources.market import BARS_SQL, bars
 
@@ -33,9 +34,18 @@ _HOLD = f"""
 hold AS (SELECT symbol, t, 1000 * (1 - 0.0015) * close / first(close) OVER {_FAR} AS equity FROM trimmed)"""
 
 
+def signalled(spark, sf_dir, name="MOMENTUM"):
+    """Signals of a family at every bar, written once: what uses them several times reads the line items once."""
+    return stored(signals.apply(bars(spark, sf_dir), name), "signals")
+
+
+def trimmed(signs, name="MOMENTUM"):
+    """Signals after their family's warm-up."""
+    return signs.where(F.col("n") >= signals.warm_up(name) - 1)
+
+
 def traded(spark, sf_dir, name="MOMENTUM"):
-    """Signals of a family after its warm-up."""
-    return signals.apply(bars(spark, sf_dir), name).where(F.col("n") >= signals.warm_up(name) - 1)
+    return trimmed(signalled(spark, sf_dir, name), name)
 
 
 def _rounded(df, digits=4):
