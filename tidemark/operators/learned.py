@@ -71,9 +71,16 @@ def _fitted(kind: str):
     return run
 
 
+def _dealt(groups: DataFrame) -> DataFrame:
+    """groups over four tasks a core: rows that lie by symbol would stay so, and by their bytes, few beside the time of a fit, all
+    symbols would meet in one task."""
+    return groups.repartition(4 * groups.sparkSession.sparkContext.defaultParallelism, "symbol", "part")
+
+
 def probabilities(bars: DataFrame, kind: str, train: int, retrain: int) -> DataFrame:
     """(symbol, t, close, n, p): P(up) of every bar, null where no model scores it."""
-    rows = features(bars).withColumn("fine", _finite())
+    # the series is used three times below
+    rows = stored(features(bars).withColumn("fine", _finite()), "features")
     # n counts from 1: checkpoint k learns from train bars up to n = train + k retrain, whose labels need the bar after,
     # and scores the retrain bars behind them
     placed = rows.withColumn("size", F.max("n").over(W.partitionBy("symbol"))).where("fine")
@@ -82,7 +89,7 @@ def probabilities(bars: DataFrame, kind: str, train: int, retrain: int) -> DataF
     scoring = placed.where(f"n > {train}").withColumn("k", F.expr(f"(n - 1 - {train}) div {retrain}"))
     columns = ["symbol", "t", "n", *FEATURES, "label", "k"]
     groups = learning.select(*columns, F.lit(True).alias("learns")).unionByName(scoring.select(*columns, F.lit(False).alias("learns")))
-    scored = groups.groupBy("symbol", F.expr(f"k div {TOGETHER}")).applyInArrow(_fitted(kind), f"symbol string, t {bars.schema['t'].dataType.simpleString()}, p double")
+    scored = _dealt(groups.withColumn("part", F.expr(f"k div {TOGETHER}"))).groupBy("symbol", "part").applyInArrow(_fitted(kind), f"symbol string, t {bars.schema['t'].dataType.simpleString()}, p double")
     return rows.select("symbol", "t", "close", "n").join(scored, ["symbol", "t"], "left")
 
 
